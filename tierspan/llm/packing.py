@@ -9,6 +9,7 @@ give pieces of their own; an empty table gives no piece; other columns of the in
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -78,6 +79,12 @@ class Encoder:
         return newline.join(lines)
 
 
+@functools.cache
+def encoder() -> Encoder:
+    """One for each worker process, since vocabularies load slowly."""
+    return Encoder()
+
+
 def cut(n: int, max_tokens: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole pieces of `max_tokens`, the remainder first."""
     first = (n - 1) % max_tokens + 1
@@ -86,12 +93,12 @@ def cut(n: int, max_tokens: int) -> list[tuple[int, int]]:
 
 def _pieces(max_tokens: int, keep_ids: bool):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(), END_ID.to_bytes(4, "little")
+        packed, end = encoder().packed, END_ID.to_bytes(4, "little")
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * keep_ids)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.packed(text.as_py() or "") + end
+                ids = packed(text.as_py() or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, max_tokens)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append((doc_id, k, start, length, zlib.crc32(part)) + (part,) * keep_ids)
