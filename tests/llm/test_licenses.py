@@ -1,0 +1,33 @@
+import re
+
+from tierspan.llm import licenses
+
+MIT, APACHE = licenses.TEMPLATES["mit"][0], licenses.TEMPLATES["apache-2"][0]
+TEXTS = [
+    "Released under the MIT License.", "under THE mit license under the mit license", "Apache License, Version 2.0; CC BY-NC 4.0", "", None, "...", "mit license under the", "word " * 5000 + "cc-by.nc",
+    f"Intro words here. {MIT.title()}. The end", f"x {APACHE} y", "This work is licensed under the GNU General Public License, version 3.",
+    " ".join(reversed(MIT.split())), "gnu general public license version 3", "é under the mit licenseé", "under\x00the\nmit\tlicense",
+    "the license of the software and the copy", "GNU GENERAL PUBLIC license",
+]
+
+
+def test_base_equals_brute_force_and_templates_are_found(spark):
+    rows = [(k, t, "x") for k, t in enumerate(TEXTS * 2)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, n_words string")).collect()}
+    assert len(got) == len(rows)
+    for k, text, _ in rows:
+        places = {label: licenses.place(text, phrase) for phrase, label in licenses.BASE.items()}
+        every = [x for v in places.values() for x in v]
+        r = got[k]
+        assert r["n_words"] == len([w for w in re.split(licenses.NO_WORD, (text or "").lower()) if w])
+        assert (r["n_base"], r["first_word"], r["last_word"]) == (len(every), min(every, default=None), max(every, default=None)), text
+        assert r["base_labels"] == ",".join(sorted(x for x, v in places.items() if v))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "")
+    labels = [got[k]["labels"] for k in range(len(TEXTS))]
+    assert labels[8] == "mit" and labels[9] == "apache-2" and labels[10] == "gpl-3"
+    assert labels[11] == labels[15] == labels[16] == labels[4] == ""
+
+
+def test_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
