@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierspan.llm.common import materialise
+from tierspan.session import ship
 
 MAX_TOKENS = 1024
 END_ID = 2
@@ -110,6 +111,7 @@ def _pieces(max_tokens: int, keep_ids: bool):
 
 def pieces(docs: DataFrame, max_tokens: int = MAX_TOKENS, *, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document, tokenised in one pass over its whole text."""
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_pieces(max_tokens, keep_ids), PIECES + ", ids binary" * keep_ids)
 
 

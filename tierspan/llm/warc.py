@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierspan.llm.common import flag_members, materialise, membership_bitmap, scratch_path
+from tierspan.session import ship
 
 REVISIT_BYTES = 1000
 #: A package is closed once it holds so many bytes; ranges of one read; bytes read by one task.
@@ -133,6 +134,7 @@ def _write(folder: str):
 
 def write_archives(classified: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ZIP packages; the manifest (path, size, records) of the packages that count."""
+    ship(classified.sparkSession)
     folder = folder or scratch_path(classified.sparkSession, "warc")
     return materialise(classified.mapInArrow(_write(folder), MANIFEST), "warc-manifest")
 
@@ -237,6 +239,7 @@ def _read(with_payload: bool):
 
 def read_archives(manifest: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """Every record of the packages of a manifest. Tasks get ranges, so a large package is read by many."""
+    ship(manifest.sparkSession)
     total = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     packages, tasks = max(1, min(total[0], 4096)), max(1, -(-total[1] // TASK_BYTES))
     ranges = manifest.select("path").repartition(packages).mapInArrow(_ranges, "path string, start long, lengths array<long>")
