@@ -4,8 +4,8 @@ Each source's target follows its weight, limited to `MAX_TIMES` its size. With r
 times for certain and once more with inclusion probability r - floor(r). The cube method decides the latter: three
 undecided documents at a time, their probabilities move along the null space of the two balance constraints (words and
 documents), in the direction and length that a hash of the document draws, until one is 0 or 1. Each block of a source leaves two
-documents undecided at most; blocks' leftovers meet in further rounds, until a landing of two documents remains in each source.
-Long documents are decided first, so that what is left to land is short.
+documents undecided at most; blocks' leftovers meet in further rounds, until a landing problem of a dozen documents remains in each source, which is solved by looking
+at all its outcomes. Long documents are decided first, so that what is left to land is short.
 
 Defined results: a null text has size 0 and adds nothing; null sources are one source, after all others; rows repeated with the same
 id, text and source share one decision; sources without words have target 0; reruns and other partitionings give the same
@@ -30,7 +30,9 @@ MAX_TIMES = 3
 BLOCK = 8192
 SEED = 17
 #: A document is a giant if it holds more than 1 / GIANT of a block's undecided words.
-GIANT = 200
+GIANT = 1000
+#: The landing problem: so many undecided documents of a source at most.
+LANDING = 12
 EPS = 1e-9
 UNITS = "skey string, uid long, size double, p double"
 
@@ -69,7 +71,7 @@ def _move(p: list[float], u: tuple[float, ...], draw: float) -> list[float]:
     return [0.0 if x < EPS else 1.0 if x > 1 - EPS else x for x in moved]
 
 
-def _settle_giants(uid: list[int], size: list[float], p: list[float]) -> list[float]:
+def _settle_giants(uid: list[int], size: list[float], p: list[float], least: int) -> list[float]:
     """Decide documents that hold over 1 / GIANT of the undecided words, each against all others at once.
 
     A giant would hardly move against two others. The move along (1, a + b * size of the others), which keeps both totals (the word
@@ -78,7 +80,7 @@ def _settle_giants(uid: list[int], size: list[float], p: list[float]) -> list[fl
     q, s = np.array(p), np.array(size)
     for move in range(8 * GIANT):
         rest = np.flatnonzero((q > 0) & (q < 1))
-        if len(rest) < 4 or s[rest[0]] * GIANT <= s[rest].sum():
+        if len(rest) <= max(least, 3) or s[rest[0]] * GIANT <= s[rest].sum():
             break
         giant, others = rest[0], rest[1:]
         n, total, square = len(others), s[others].sum(), (s[others] ** 2).sum()
@@ -108,9 +110,9 @@ def flight(uid: list[int], size: list[float], p: list[float], *, land: bool) ->
     Each step takes the two longest undecided documents, which trade their probabilities almost one for one, and the shortest,
     which makes up the difference. So what stays undecided gets ever shorter.
     """
-    out = _settle_giants(uid, size, [x if EPS < x < 1 - EPS else float(round(x)) for x in p])
+    out = _settle_giants(uid, size, [x if EPS < x < 1 - EPS else float(round(x)) for x in p], LANDING if land else 2)
     rest = deque(k for k, x in enumerate(out) if 0 < x < 1)
-    while len(rest) > 2:
+    while len(rest) > (LANDING if land else 2):
         held = (rest[0], rest[1], rest[-1])
         a, b, c = (size[i] for i in held)
         u = (b - c, c - a, a - b)
@@ -122,21 +124,22 @@ def flight(uid: list[int], size: list[float], p: list[float], *, land: bool) ->
         rest.extendleft(k for k in (second, first) if 0 < out[k] < 1)
         if not 0 < out[rest[-1]] < 1:
             rest.pop()
-    held = list(rest)
-    if land:
-        while held:
-            if len(held) > 1:  # the document total is given up first, the word total is kept as far as it goes
-                a, b = (max(size[i], EPS) for i in held)
-                u = (b / max(a, b), -a / max(a, b))
-            else:
-                u = (1.0,)
-            moved = _move([out[i] for i in held], u, _draw(uid[held[0]] ^ 0x5555))
-            for i, x in zip(held, moved, strict=True):
-                out[i] = x
-            held = [i for i in held if 0 < out[i] < 1]
+    if land and rest:
+        _land(list(rest), size, out)
     return out
 
 
+def _land(held: list[int], size: list[float], p: list[float]) -> None:
+    """Decide the last few documents: of all ways to do so, the one that comes nearest to their expected words, then number."""
+    ways = (np.arange(1 << len(held))[:, None] >> np.arange(len(held))) & 1
+    sizes, chances = np.array([size[i] for i in held]), np.array([p[i] for i in held])
+    words = np.abs(ways @ sizes - chances @ sizes)
+    number = np.abs(ways.sum(1) - chances.sum())
+    best = np.lexsort((np.arange(len(ways)), number, np.round(words, 6)))[0]
+    for i, taken in zip(held, ways[best], strict=True):
+        p[i] = float(taken)
+
+
 def _decide(land: bool):
     def decide(group: pa.Table) -> pa.Table:
         columns = [group.column(c).to_numpy() for c in ("uid", "size", "p")]
