@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierspan.session import ship
+
 MELS, COEFFICIENTS, WIDTH = 40, 13, 9
 CONTEXT = WIDTH // 2
 
@@ -107,6 +109,7 @@ def mfcc_frames(audios: DataFrame) -> DataFrame:
                 matrix = recording_mfcc(*read_wave(content))
                 yield pd.DataFrame({"audio_id": audio_id, "frame": np.arange(len(matrix)), "mfcc": list(matrix)})
 
+    ship(audios.sparkSession)
     kind = audios.schema["audio_id"].dataType.simpleString()
     return audios.select("audio_id", "content").mapInPandas(run, f"audio_id {kind}, frame long, mfcc array<float>")
 

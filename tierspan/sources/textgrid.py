@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tierspan.functions.columns import ms_truncated
 from tierspan.operators.intervals import contained
+from tierspan.session import ship
 
 INTERVALS = "file string, tier string, tier_idx int, idx int, xmin double, xmax double, mark string"
 _TOKEN = re.compile(r'"((?:[^"]|"")*)"|(?<![\w"])(-?\d+(?:\.\d+)?)(?![\w"])')
@@ -36,6 +37,7 @@ def parse(text: str) -> Iterator[tuple[str, int, int, float, float, str]]:
 
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
     """Intervals of all TextGrid files below a path; files are parsed where they are read. A damaged file gives one row with tier `!error`."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT]ext[gG]rid").load(path)
 
     def run(batches):
