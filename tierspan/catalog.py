@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierspan.functions import columns, phonology
-from tierspan.operators import audio, hierarchy, intervals, positions, writes
+from tierspan.operators import audio, hierarchy, intervals, positions, resume, resyllabify, writes
 from tierspan.plans import project
 from tierspan.plans.query import Entity, Query
+from tierspan.sources import synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -553,6 +554,108 @@ def _m09(spark, d):
     return project.table(spark, d, "events").select("event_id", low.alias("low"), high.alias("high"))
 
 
+# imports, replacement and generated data
+@_query("k05_replace_trees", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderkey % 7 = 0")
+def _trees(spark, d):
+    """All rows of some orders give way to one staged row each, found by the parent, not by their own keys."""
+    old = project.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    staged = project.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
+    return writes.new(old, project.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]).unionByName(staged)
+
+
+@_query("k11_links", f"WITH {_SPANS} SELECT speaker_id, audio_id FROM spans GROUP BY speaker_id, audio_id")
+def _links(spark, d):
+    return project.spans(spark, d).select("speaker_id", "audio_id").dropDuplicates(["speaker_id", "audio_id"])
+
+
+@_query("k17_resume", "WITH s AS (SELECT c_custkey AS audio_id, c_custkey IN (SELECT o_custkey FROM orders) AS there FROM customer), r AS (SELECT *, CASE WHEN there THEN row_number() OVER (PARTITION BY there ORDER BY audio_id DESC) END AS k FROM s) SELECT audio_id, CASE WHEN NOT there THEN 'import' WHEN k <= 3 THEN 'audit' ELSE 'skip' END AS action FROM r")
+def _resume(spark, d):
+    sources = project.table(spark, d, "customer").select(F.col("c_custkey").alias("audio_id"))
+    return resume.plan(sources, project.table(spark, d, "orders").select(F.col("o_custkey").alias("audio_id")), [F.col("audio_id")])
+
+
+@_query("k17_audit", f'WITH {_SPANS}, a AS (SELECT audio_id, speaker_id, "start", "end", \'x\' AS label FROM spans), b AS (SELECT audio_id, speaker_id, "start", "end", CASE WHEN identifier % 100 = 0 THEN \'y\' ELSE \'x\' END AS label FROM spans) SELECT DISTINCT audio_id FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a))')
+def _audit(spark, d):
+    s = project.spans(spark, d)
+    stored = s.withColumn("label", F.lit("x"))
+    return resume.differing(stored, stored.withColumn("label", F.when(F.col("identifier") % 100 == 0, "y").otherwise(F.col("label"))))
+
+
+@_query("u02_symdiff", "SELECT k, 'left' AS side FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT CAST(s_suppkey AS INT) FROM supplier) UNION ALL SELECT k, 'right' FROM (SELECT CAST(s_suppkey AS INT) AS k FROM supplier EXCEPT SELECT n_nationkey FROM nation)")
+def _symdiff(spark, d):
+    a, b = project.table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), project.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
+    return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
+
+
+@_query("u05_dedupe_keys", "SELECT DISTINCT o_custkey FROM orders")
+def _dedupe(spark, d):
+    return project.table(spark, d, "orders").select("o_custkey").distinct()
+
+
+@_query("v03_duplicate_identity", f'WITH {_SPANS} SELECT audio_id, speaker_id, "start", count(*) AS count FROM spans GROUP BY audio_id, speaker_id, "start" HAVING count(*) > 1')
+def _identity(spark, d):
+    return writes.duplicate_keys(project.spans(spark, d), ["audio_id", "speaker_id", "start"])
+
+
+@_query("h10_siblings", f"WITH {_WORDS} SELECT p.identifier, count(*) - 1 AS n FROM phrases p JOIN phrases o ON o.audio_id = p.audio_id GROUP BY p.identifier")
+def _siblings(spark, d):
+    p = project.phrases(spark, d)
+    per = p.groupBy("audio_id").agg((F.count(F.lit(1)) - 1).alias("n"))
+    return p.join(per, "audio_id").select("identifier", "n")
+
+
+@_query("q03_get_or_none", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 17")
+def _get(spark, d):
+    orders = _q(spark, d, "orders")
+    row, none = orders.get_or_none(o_orderkey=17), orders.get_or_none(o_orderkey=-1)
+    return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in (row, none) if r], "o_orderkey long, o_totalprice double")
+
+
+@_query("s16_sample", f"WITH {_WORDS} SELECT greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) AS n FROM phrases")
+def _sample(spark, d):
+    """An exact share, drawn by hash; the rows are ours, so their number is compared."""
+    phrases = project.phrases(spark, d)
+    n = max(1, int(phrases.count() * 0.25))
+    return phrases.orderBy(F.xxhash64("identifier"), "identifier").limit(n).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SAID = ", ".join(f"({k}, '{p}')" for k, p in enumerate(synthetic.PHRASES))
+
+
+@_query("s26_synthetic", f"SELECT s.s AS speaker_id, s.s * 1000 + p.k AS identifier, CAST(p.k * 8000 AS BIGINT) AS \"start\", p.label FROM (SELECT unnest(range(20)) AS s) s, (VALUES {_SAID}) p(k, label)")
+def _synthetic(spark, d):
+    return synthetic.generate(spark, 20)["phrases"].select("speaker_id", "identifier", "start", "label")
+
+
+@_query("t04_outcomes")
+def _outcomes(spark, d):
+    """Words cut after each vowel, compared with maximal onsets."""
+    phones = project.phones(spark, d).withColumn("label", F.lower("label")).where(phonology.phone_type(F.col("label")).isNotNull()).withColumnRenamed("parent_id", "word_id")
+    before = F.coalesce(F.sum(F.col("is_vowel").cast("int")).over(Window.partitionBy("word_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = resyllabify.outcomes(phones.withColumn("parent_id", F.col("word_id") * 100 + before))
+    return found.groupBy("ok", "applied", "count_mismatch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("m03_mfcc")
+def _mfcc(spark, d):
+    """Matrices of generated tones, one for each region."""
+    import io
+    import wave
+
+    import numpy as np
+
+    t, rows = np.arange(16000) / 16000, []
+    for r in project.table(spark, d, "region").select("r_regionkey").collect():
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(1)
+            f.setsampwidth(2)
+            f.setframerate(16000)
+            f.writeframes((0.4 * np.sin(2 * np.pi * (200 + 50 * r[0]) * t) * 32767).astype("<i2").tobytes())
+        rows.append((r[0], bytearray(out.getvalue())))
+    return audio.mfcc_frames(spark.createDataFrame(rows, "audio_id int, content binary"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of user turns that start with `th`, longest first."""
     words = project.words(spark, sf_dir).withColumn("duration", columns.duration())
