@@ -105,7 +105,7 @@ def _order_by(spark, d):
     top = _q(spark, d, "orders").order_by("customer__c_mktsegment", "-o_totalprice").get_n(100)
     names = project.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     joined = top.join(names, top["o_custkey"] == names["c_custkey"], "left")
-    return joined.withColumn("place", F.row_number().over(Window.orderBy("c_mktsegment", F.desc("o_totalprice"), "o_orderkey"))).select("o_orderkey", "c_name", "o_totalprice", "place")
+    return joined.withColumn("place", F.row_number().over(Window.orderBy("c_mktsegment", F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("o_orderkey", "c_name", "o_totalprice", "place")
 
 
 @_query("q06_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
@@ -183,7 +183,7 @@ def _preorder(spark, d):
     phrases, words = project.phrases(spark, d).withColumn("label", F.lit("")), project.words(spark, d)
     rows = hierarchy.preorder(("phrase", phrases), ("word", words))
     audio_id = F.when(F.col("level") == "phrase", F.floor(F.col("identifier") / 1000)).otherwise(F.floor(F.col("identifier") / 10_000_000))
-    return rows.withColumn("_a", audio_id).withColumn("place", F.row_number().over(Window.partitionBy("_a").orderBy("path"))).select("identifier", "place")
+    return rows.withColumn("_a", audio_id).withColumn("place", F.row_number().over(Window.partitionBy("_a").orderBy("path")).cast("long")).select("identifier", "place")
 
 
 @_query("h08_ancestors", f"WITH {_PHONES} SELECT f.identifier, w.identifier AS word_id, p.identifier AS phrase_id FROM phones f JOIN words w ON w.identifier = f.parent_id JOIN phrases p ON p.identifier = w.parent_id")
