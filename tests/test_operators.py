@@ -117,7 +117,7 @@ def test_textgrid_to_levels(spark, tmp_path):
     rows = textgrid.read_textgrids(spark, f"file://{tmp_path}").cache()
     assert rows.where("tier = '!error'").count() == 1
     good = rows.where("tier <> '!error'")
-    levels = textgrid.webmaus(good)
+    levels = textgrid.aligned_levels(good)
     assert {k: v.count() for k, v in levels.items()} == {"phrases": 1, "words": 2, "syllables": 2, "phones": 5}
     phones = {r["label"]: r for r in levels["phones"].collect()}
     assert phones["x"]["parent_id"] is None and phones["x"]["phrase_id"] is not None and phones["h"]["parent_id"].endswith("s/0")

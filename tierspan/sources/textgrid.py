@@ -71,7 +71,7 @@ def _ids(df: DataFrame, level: str, offset: float) -> DataFrame:
     return df.select(F.col("file").alias("audio_id"), ms_truncated(F.col("xmin") + offset).alias("start"), ms_truncated(F.col("xmax") + offset).alias("end"), F.concat_ws("/", "file", F.lit(level), F.col("idx").cast("string")).alias("identifier"), F.col("mark").alias("label"))
 
 
-def webmaus(intervals: DataFrame, offset: float = 0.0) -> dict[str, DataFrame]:
+def aligned_levels(intervals: DataFrame, offset: float = 0.0) -> dict[str, DataFrame]:
     """Phrases, words, syllables and phones of aligned recordings. Phones outside any syllable keep a null parent and get the phrase."""
     tier = lambda name: intervals.where(F.col("tier") == name)
     ipa = zip_tiers(intervals, "ORT-MAU", "KAN-MAU").select(F.concat_ws("/", "file", F.lit("w"), F.col("idx").cast("string")).alias("_i"), F.col("rmark").alias("ipa"))
