@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from tierspan.llm import licenses
@@ -31,3 +32,13 @@ def test_base_equals_brute_force_and_templates_are_found(spark):
 
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_files_with_several_notices_keep_every_label(spark):
+    names = sorted(licenses.TEMPLATES)
+    sets = [names, ["apache-2", "bsd", "mit"], *itertools.combinations(names, 3), *itertools.islice(itertools.combinations(names, 4), 0, None, 7)]
+    files = [" and also ".join(licenses.TEMPLATES[x][0] for x in chosen) for chosen in sets]
+    rows = [*enumerate(files), *((-k, "nothing of note") for k in range(1, 3 * len(files)))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [chosen for k, chosen in enumerate(sets) if not set(chosen) <= set(got[k]["labels"].split(","))]
+    assert not lost and all(got[k]["score"] == 1 for k in range(len(files)))

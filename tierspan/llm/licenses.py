@@ -1,10 +1,10 @@
 r"""Licence scan with a positional index of rare licence words.
 
-Base labels come from three fixed phrases. The method adds labels: a file's licence words with the highest inverse document
-frequency are looked up in the templates' postings, each occurrence votes for a template at a relative position (its own
-position minus the template's), and a template whose best position gathers enough of its words is reported if its mandatory key
-phrase stands in the file. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count per
-licence word.
+Base labels come from three fixed phrases. The method adds labels: all rare licence words of a file are looked up in the
+templates' postings, each occurrence votes for a template at a relative position (its own position minus the template's), and a
+template whose best position gathers enough of its words is reported if its mandatory key phrase stands in the file. Files
+without any key phrase need no votes. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count
+per licence word.
 
 Defined results: a null text is empty (no word, no label, score 0); the text is lower-cased before words are taken (letters
 beyond A-Z too, which changes no word's borders and no base phrase); repeated rows are answered each; an empty table gives
@@ -40,8 +40,8 @@ TEMPLATES = {
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
 }
-#: Distinct rare words of a file that are looked up; least idf of a rare word; share of a template's looked-up words that must agree.
-TOP_WORDS, MIN_IDF, MIN_SHARE = 24, 1.0, 0.6
+#: Least idf of a rare word; share of a template's rare words that must agree.
+MIN_IDF, MIN_SHARE = 1.0, 0.6
 _SHIFT = 1 << 40  # votes are packed as template * _SHIFT + position
 
 
@@ -113,22 +113,13 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     base = F.when(may, _let(F.split(F.trim(flat), " "), found)).otherwise(nothing)
 
     rare = sorted(postings)
-    no_votes = F.array().cast("array<bigint>")
     zero = F.array(*[F.lit(0) for _ in names])
 
     def votes(words: Column) -> Column:
-        """A vote (template, relative position) for each occurrence of the file's rarest licence words."""
-        weight = F.create_map(*[F.lit(x) for w in rare for x in (w, float(idf[w]))])
+        """A vote (template, relative position) for each occurrence of a rare licence word."""
         lists = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(v).cast("long") for v in postings[w]]))])
-
-        def cast(known: Column) -> Column:
-            ranked = F.array_sort(F.transform(known, lambda w: F.struct((-F.element_at(weight, w)).alias("i"), w.alias("w"))))
-            top = F.transform(F.slice(ranked, 1, TOP_WORDS), lambda x: x["w"])
-            by_place = lambda chosen: F.transform(words, lambda w, i: F.when(F.array_contains(chosen, w), F.transform(F.element_at(lists, w), lambda p: p - i.cast("long"))))
-            given = _let(top, lambda chosen: F.flatten(F.filter(by_place(chosen), lambda x: x.isNotNull())))
-            return F.when(F.size(known) >= 2, given).otherwise(no_votes)
-
-        return _let(F.array_intersect(words, F.array(*map(F.lit, rare))), cast)
+        by_place = F.transform(words, lambda w, i: F.transform(F.try_element_at(lists, w), lambda p: p - i.cast("long")))
+        return F.flatten(F.filter(by_place, lambda x: x.isNotNull()))
 
     def best(sorted_votes: Column) -> Column:
         """The most votes for one relative position of each template: equal votes stand side by side once sorted."""
@@ -136,7 +127,10 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
         step = lambda a, v: F.struct(v.alias("v"), run(a, v).alias("n"), _raise(a["best"], v, run(a, v)).alias("best"))
         return F.aggregate(sorted_votes, F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("n"), zero.alias("best")), step, lambda a: a["best"])
 
-    counted = _let(_let(F.split(F.trim(flat), " "), votes), lambda v: F.when(F.size(v) > 0, best(F.array_sort(v))).otherwise(zero)) if rare else zero
+    keyed = F.lit(False)
+    for _, key in TEMPLATES.values():
+        keyed = keyed | flat.contains(f" {key} ")
+    counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero) if rare else zero
     rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), counted.alias("_best"))
     places = F.flatten(F.array(*[F.col("_base")[label] for label in BASE.values()]))
     out = rows.select("doc_id", "n_words", places.alias("_places"), "_base", "_best", "_flat")
