@@ -1,4 +1,5 @@
 import itertools
+import math
 import re
 
 from tierspan.llm import licenses
@@ -42,3 +43,17 @@ def test_files_with_several_notices_keep_every_label(spark):
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     lost = [chosen for k, chosen in enumerate(sets) if not set(chosen) <= set(got[k]["labels"].split(","))]
     assert not lost and all(got[k]["score"] == 1 for k in range(len(files)))
+
+
+def test_labels_stay_where_a_notice_is_common(spark):
+    for label, (text, _) in sorted(licenses.TEMPLATES.items()):
+        for copies, others in ((1, 0), (4, 6), (9, 1), (10, 0)):
+            texts = [text] * copies + ["other things"] * others
+            rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            idf = {w: math.log((len(texts) + 1) / ((copies if w in text.split() else 0) + 1)) for w in licenses.vocabulary()}
+            if label == "mit":
+                assert idf == licenses.word_idf(rows)
+                got = [r["labels"] for r in licenses.scan(rows).orderBy("doc_id").collect()]
+                assert got == ["mit"] * copies + [""] * others
+            postings, sizes = licenses._index(idf)
+            assert sizes[label] == min(licenses.RARE_WORDS, len(set(text.split()))) and all(sizes.values())

@@ -1,9 +1,10 @@
 r"""Licence scan with a positional index of rare licence words.
 
-Base labels come from three fixed phrases. The method adds labels: all rare licence words of a file are looked up in the
-templates' postings, each occurrence votes for a template at a relative position (its own position minus the template's), and a
-template whose best position gathers enough of its words is reported if its mandatory key phrase stands in the file. Files
-without any key phrase need no votes. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count
+Base labels come from three fixed phrases. The method adds labels: a template's words with the highest inverse document frequency are its
+postings, each of their occurrences in a file votes for the template at a relative position (its own position minus the
+template's), and a template whose best position gathers enough of its words is reported if its mandatory key phrase stands in
+the file. Frequencies only rank a template's words: every template has postings over every table. Files without any key phrase
+need no votes. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count
 per licence word.
 
 Defined results: a null text is empty (no word, no label, score 0); the text is lower-cased before words are taken (letters
@@ -40,8 +41,8 @@ TEMPLATES = {
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
 }
-#: Least idf of a rare word; share of a template's rare words that must agree.
-MIN_IDF, MIN_SHARE = 1.0, 0.6
+#: Distinct words of a template that have postings, its rarest; share of them that must agree.
+RARE_WORDS, MIN_SHARE = 16, 0.6
 _SHIFT = 1 << 40  # votes are packed as template * _SHIFT + position
 
 
@@ -75,10 +76,11 @@ def _index(idf: dict[str, float]) -> tuple[dict[str, list[int]], dict[str, int]]
     postings: dict[str, list[int]] = {}
     sizes = {}
     for k, (label, (text, _)) in enumerate(sorted(TEMPLATES.items())):
-        rare = [(i, w) for i, w in enumerate(text.split()) if idf[w] >= MIN_IDF]
-        sizes[label] = len({w for _, w in rare})
-        for i, w in rare:
-            postings.setdefault(w, []).append(k * _SHIFT + i)
+        rare = set(sorted(set(text.split()), key=lambda w: (-idf[w], w))[:RARE_WORDS])
+        sizes[label] = len(rare)
+        for i, w in enumerate(text.split()):
+            if w in rare:
+                postings.setdefault(w, []).append(k * _SHIFT + i)
     return postings, sizes
 
 
@@ -130,13 +132,13 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     keyed = F.lit(False)
     for _, key in TEMPLATES.values():
         keyed = keyed | flat.contains(f" {key} ")
-    counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero) if rare else zero
+    counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero)
     rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), counted.alias("_best"))
     places = F.flatten(F.array(*[F.col("_base")[label] for label in BASE.values()]))
     out = rows.select("doc_id", "n_words", places.alias("_places"), "_base", "_best", "_flat")
     labelled = lambda conditions: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in conditions]), lambda x: x.isNotNull()))), ",")
     base_hits = [(label, F.size(F.col("_base")[label]) > 0) for label in BASE.values()]
-    share = {name: F.col("_best")[k] / F.lit(float(sizes[name])) for k, name in enumerate(names) if sizes[name]}
+    share = {name: F.col("_best")[k] / F.lit(float(sizes[name])) for k, name in enumerate(names)}
     hits = [(name, (s >= MIN_SHARE) & F.col("_flat").contains(f" {TEMPLATES[name][1]} ")) for name, s in share.items()]
     score = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(c, F.lit(1.0)) for _, c in base_hits], *[F.when(c, F.least(F.lit(1.0), share[x])) for x, c in hits])
     return out.select(
