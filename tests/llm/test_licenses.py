@@ -55,5 +55,27 @@ def test_labels_stay_where_a_notice_is_common(spark):
                 assert idf == licenses.word_idf(rows)
                 got = [r["labels"] for r in licenses.scan(rows).orderBy("doc_id").collect()]
                 assert got == ["mit"] * copies + [""] * others
-            postings, sizes = licenses._index(idf)
-            assert sizes[label] == min(licenses.RARE_WORDS, len(set(text.split()))) and all(sizes.values())
+            sizes = dict(zip([text for _, text, _ in licenses.WORDINGS], licenses._index(idf)[1], strict=True))
+            assert sizes[text] == min(licenses.RARE_WORDS, len(set(text.split()))) and all(sizes.values())
+
+
+def test_published_gpl_notices(spark):
+    notice = "This program is free software{} you can redistribute it and/or modify\n * it under the terms of the GNU {} as published by\n * the Free Software Foundation{} {}.\n"
+    gpl, later = "General Public License", "(at your option)\n * any later version"
+    texts = {
+        notice.format(":", gpl, ", either", f"version 3 of the License, or {later}"): "gpl-3",
+        notice.format(";", gpl, "; either", f"version 2 of the License, or {later}"): "gpl-2",
+        notice.format(";", gpl, "; either", f"version 2, or {later}"): "gpl-2",
+        notice.format(";", gpl, ", either", f"version 3, or {later}"): "gpl-3",
+        notice.format(";", gpl, ",", "version 3"): "gpl-3",
+        notice.format(";", gpl, ";", "version 2 of the License"): "gpl-2",
+        "This file is released under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.": "gpl-2",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>": "gpl-3",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,": "gpl-2",
+        notice.format(":", "Lesser General Public License", ", either", f"version 3 of the License, or {later}"): "lgpl",
+        notice.format(":", "Affero General Public License", ", either", f"version 3 of the License, or {later}"): "agpl-3",
+        notice.format(";", gpl, "; either", f"version 1, or {later}"): "",
+    }
+    rows = spark.createDataFrame([*enumerate(texts), (-1, "nothing of note")], "doc_id long, text string")
+    got = [r["labels"] for r in licenses.scan(rows).where("doc_id >= 0").orderBy("doc_id").collect()]
+    assert got == list(texts.values())

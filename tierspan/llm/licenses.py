@@ -24,7 +24,7 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence wordings from the public licence texts: label -> (wording, mandatory key phrase).
+#: Licence wordings: label -> (wording, mandatory key phrase). Those of gpl-3 and gpl-2 are a plain statement, others come from the public licence texts.
 TEMPLATES = {
     "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
     "apache-2": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
@@ -41,13 +41,29 @@ TEMPLATES = {
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
     "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
 }
+_GPL = "gnu general public license"
+_PUBLISHED = f"{_GPL} as published by the free software foundation"
+#: Further wordings of a label, from the licences' own notices, those of programs under one version only, and the head of the licence text.
+MORE_WORDINGS = [
+    (f"gpl-{v}", text, key)
+    for v, head in ((3, "29 june 2007 copyright c 2007"), (2, "june 1991 copyright c 1989 1991"))
+    for text, key in (
+        (f"you can redistribute it and or modify it under the terms of the {_PUBLISHED} either version {v} of the license", f"{_PUBLISHED} either version {v} of the license"),
+        (f"you can redistribute it and or modify it under the terms of the {_PUBLISHED} either version {v} or at your option any later version", f"{_PUBLISHED} either version {v} or at your option"),
+        (f"you can redistribute it and or modify it under the terms of the {_PUBLISHED} version {v}", f"{_PUBLISHED} version {v}"),
+        (f"under the terms of the {_GPL} version {v} as published by the free software foundation", f"{_GPL} version {v} as published by the free software foundation"),
+        (f"{_GPL} version {v} {head} free software foundation inc", f"{_GPL} version {v} {head.split(' copyright')[0]}"),
+    )
+]
+#: (label, wording, key phrase) of every wording.
+WORDINGS = [*((label, *pair) for label, pair in sorted(TEMPLATES.items())), *MORE_WORDINGS]
 #: Distinct words of a template that have postings, its rarest; share of them that must agree.
 RARE_WORDS, MIN_SHARE = 16, 0.6
 _SHIFT = 1 << 40  # votes are packed as template * _SHIFT + position
 
 
 def vocabulary() -> list[str]:
-    return sorted({w for text, _ in TEMPLATES.values() for w in text.split()})
+    return sorted({w for _, text, _ in WORDINGS for w in text.split()})
 
 
 def _let(value: Column, body) -> Column:
@@ -71,13 +87,13 @@ def word_idf(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in words}
 
 
-def _index(idf: dict[str, float]) -> tuple[dict[str, list[int]], dict[str, int]]:
-    """Postings (template * _SHIFT + position) of rare words, and how many rare words each template has."""
+def _index(idf: dict[str, float]) -> tuple[dict[str, list[int]], list[int]]:
+    """Postings (template * _SHIFT + position) of rare words, and how many rare words each template, one of WORDINGS, has."""
     postings: dict[str, list[int]] = {}
-    sizes = {}
-    for k, (label, (text, _)) in enumerate(sorted(TEMPLATES.items())):
+    sizes = []
+    for k, (_, text, _) in enumerate(WORDINGS):
         rare = set(sorted(set(text.split()), key=lambda w: (-idf[w], w))[:RARE_WORDS])
-        sizes[label] = len(rare)
+        sizes.append(len(rare))
         for i, w in enumerate(text.split()):
             if w in rare:
                 postings.setdefault(w, []).append(k * _SHIFT + i)
@@ -101,7 +117,6 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     """One row per document with its words, base phrase places, labels and score."""
     idf = word_idf(docs) if idf is None else idf
     postings, sizes = _index(idf)
-    names = sorted(TEMPLATES)
     rows = docs.select("doc_id", _words().alias("_flat"))
     flat = F.col("_flat")
     n_words = F.when(flat == " ", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) - 1).cast("long")
@@ -115,7 +130,7 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     base = F.when(may, _let(F.split(F.trim(flat), " "), found)).otherwise(nothing)
 
     rare = sorted(postings)
-    zero = F.array(*[F.lit(0) for _ in names])
+    zero = F.array(*[F.lit(0) for _ in WORDINGS])
 
     def votes(words: Column) -> Column:
         """A vote (template, relative position) for each occurrence of a rare licence word."""
@@ -130,7 +145,7 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
         return F.aggregate(sorted_votes, F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("n"), zero.alias("best")), step, lambda a: a["best"])
 
     keyed = F.lit(False)
-    for _, key in TEMPLATES.values():
+    for _, _, key in WORDINGS:
         keyed = keyed | flat.contains(f" {key} ")
     counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero)
     rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), counted.alias("_best"))
@@ -138,9 +153,9 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     out = rows.select("doc_id", "n_words", places.alias("_places"), "_base", "_best", "_flat")
     labelled = lambda conditions: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in conditions]), lambda x: x.isNotNull()))), ",")
     base_hits = [(label, F.size(F.col("_base")[label]) > 0) for label in BASE.values()]
-    share = {name: F.col("_best")[k] / F.lit(float(sizes[name])) for k, name in enumerate(names)}
-    hits = [(name, (s >= MIN_SHARE) & F.col("_flat").contains(f" {TEMPLATES[name][1]} ")) for name, s in share.items()]
-    score = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(c, F.lit(1.0)) for _, c in base_hits], *[F.when(c, F.least(F.lit(1.0), share[x])) for x, c in hits])
+    share = [F.col("_best")[k] / F.lit(float(n)) for k, n in enumerate(sizes)]
+    hits = [(label, (s >= MIN_SHARE) & F.col("_flat").contains(f" {key} ")) for s, (label, _, key) in zip(share, WORDINGS, strict=True)]
+    score = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(c, F.lit(1.0)) for _, c in base_hits], *[F.when(c, F.least(F.lit(1.0), s)) for s, (_, c) in zip(share, hits, strict=True)])
     return out.select(
         "doc_id",
         "n_words",
