@@ -30,3 +30,10 @@ def test_query_equals_sql(spark, name):
 
 def test_flagship(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_first_appearance_reads_every_conversation(spark, tmp_path):
+    rows = [(k, 0, "user", f"word{k} same") for k in (0, 49, 50, 999)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = __spark_entry__.queries()["w05_first_appearance_all"](spark, str(tmp_path)).collect()
+    assert {r["label"] for r in got} == {"word0", "word49", "word50", "word999", "same"}

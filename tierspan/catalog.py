@@ -381,6 +381,11 @@ def _first_seen(spark, d):
     return positions.first_appearance(project.words(spark, d).where("audio_id < 50"), "label")
 
 
+@_query("w05_first_appearance_all", f'WITH {_WORDS} SELECT label, min("start") AS first_start FROM words GROUP BY label')
+def _first_seen_all(spark, d):
+    return positions.first_appearance(project.words(spark, d), "label")
+
+
 @_query("w06_placeholder", "WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN NULL ELSE l_linenumber * 100 END AS e FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(coalesce(e - 60, c) AS BIGINT) AS \"start\", CAST(coalesce(e, c) AS BIGINT) AS \"end\" FROM (SELECT *, coalesce(last_value(e IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, e NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM s)")
 def _placeholder(spark, d):
     rows = project.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("phrase_id"), "l_linenumber", F.when(F.col("l_discount") <= 0.05, F.col("l_linenumber").cast("long") * 100).alias("end"))
