@@ -149,3 +149,38 @@ def test_frame_slices(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "f array<double>")
     cut = lambda a, b: row.select(hierarchy.frame_slice(F.col("f"), F.lit(a), F.lit(b), F.lit(0), F.lit(100))).first()[0]
     assert cut(25, 50) == [2.0] and cut(0, 100) == [1.0, 2.0, 3.0, 4.0] and cut(99, 100) == [4.0]
+
+
+def test_phrases_from_phones(spark):
+    from tierspan.operators import resyllabify
+
+    cases = {
+        "het ei": "h 0 80 het, ɛ 80 180 het, t 180 260 het, ɛi 260 500 ei",
+        "reduced": "t 0 120 het, ɛi 120 500 ei",
+        "man zee": "m 0 100 man, ɑ 100 200 man, n 200 300 man, z 1000 1100 zee, eː 1100 1300 zee",
+        "no vowel": "s 0 100 st, t 100 200 st",
+        "one bad run": "m 0 100 man, ɑ 100 200 man, s 1000 1100 st, t 1100 1200 st",
+        "unknown": "ɑ 0 100 a, XYZ 100 200 a",
+    }
+    rows = [(u, "a", "s", f"{u}/{w}", f"{u}{k}", int(a), int(b), x) for u, text in cases.items() for k, (x, a, b, w) in enumerate(p.split() for p in text.split(", "))]
+    schema = "unit string, audio_id string, speaker_id string, word_id string, identifier string, start long, end long, label string"
+    phones = spark.createDataFrame(rows, schema)
+    words = phones.select(F.col("word_id").alias("identifier"), F.split_part("word_id", F.lit("/"), F.lit(2)).alias("label")).distinct()
+
+    def made(max_pause):
+        got = {}
+        for r in resyllabify.syllabify_phones(phones, words, "unit", max_pause).orderBy("unit", "phrase_start", "start", "end").collect():
+            row = None if r["run"] is None else (r["phrase_start"], r["phrase_end"], r["phrase_label"], r["word_label"], r["start"], r["end"], [s["label"] for s in r["syllables"]])
+            got.setdefault(r["unit"], []).append(row)
+        return got
+
+    got = made(500)
+    assert got["het ei"] == [(0, 500, "het ei", "het", 0, 180, ["h ɛ"]), (0, 500, "het ei", "ei", 180, 500, ["t ɛi"])]
+    assert got["reduced"] == [(0, 500, "het ei", "het", 0, 0, []), (0, 500, "het ei", "ei", 0, 500, ["t ɛi"])]
+    assert got["man zee"] == [(0, 300, "man", "man", 0, 300, ["m ɑ n"]), (1000, 1300, "zee", "zee", 1000, 1300, ["z eː"])]
+    assert got["no vowel"] == got["one bad run"] == got["unknown"] == [None]
+    assert [r[:4] for r in made(2000)["man zee"]] == [(0, 1300, "man zee", "man"), (0, 1300, "man zee", "zee")]
+    assert resyllabify.syllabify_phones(phones.limit(0), words, "unit").count() == 0
+    for column in ("speaker_id", "audio_id"):
+        with pytest.raises(ValueError):
+            resyllabify.syllabify_phones(phones.withColumn(column, F.col("identifier")), words, "unit")

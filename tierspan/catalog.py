@@ -453,9 +453,9 @@ def _syllables(spark, d):
 
 @_query("t03_phrases")
 def _syllable_phrases(spark, d):
+    """Phrases rebuilt from the phones of each turn; turns with other symbols than the table's have null results."""
     phones = project.phones(spark, d).withColumn("label", F.lower("label")).withColumn("word_id", F.col("parent_id"))
-    known = phones.where(phonology.phone_type(F.col("label")).isNotNull())
-    return phonology.syllabify_phrase(known, project.words(spark, d), "phrase_id")
+    return resyllabify.syllabify_phones(phones, project.words(spark, d), "phrase_id")
 
 
 # writes and sets, computed as result sets

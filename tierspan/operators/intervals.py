@@ -67,9 +67,9 @@ def as_of(spans: DataFrame, points: DataFrame) -> DataFrame:
     return carried.select("identifier", F.when(F.col("_t") <= F.col("_last.e"), F.col("_last.i")).alias("span_id"))
 
 
-def pause_runs(rows: DataFrame, max_pause: int = 500) -> DataFrame:
+def pause_runs(rows: DataFrame, max_pause: int = 500, by: tuple[str, ...] = ("audio_id", "speaker_id")) -> DataFrame:
     """Add `run`: a new one starts where the gap to the row before, in start order, is at least `max_pause`."""
-    w = Window.partitionBy("audio_id", "speaker_id").orderBy("start", "identifier")
+    w = Window.partitionBy(*by).orderBy("start", "identifier")
     gap = F.col("start") - F.lag("end").over(w)
     return rows.withColumn("_new", F.when(gap >= max_pause, 1).otherwise(0)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
