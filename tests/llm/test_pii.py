@@ -58,3 +58,19 @@ def test_nulls_empty_and_plain_texts(spark):
     rows = sorted(map(tuple, pii.pseudonymise(docs).collect()), key=repr)
     assert len(rows) == 6 and (1, None, 0, 0, "") in rows and (2, "", 0, 0, "") in rows and rows.count((3, "no data", 0, 0, "")) == 2
     assert pii.pseudonymise(docs.limit(0)).count() == 0
+
+
+def test_timestamps_and_other_layouts(spark):
+    dates = ["1987-02-28T10:00:00Z", "1987/02/28", "1987/2/28", "1987-02-28"]
+    phones = ["+31 20 123 4567", "+49 30 1234567", "020-1234567", "5551234567", "+31201234567", "0031 20 123 4567", "(020) 123 4567", "06 12 34 56 78", "+44 (0)20 7946 0958", "030/1234567", "+1 (017) 555-7713", "555-123-4567"]
+    kept = ["1987-02-28Z1", "1987/13/28", "2.0123456789", "0.123456789", "1700000000", "12 345", "007", "+12"]
+    texts = [f"on {v}, then" for v in dates + phones + kept]
+    got = [r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for r, text in zip(got, texts, strict=True):
+        kind = "date" if text[3:-6] in dates else "phone" if text[3:-6] in phones else ""
+        assert r["kinds"] == kind and (r["text"] == text) == (kind == ""), (text, r)
+        assert re.sub(r"\d", "9", r["text"]).replace("9/9/", "9/99/") == re.sub(r"\d", "9", text).replace("9/9/", "9/99/"), (text, r)
+    plain = lambda k: re.sub(r"\D", "", got[len(dates) + k]["text"])
+    assert plain(0) == plain(4) and plain(0)[:2] == "31" and plain(2) == plain(6)
+    day = lambda r: re.search(r"\d{4}.\d\d.\d\d", r["text"])[0].replace("/", "-")
+    assert len({day(r) for r in got[:4]}) == 1 and got[0]["text"].endswith("T10:00:00Z, then")

@@ -1,7 +1,8 @@
 r"""Format-preserving pseudonyms for personal data: keyed Feistel permutations of validated numbers and dates.
 
-Found and checked: payment cards (13 to 19 digits, Luhn), phone numbers, social security numbers (area, group and serial in
-range), IPv4 addresses (four bytes), calendar dates of 1900 to 2099 in three notations, the local part of e-mail addresses, and
+Found and checked: payment cards (13 to 19 digits, Luhn), phone numbers (7 to 15 digits after + or 0, in groups or not, and ten
+digits in the layout 3-3-4 or in one piece), social security numbers (area, group and serial in
+range), IPv4 addresses (four bytes), calendar dates of 1900 to 2099, year or day first (a time may follow after a T), the local part of e-mail addresses, and
 hexadecimal secrets of 32 to 64 digits. A value is permuted within its own domain by an alternating Feistel network whose round
 function is a keyed SHA-256, so the same value becomes the same pseudonym in every document, different values stay different,
 and the format stays: separators, lengths and prefixes remain, cards still satisfy Luhn, dates are dates. A date in another
@@ -22,16 +23,23 @@ KEY = "set a secret of your own"
 ROUNDS = 8
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 _L, _R = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_])"
-_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
+_END = r"(?![0-9A-Za-z_])"
+#: 7 to 15 digits after + or 0, in groups set apart by a blank, dot, dash or slash; the area code, or a trunk 0, may be in brackets.
+_PLUS = r"\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d[ ./-]?){3,13}\d" + _END
+_ZERO = r"(?<![+.,/-])(?:\(0\d{1,4}\)[ ./-]?(?:\d[ ./-]?){4,9}\d|0\d(?:[ ./-]?\d){5,13})" + _END
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "ipv4": _L + r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?[0-9A-Za-z_])",
-    "date": _L + _DATE + _R,
+    "date": _L + _DATE + r"(?![0-9A-SU-Za-z_]|T(?!\d{2}))",
     "ssn": _L + r"\d{3}-\d{2}-\d{4}(?!-?[0-9A-Za-z_])",
     "card": r"(?<![0-9A-Za-z_])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![0-9A-Za-z_])",
-    "phone": r"(?<![0-9A-Za-z_])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![0-9A-Za-z_])",
+    "phone": r"(?<![0-9A-Za-z_])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}" + _END + "|" + _PLUS + "|" + _ZERO + r"|[2-9]\d{9}" + _END + ")",
 }
+#: Country codes are prefix-free: those of one and two digits, all others have three.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+LAYOUT = r"^(?!\(?0)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}$"
 _ANY = "|".join(PATTERNS.values())
 
 
@@ -110,10 +118,13 @@ def _card(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """The country code stays; the national number is permuted."""
-    head = F.regexp_extract(v, r"^(\+\d{1,3}[ .-]?(?=\(|\d{3}))?", 0)
+    """The country code and the 0 or 00 before a number stay; the rest is permuted."""
+    usual = r"(?:\+\d{1,3}[ .-]?(?=(?:\(\d{2,4}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}$))"
+    other = r"(?:\+" + COUNTRY + r"[ .-]?(?:\(0\)[ .-]?)?|\(?00?)"
+    head = F.when(v.rlike(LAYOUT), F.regexp_extract(v, "^" + usual + "?", 0)).otherwise(F.regexp_extract(v, "^" + other + "?", 0))
     rest = F.substr(v, F.length(head) + 1)
-    return let(rest, lambda r: F.concat(head, _refill(r, permute_symbols(_only(r, DIGITS), DIGITS, key, "phone"), DIGITS)))
+    made = let(rest, lambda r: F.concat(head, _refill(r, permute_symbols(_only(r, DIGITS), DIGITS, key, "phone"), DIGITS)))
+    return F.when(F.length(_only(v, DIGITS)).between(7, 15), made)
 
 
 def _ipv4(v: Column, key: str) -> Column:
@@ -140,13 +151,13 @@ def _ssn(v: Column, key: str) -> Column:
 
 def _date(v: Column, key: str) -> Column:
     """A day of 1900 to 2099 becomes another: (year, day of a common year); leap days move among the 49 leap years."""
-    iso = v.rlike(r"^\d{4}-")
+    iso = v.rlike(r"^\d{4}[-/]")
     sep = F.when(v.contains("/"), F.lit("/")).otherwise(F.lit("."))
     y = F.when(iso, F.substring(v, 1, 4)).otherwise(F.split_part(v, sep, F.lit(3)))
-    m = F.when(iso, F.substring(v, 6, 2)).otherwise(F.split_part(v, sep, F.lit(2)))
-    d = F.when(iso, F.substring(v, 9, 2)).otherwise(F.split_part(v, sep, F.lit(1)))
+    m = F.when(iso, F.regexp_extract(v, r"^\d{4}.(\d+).(\d+)$", 1)).otherwise(F.split_part(v, sep, F.lit(2)))
+    d = F.when(iso, F.regexp_extract(v, r"^\d{4}.(\d+).(\d+)$", 2)).otherwise(F.split_part(v, sep, F.lit(1)))
     # in slashed dates the month may stand first; a first part over 12 can only be a day
-    swap = v.contains("/") & (m.cast("int") > 12)
+    swap = v.contains("/") & ~iso & (m.cast("int") > 12)
     month, day = F.when(swap, d).otherwise(m).cast("int"), F.when(swap, m).otherwise(d).cast("int")
     date = F.format_string("%04d-%02d-%02d", y.cast("int"), month, day).try_cast("date")
 
@@ -162,7 +173,7 @@ def _date(v: Column, key: str) -> Column:
     def written(x: Column) -> Column:
         two = lambda c: F.lpad(c.cast("string"), 2, "0")
         mm, dd = two(F.month(x)), two(F.dayofmonth(x))
-        return F.when(iso, F.concat_ws("-", F.year(x).cast("string"), mm, dd)).when(swap, F.concat_ws("/", mm, dd, F.year(x).cast("string"))).otherwise(F.concat(dd, sep, mm, sep, F.year(x).cast("string")))
+        return F.when(iso, F.concat(F.year(x).cast("string"), F.substring(v, 5, 1), mm, F.substring(v, 5, 1), dd)).when(swap, F.concat_ws("/", mm, dd, F.year(x).cast("string"))).otherwise(F.concat(dd, sep, mm, sep, F.year(x).cast("string")))
 
     return let(date, lambda x: F.when(F.year(x).between(1900, 2099), let(moved(x), written)))
 
