@@ -108,6 +108,17 @@ def _order_by(spark, d):
     return joined.withColumn("place", F.row_number().over(Window.orderBy("c_mktsegment", F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("o_orderkey", "c_name", "o_totalprice", "place")
 
 
+@_query("q05_order_by_all", "SELECT o_orderkey, c_name, o_totalprice, row_number() OVER (ORDER BY c_mktsegment, o_totalprice DESC, o_orderkey) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _order_by_all(spark, d):
+    """Every order with its place."""
+    names = project.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    orders = _q(spark, d, "orders").rows()
+    joined = orders.join(names, orders["o_custkey"] == names["c_custkey"], "left")
+    # DuckDB puts nulls last
+    order = [F.asc_nulls_last("c_mktsegment"), F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")]
+    return joined.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("o_orderkey", "c_name", "o_totalprice", "place")
+
+
 @_query("q06_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
 def _count(spark, d):
     return _q(spark, d, "orders").filter(o_orderstatus="P").rows().agg(F.count(F.lit(1)).alias("n"))
@@ -210,6 +221,12 @@ def _bucketed(spark, d):
     return intervals.bucketed_overlaps(s.where("end > start"), s, 3_600_000).select("identifier")
 
 
+@_query("h12_overlap_bucketed_all", ORACLE_SQL["h12_overlap"])
+def _bucketed_all(spark, d):
+    s = project.spans(spark, d)
+    return intervals.bucketed_overlaps(s, s, 3_600_000).select("identifier")
+
+
 @_query("h13_overlap_codes", f'WITH {_SPANS} SELECT identifier, CAST(EXISTS (SELECT 1 FROM spans b WHERE a.audio_id = b.audio_id AND a.identifier <> b.identifier AND a.speaker_id <> b.speaker_id AND a."start" < b."end" AND b."start" < a."end") AS SMALLINT) AS overlap_code FROM spans a')
 def _codes(spark, d):
     return intervals.overlap_codes(project.spans(spark, d))
@@ -415,6 +432,12 @@ def _symbols(spark, d):
     return labels.select("label", phonology.map_symbols(F.col("label"), _MAPPING)[0].alias("ipa"))
 
 
+@_query("t06_symbols_all", f"WITH {_WORDS} SELECT DISTINCT label, replace({_CASES.replace("'1'", "chr(57344)")}, chr(57344), 'iː') AS ipa FROM words")
+def _symbols_all(spark, d):
+    labels = project.words(spark, d).select("label").distinct()
+    return labels.select("label", phonology.map_symbols(F.col("label"), _MAPPING)[0].alias("ipa"))
+
+
 @_query("t07_clean", f"WITH {_WORDS}, u AS (SELECT DISTINCT label, trim(label) AS raw FROM words), b AS (SELECT *, trim(regexp_replace(regexp_replace(raw, '^!', ''), '[.?,*]|\\*[a-z]+', '', 'g')) AS body FROM u) SELECT label, CASE WHEN raw = '_' THEN raw WHEN body = '' THEN raw WHEN starts_with(raw, '!') THEN '!' || body ELSE body END AS cleaned FROM b")
 def _clean(spark, d):
     return project.words(spark, d).select("label").distinct().select("label", columns.clean_label(F.col("label")).alias("cleaned"))
