@@ -9,8 +9,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierspan.session import ship
+
 #: ASCII white space, the separator of words in every operator that counts or compares words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,35 +62,73 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
+def begin(spark: SparkSession) -> None:
+    """Ship this package to the executors and bound the rows of an Arrow batch: batches hold whole texts."""
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a scratch Parquet table in the shared folder and read it back: cuts lineage, survives executors."""
+    """Write `df` as a scratch Parquet table in the shared folder and read it back: cuts lineage, survives executors.
+
+    What was shuffled for it isn't needed once it is written, so those files go at once instead of with the driver's garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A bitmap has 8 bits for each member, at most 2**26 (8 MB as longs, broadcast). Beyond MOST members it would tell nothing and isn't made.
+MOST = 1 << 26
+
+
+def bitmap_bits(members: int) -> int:
+    """Size of a bitmap of so many members: a power of two, or 0 for no bitmap, where every row may be a member."""
+    return 0 if members > MOST else min(MOST, 1 << max(16, (8 * members).bit_length()))
+
+
 def _slot(keys: list[Column], bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(bits))
 
 
-def membership_bitmap(members: DataFrame, keys: list[Column], bits: int = 1 << 23) -> DataFrame:
-    """A one-hash Bloom filter of `keys` as rows (_word, _mask), at most bits / 64 of them: its size never grows with the data."""
+def level_bitmap(members: DataFrame, keys: list[Column], levels: list[Column], bits: int) -> DataFrame | None:
+    """One-hash Bloom filters of `keys` as rows (_word, _mask0, _mask1, ...), at most bits / 64: mask k has the members that meet levels[k]."""
+    if not bits:
+        return None
+    slot = _slot(keys, bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+    masks = members.select(F.floor(slot / 64).alias("_word"), *[F.when(level, one).alias(f"_m{k}") for k, level in enumerate(levels)])
+    return masks.groupBy("_word").agg(*[F.bit_or(f"_m{k}").alias(f"_mask{k}") for k in range(len(levels))])
+
+
+def flag_level(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag: str, levels: int, bits: int) -> DataFrame:
+    """Add integer `flag`: how many of the leading levels the row may meet. It may be too high (a false positive), never too low."""
+    if bitmap is None:
+        return df.withColumn(flag, F.lit(levels))
     slot = _slot(keys, bits)
-    return (
-        members.select(F.floor(slot / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("_m"))
-        .groupBy("_word")
-        .agg(F.bit_or("_m").alias("_mask"))
-    )
+    out = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64)).join(F.broadcast(bitmap), "_word", "left")
+    bit = F.pmod("_slot", F.lit(64)).cast("int")
+    level = F.lit(0)
+    for k in range(levels):
+        level = F.when(F.getbit(f"_mask{k}", bit) == 1, F.lit(k + 1)).otherwise(level)
+    return out.withColumn(flag, level).drop("_slot", "_word", *[f"_mask{k}" for k in range(levels)])
 
 
-def flag_members(df: DataFrame, keys: list[Column], bitmap: DataFrame, flag: str, bits: int = 1 << 23) -> DataFrame:
+def membership_bitmap(members: DataFrame, keys: list[Column], bits: int = 1 << 23) -> DataFrame | None:
+    """A one-hash Bloom filter of `keys`, for `flag_members` with the same `bits`."""
+    return level_bitmap(members, keys, [F.lit(True)], bits)
+
+
+def flag_members(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag: str, bits: int = 1 << 23) -> DataFrame:
     """Add boolean `flag`: false means surely no member; true means a member, or a false positive that an exact step sorts out.
 
-    The bitmap is broadcast; it has at most bits / 64 rows (2 MB for the default), whatever the input.
+    The bitmap is broadcast; it has at most bits / 64 rows, whatever the input.
     """
-    slot = _slot(keys, bits)
-    wide = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64))
-    out = wide.join(F.broadcast(bitmap), "_word", "left")
-    hit = F.coalesce(F.getbit("_mask", F.pmod("_slot", F.lit(64)).cast("int")) == 1, F.lit(False))
-    return out.withColumn(flag, hit).drop("_slot", "_word", "_mask")
+    return flag_level(df, keys, bitmap, flag, 1, bits).withColumn(flag, F.col(flag) > 0)

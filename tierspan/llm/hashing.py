@@ -6,7 +6,6 @@ Words are runs of bytes other than 0x20 and 0x09 to 0x0D, after A-Z became a-z.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +17,21 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are looked at together; a longer text stands alone.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
+_TABLE: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-@functools.cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
+    """P**i and P**-i modulo 2**64 for i < n. A worker keeps one table, for chunks; that of a longer text goes with it."""
+    if _TABLE and len(_TABLE[0][0]) >= n:
+        return _TABLE[0]
     inverse = np.uint64(pow(int(_P), -1, 1 << 64))
+    size = max(n, CHUNK + 1)
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_P, inverse))
+        made = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_P, inverse))
+    if size == CHUNK + 1:
+        _TABLE[:] = [made]
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,8 +75,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     opens[edges] = inside[edges]
     closes[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    size = 1 << max(16, int(n).bit_length())
-    power, back = _powers(size)
+    power, back = _powers(n + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * power[:n])])
         h = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
