@@ -7,6 +7,10 @@ documents), in the direction and length that a hash of the document draws, until
 documents undecided at most; blocks' leftovers meet in further rounds, until a landing problem of a dozen documents remains in each source, which is solved by looking
 at all its outcomes. Long documents are decided first, so that what is left to land is short.
 
+A document too long to be balanced by two others moves against all others of its block at once, along a vector that keeps both
+totals, or if that leaves no room the words. It takes the way that the others can make up for. In a source of several blocks such
+documents are one group, decided first; there are few, and the others share what probability they leave.
+
 Defined results: a null text has size 0 and adds nothing; null sources are one source, after all others; rows repeated with the same
 id, text and source share one decision; sources without words have target 0; reruns and other partitionings give the same
 result; an empty table gives no row. The driver holds one row per source.
@@ -20,19 +24,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tierspan.llm.common import SPACE, materialise
-from tierspan.session import ship
+from tierspan.llm.common import SPACE, begin, materialise
 
 WEIGHTS = (1, 2, 3)
 MAX_TIMES = 3
 #: Documents of a block; undecided documents that meet in a block of a later round.
 BLOCK = 8192
 SEED = 17
-#: A document is a giant if it holds more than 1 / GIANT of a block's undecided words.
-GIANT = 1000
+#: A document is a giant if it holds more than 1 / GIANT of a block's undecided words, counting so many blocks of a source at most.
+GIANT, GIANT_BLOCKS = 64, 256
 #: The landing problem: so many undecided documents of a source at most.
 LANDING = 12
+#: Tables of one row per source are broadcast up to so many sources.
+FEW_SOURCES = 100_000
 EPS = 1e-9
 UNITS = "skey string, uid long, size double, p double"
 
@@ -71,46 +77,94 @@ def _move(p: list[float], u: tuple[float, ...], draw: float) -> list[float]:
     return [0.0 if x < EPS else 1.0 if x > 1 - EPS else x for x in moved]
 
 
-def _settle_giants(uid: list[int], size: list[float], p: list[float], least: int) -> list[float]:
-    """Decide documents that hold over 1 / GIANT of the undecided words, each against all others at once.
+def _take_giant(size: float, p: float, draw: float, above: float, below: float) -> float | None:
+    """Whether a giant of probability p is taken (1) or not (0): the draw's way, or the other where the rest can't make up for it.
+
+    The rest can gain `above` words and lose `below`. None where neither way can be made up for.
+    """
+    may_take, may_leave = (1 - p) * size <= below + EPS, p * size <= above + EPS
+    if may_take and may_leave:
+        return float(draw < p)
+    return 1.0 if may_take else 0.0 if may_leave else None
+
+
+def _made_up(x: np.ndarray, size: np.ndarray, words: float, docs: float) -> np.ndarray | None:
+    """x moved so that it holds so many more words and documents: by x (1 - x) (a + b size), where a bound is met the others do the rest.
 
-    A giant would hardly move against two others. The move along (1, a + b * size of the others), which keeps both totals (the word
-    total alone where all others are as long), decides it or another document; there are few giants, so few moves.
+    None if a few attempts don't do; then the words alone are kept.
+    """
+    free, out = np.ones(len(x), bool), x.copy()
+    for _ in range(12):
+        h, s = (x * (1 - x))[free], size[free]
+        gained = out[~free] - x[~free]
+        w, d = words - (gained * size[~free]).sum(), docs - gained.sum()
+        m0, m1, m2 = h.sum(), (h * s).sum(), (h * s * s).sum()
+        det = m0 * m2 - m1 * m1
+        if det <= 1e-9 * m0 * m2:
+            return None
+        out[free] = x[free] + h * ((d * m2 - w * m1) / det + (w * m0 - d * m1) / det * s)
+        past = free & ((out < 0) | (out > 1))
+        if not past.any():
+            return out
+        out = np.clip(out, 0, 1)
+        free &= ~past
+    return None
+
+
+def _settle_giants(uid: list[int], size: list[float], p: list[float], least: int, land: bool) -> list[float]:
+    """Decide documents that hold over 1 / GIANT of the undecided words, longest first, each against all others at once.
+
+    One that the others can't make up for waits for the next round; in the last, it takes the way that leaves the lesser fault.
     """
     q, s = np.array(p), np.array(size)
-    for move in range(8 * GIANT):
+    for giant in range(len(q)):
         rest = np.flatnonzero((q > 0) & (q < 1))
-        if len(rest) <= max(least, 3) or s[rest[0]] * GIANT <= s[rest].sum():
+        rest = rest[rest > giant]
+        if len(rest) < max(least, 3) or s[giant] * GIANT <= s[rest].sum() + s[giant]:
             break
-        giant, others = rest[0], rest[1:]
-        n, total, square = len(others), s[others].sum(), (s[others] ** 2).sum()
-        det = total * total - n * square
-        if abs(det) > 1e-9 * n * square:
-            b = (-total + n * s[giant]) / det
-            u = (-1 - b * total) / n + b * s[others]
-        elif total > 0:
-            u = np.full(n, -s[giant] / total)
+        if not 0 < q[giant] < 1:
+            continue
+        x, words = q[rest], s[rest]
+        above, below = float(((1 - x) * words).sum()), float((x * words).sum())
+        taken = _take_giant(s[giant], q[giant], _draw(uid[giant] * 7), above, below)
+        possible = taken is not None
+        if not possible:
+            if not land:
+                continue
+            taken = float((1 - q[giant]) * s[giant] - below < q[giant] * s[giant] - above)
+        owed = (q[giant] - taken) * s[giant]
+        both = _made_up(x, words, owed, q[giant] - taken) if possible else None
+        if both is not None:
+            x = both
         else:
-            break
-        u = np.concatenate([[1.0], u])
-        u[np.abs(u) < EPS] = 0
-        x = q[rest]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ahead = np.where(u > 0, (1 - x) / u, np.where(u < 0, -x / u, np.inf)).min()
-            back = np.where(u > 0, x / u, np.where(u < 0, (x - 1) / u, np.inf)).min()
-        step = ahead if _draw(uid[giant] * 7 + move) * (ahead + back) < back else -back
-        x = x + step * u
-        q[rest] = np.where(x < EPS, 0.0, np.where(x > 1 - EPS, 1.0, x))
+            x = x + (1 - x) * min(1.0, owed / above) if owed > 0 and above > 0 else x * (1 - min(1.0, -owed / below)) if below > 0 else x
+        q[giant], q[rest] = taken, np.where(x < EPS, 0.0, np.where(x > 1 - EPS, 1.0, x))
     return q.tolist()
 
 
+def _settle_source(group: pa.Table) -> pa.Table:
+    """The giants of one source (skey, uid, size, p, docs, words: of the whole source): those decided, so that the rest can make up for them."""
+    uid, size, p, docs, words = (group.column(c).to_numpy() for c in ("uid", "size", "p", "docs", "words"))
+    order = np.lexsort((uid, -size))[: max(0, int(docs[0]) - LANDING)] if len(uid) else []
+    left, owed, done = (float(words[0]), float(words[0]) * float(p[0]), []) if len(uid) else (0.0, 0.0, [])
+    for i in order:
+        s = float(size[i])
+        now = min(1.0, max(0.0, owed / left)) if left else 0.0
+        taken = _take_giant(s, now, _draw(int(uid[i]) * 7), (1 - now) * (left - s), now * (left - s))
+        if taken is None:  # the lesser fault: the rest is taken whole, or not at all
+            taken = float(s - owed < owed - (left - s))
+        done.append(taken)
+        owed, left = owed - taken * s, left - s
+    return pa.table([group.column("skey").take(pa.array(order, pa.int64())), pa.array(uid[order] if len(uid) else [], pa.int64()), pa.array(size[order] if len(uid) else [], pa.float64()), pa.array(done, pa.float64())], names=["skey", "uid", "size", "p"])
+
+
 def flight(uid: list[int], size: list[float], p: list[float], *, land: bool) -> list[float]:
     """Inclusion probabilities after the flight over one block, longest documents first; with `land`, all of them 0 or 1.
 
     Each step takes the two longest undecided documents, which trade their probabilities almost one for one, and the shortest,
     which makes up the difference. So what stays undecided gets ever shorter.
     """
-    out = _settle_giants(uid, size, [x if EPS < x < 1 - EPS else float(round(x)) for x in p], LANDING if land else 2)
+    out = _settle_giants(uid, size, [x if EPS < x < 1 - EPS else float(round(x)) for x in p], LANDING if land else 2, land)
     rest = deque(k for k, x in enumerate(out) if 0 < x < 1)
     while len(rest) > (LANDING if land else 2):
         held = (rest[0], rest[1], rest[-1])
@@ -124,8 +178,9 @@ def flight(uid: list[int], size: list[float], p: list[float], *, land: bool) ->
         rest.extendleft(k for k in (second, first) if 0 < out[k] < 1)
         if not 0 < out[rest[-1]] < 1:
             rest.pop()
-    if land and rest:
+    if land:
         _land(list(rest), size, out)
+        _swap(size, p, out)
     return out
 
 
@@ -140,15 +195,31 @@ def _land(held: list[int], size: list[float], p: list[float]) -> None:
         p[i] = float(taken)
 
 
-def _decide(land: bool):
-    def decide(group: pa.Table) -> pa.Table:
-        columns = [group.column(c).to_numpy() for c in ("uid", "size", "p")]
-        order = np.lexsort((columns[0], -columns[1]))
-        uid, size, p = (c[order].tolist() for c in columns)
-        done = flight(uid, size, p, land=land)
-        return pa.table([group.column("skey").take(pa.array(order)), pa.array(uid, pa.int64()), pa.array(size), pa.array(done, pa.float64())], names=["skey", "uid", "size", "p"])
+def _swap(size: list[float], expected: list[float], p: list[float]) -> None:
+    """End of the landing: where the dozen left words over, exchange the taken and the left document whose lengths differ by most nearly as many."""
+    s, q, open_ = np.array(size), np.array(p), np.array([0 < x < 1 for x in expected], dtype=bool)
+    for _ in range(3):
+        over = float((q * s).sum() - np.dot(expected, s))
+        taken, left = np.flatnonzero(open_ & (q == 1)), np.flatnonzero(open_ & (q == 0))
+        if abs(over) < 1 or not len(taken) or not len(left):
+            break
+        left = left[np.argsort(s[left], kind="stable")]
+        at = np.clip(np.searchsorted(s[left], s[taken] - over), 1, max(1, len(left) - 1))
+        near = np.stack([at - 1, np.minimum(at, len(left) - 1)])
+        fault = np.abs(over - s[taken] + s[left][near])
+        side, i = np.unravel_index(np.argmin(fault), fault.shape)
+        if fault[side, i] >= abs(over) - 1e-6:
+            break
+        q[taken[i]], q[left[near[side, i]]] = 0.0, 1.0
+    p[:] = q.tolist()
+
 
-    return decide
+def _decide(group: pa.Table) -> pa.Table:
+    """The flight over one block; where it is a source's only one, its units land."""
+    uid, size, p, n = (group.column(c).to_numpy() for c in ("uid", "size", "p", "_n"))
+    order = np.lexsort((uid, -size))
+    done = flight(uid[order].tolist(), size[order].tolist(), p[order].tolist(), land=bool(len(n) and n[0] == 1))
+    return pa.table([group.column("skey").take(pa.array(order)), pa.array(uid[order]), pa.array(size[order]), pa.array(done, pa.float64())], names=["skey", "uid", "size", "p"])
 
 
 def _words(text: str) -> Column:
@@ -164,6 +235,25 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
 
 
+def _per_source(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """`rows` with a table of one row per source: told to all tasks, as one source may hold much of the rows."""
+    return rows.join(F.broadcast(sources) if n <= FEW_SOURCES else sources, "skey")
+
+
+def _giants(units: DataFrame, n: int) -> DataFrame:
+    """Decided giants of each source of several blocks (a single block settles its own). Every document as long as 2**k or longer is one, for the largest k that leaves a rest in which
+    2**k is at most 1 / GIANT of a block's words; so there are at most 2 * GIANT * GIANT_BLOCKS for each power of two."""
+    power = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1.0)))).cast("int")
+    words = units.groupBy("skey", power.alias("_k")).agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_docs"))
+    whole = Window.partitionBy("skey")
+    words = words.withColumns({"_rest": F.sum("_words").over(whole.orderBy("_k")), "words": F.sum("_words").over(whole), "docs": F.sum("_docs").over(whole)})
+    blocks = F.least(F.lit(GIANT_BLOCKS), F.ceil(F.col("docs") / BLOCK))
+    fits = F.pow(F.lit(2.0), F.col("_k") + 1) * GIANT * blocks <= F.col("_rest")
+    least = words.groupBy("skey", "words", "docs").agg(F.coalesce(F.max(F.when(fits, F.pow(F.lit(2.0), F.col("_k") + 1))), F.lit(1.0)).alias("_least"))
+    found = _per_source(units, least.where(F.col("docs") > BLOCK), n).where("size >= _least").select("skey", "uid", "size", "p", "docs", "words")
+    return found.groupBy("skey").applyInArrow(_settle_source, UNITS)
+
+
 def _flight(units: DataFrame, docs_per_source: dict[str, int]) -> DataFrame:
     """(uid, p) with p 0 or 1: rounds of flights, each over the undecided units of the one before."""
     spark = units.sparkSession
@@ -171,9 +261,9 @@ def _flight(units: DataFrame, docs_per_source: dict[str, int]) -> DataFrame:
     blocks = {s: -(-n // BLOCK) for s, n in docs_per_source.items()}
     while True:
         last = all(b <= 1 for b in blocks.values())
-        dealt = units.join(spark.createDataFrame(list(blocks.items()) or [("", 1)], "skey string, _n long"), "skey")
+        dealt = _per_source(units, spark.createDataFrame(list(blocks.items()) or [("", 1)], "skey string, _n long"), len(blocks))
         dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("uid"), F.col("_n")))
-        made = materialise(dealt.groupBy("skey", "_block").applyInArrow(_decide(last), UNITS), "mix-flight")
+        made = materialise(dealt.groupBy("skey", "_block").applyInArrow(_decide, UNITS), "mix-flight")
         decided.append(made.where("p = 0 OR p = 1"))
         if last:
             break
@@ -188,7 +278,7 @@ def _flight(units: DataFrame, docs_per_source: dict[str, int]) -> DataFrame:
 def takes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken, and _uid, the id of its decision."""
     spark = docs.sparkSession
-    ship(spark)
+    begin(spark)
     rows = materialise(docs.select("doc_id", "source", _words("text").alias("size"), _unit_id().alias("_uid"), _source_key().alias("skey")), "mix-rows")
     stats = rows.groupBy("skey").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     names = {r["skey"]: r["skey"][1:] if r["skey"] else None for r in stats}
@@ -202,9 +292,16 @@ def takes(docs: DataFrame) -> DataFrame:
         per.append((r["skey"], size, target, whole, max(0.0, rate - whole) if rate - whole > EPS else 0.0))
     sources = spark.createDataFrame(per, "skey string, source_size long, target double, _whole long, _part double")
     units = rows.groupBy("skey", F.col("_uid").alias("uid")).agg(F.sum("size").cast("double").alias("size"))
-    units = units.join(sources.where("_part > 0").select("skey", F.col("_part").alias("p")), "skey").select("skey", "uid", "size", "p")
-    decided = _flight(units, {r["skey"]: r["n"] for r in stats})
-    out = rows.join(sources, "skey").join(decided.withColumnRenamed("uid", "_uid"), "_uid", "left")
+    units = _per_source(units, sources.where("_part > 0").select("skey", F.col("_part").alias("p"), F.col("source_size").cast("double").alias("words")), len(per))
+    giants = materialise(_giants(units.select("skey", "uid", "size", "p"), len(per)), "mix-giants")
+    settled = giants.groupBy("skey").agg(F.sum("size").alias("_done"), F.sum(F.col("p") * F.col("size")).alias("_taken"))
+    rest = units.join(giants.select("skey", "uid"), ["skey", "uid"], "left_anti")
+    settled = sources.select("skey").join(settled, "skey", "left").fillna(0.0, ["_done", "_taken"])
+    left = F.col("words") - F.col("_done")
+    shared = F.when(left > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("p") * F.col("words") - F.col("_taken")) / left))).otherwise(F.col("p"))
+    rest = _per_source(rest, settled, len(per)).select("skey", "uid", "size", shared.alias("p"))
+    decided = _flight(rest, {r["skey"]: r["n"] for r in stats}).unionByName(giants.select("uid", "p"))
+    out = _per_source(rows, sources, len(per)).join(decided.withColumnRenamed("uid", "_uid"), "_uid", "left")
     copies = F.col("_whole") + F.coalesce(F.col("p"), F.lit(0.0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "_uid")
 
