@@ -24,6 +24,15 @@ def test_encoder_equals_the_tokenizer():
         assert encoder.packed(text or "") == pack32(ids_of(text)[:-1]), text
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    rng = random.Random(8)
+    encoder, tok = packing.Encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    atoms = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "'s", "'", "Hello", "the", "9", "123", "...", "#", "é", "ß", "漢字", "\U0001f600", "_", "-", "don't", "\x1c", "\x85", "e\u0301"]
+    for _ in range(4000):
+        text = "".join(rng.choices(atoms, k=rng.randint(0, 14)))
+        assert encoder.packed(text) == pack32(tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
 def test_cut_puts_the_short_piece_first():
     assert packing.cut(1, 4) == [(0, 1)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]
