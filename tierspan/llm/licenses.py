@@ -7,8 +7,7 @@ the file. Frequencies only rank a template's words: every template has postings
 need no votes. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count
 per licence word.
 
-Defined results: a null text is empty (no word, no label, score 0); the text is lower-cased before words are taken (letters
-beyond A-Z too, which changes no word's borders and no base phrase); repeated rows are answered each; an empty table gives
+Defined results: a null text is empty (no word, no label, score 0); A-Z become a-z before words are taken; repeated rows are answered each; an empty table gives
 no row; other columns are ignored.
 """
 
@@ -20,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -73,7 +73,7 @@ def _let(value: Column, body) -> Column:
 
 def _words(text: str = "text") -> Column:
     """The words joined by single spaces, with a space at either end; one space for no words."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NO_WORD, " "))
+    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), NO_WORD, " "))
     return F.when(plain == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
 
 
