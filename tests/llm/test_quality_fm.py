@@ -59,3 +59,15 @@ def test_statistics_do_not_depend_on_neighbours():
     alone = [next(quality_fm.features(pa.array([t]), None))[5][0] for t in texts]
     both = next(quality_fm.features(pa.array(texts), None))[5]
     assert np.allclose(np.stack(alone), both)
+
+
+def test_columns_of_any_kind_and_clashing_names(spark):
+    texts = ["some plain words here", None, "", "x " * 3000] * 8
+    rows = [(k, t, "no number" if k % 3 else str(len(t or "")), "a", 7) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars string, _label string, _id int")
+    labels = spark.createDataFrame([(k, k % 2, "z") for k in range(32)], "doc_id long, quality int, text string")
+    got = quality_fm.classify(docs, labels).collect()
+    assert len(got) == 32 and all(0 <= r["score"] <= 1 for r in got)
+    kept = quality_fm.keep_good(docs, labels)
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["predicted"])

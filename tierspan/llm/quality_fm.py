@@ -9,7 +9,8 @@ those with the smallest hash of their id; scoring reads every whole text once an
 
 Defined results: a null text counts as empty, and empty texts get a score from their statistics; a null or missing n_chars counts
 as the text's own length; of several labels of one id the largest counts, null labels don't; without labels every score is the
-prior 0.99; repeated rows are answered each; an empty table gives no row; lang, source and the id are never read as features.
+prior 0.99; repeated rows are answered each; an empty table gives no row; lang, source and the id are never read as features. An n_chars that is no number counts as missing. The driver holds the features of
+the training rows: 8 bytes for each bucket a text has, 262 kB a row at worst, some 3 kB for texts of ordinary length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierspan.llm import hashing
-from tierspan.session import ship
+from tierspan.llm.common import begin
 
 BUCKETS, FACTORS, BINS = 1 << 15, 8, 8
 TRAIN_ROWS = 8000
@@ -58,14 +59,14 @@ def features(texts: pa.Array, n_chars: np.ndarray) -> Iterator[tuple[int, int, n
         n_words = np.bincount(row, minlength=n).astype(float)
         some, size = np.maximum(n_words, 1), np.maximum(np.diff(offsets), 1).astype(float)
         by_class = [np.diff(np.concatenate([[0], np.cumsum(c[raw])])[offsets]) / size for c in _CLASSES]
-        exact, often = np.unique(np.stack([row.astype(np.uint64), hashes]), axis=1, return_counts=True) if len(row) else (np.zeros((2, 0), np.uint64), np.zeros(0, np.int64))
-        who = exact[0].astype(np.int64)
+        _, at_word, often = np.unique(_of_row(hashes, row), return_index=True, return_counts=True)
+        who = row[at_word]
         most = np.zeros(n)
         np.maximum.at(most, who, often.astype(float))
         same = (row[1:] == row[:-1]) & (hashes[1:] == hashes[:-1])
         window, whose = _windows(hashes, row)
         n_windows = np.bincount(whose, minlength=n).astype(float)
-        kinds = np.unique(np.stack([whose.astype(np.uint64), window]), axis=1)[0].astype(np.int64) if len(window) else whose
+        kinds = whose[np.unique(_of_row(window, whose), return_index=True)[1]]
         length = ends - starts
         own = (size if n_chars is None else np.where(np.isnan(n_chars[first:last]), size, n_chars[first:last])).astype(float)
         upper, digits, symbols, stops, bangs, high, lines, bars = by_class
@@ -77,6 +78,11 @@ def features(texts: pa.Array, n_chars: np.ndarray) -> Iterator[tuple[int, int, n
         yield first, last, at, pairs % BUCKETS, value, stats
 
 
+def _of_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One hash of a row and a hash in it."""
+    return hashing.mix(hashes ^ hashing.mix(row.astype(np.uint64) + np.uint64(1)))
+
+
 def _windows(hashes: np.ndarray, row: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     if len(hashes) < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -89,7 +95,7 @@ def _windows(hashes: np.ndarray, row: np.ndarray, n: int = 5) -> tuple[np.ndarra
 
 
 def _column(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index("n_chars")).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+    return batch.column(1).to_numpy(zero_copy_only=False)
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,20 +183,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _n_chars(docs: DataFrame) -> Column:
+    """The column as a number; anything else counts as missing."""
+    return F.col("n_chars").cast("string").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+
+
 def _texts(docs: DataFrame) -> list[Column]:
-    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    return [F.coalesce("text", F.lit("")).alias("text"), chars.alias("n_chars")]
+    return [F.coalesce("text", F.lit("")).alias("text"), _n_chars(docs).alias("n_chars")]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most `rows` labelled rows that aren't held out; the driver gets their features, a bounded amount."""
-    ship(docs.sparkSession)
+    begin(docs.sparkSession)
     known = labels.where("quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col("doc_id").alias("_id"), *_texts(docs)).join(F.broadcast(chosen), F.col("_id") == F.col("doc_id"))
     found = sample.orderBy(F.xxhash64("_id", "text"), "_id").limit(rows).select("text", "n_chars", "_label").mapInArrow(_featurise, SAMPLE).toArrow().to_pylist()
     found.sort(key=lambda r: (r["stats"], r["idx"]))
-    return Model([(r["label"], np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["val"], np.float32).astype(float), np.frombuffer(r["stats"])) for r in found])
+    return Model([(r["label"], np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["stats"])) for r in found])
 
 
 def _score(model):
@@ -215,9 +225,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            at = batch.schema.get_field_index("n_chars")
-            chars = None if at < 0 else _column(batch)
-            yield batch.filter(pa.array(model.value.score(text, chars) >= THRESHOLD))
+            keep = pa.array(model.value.score(batch.column(0), _column(batch)) >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays(batch.columns[2:], names=names).filter(keep)
 
-    return docs.mapInArrow(accepted, docs.schema)
+    names = docs.columns
+    columns = [*_texts(docs), *[F.col(f"`{c}`") for c in names]]
+    return docs.select(*[c.alias(f"_{k}") for k, c in enumerate(columns)]).mapInArrow(accepted, docs.schema)
