@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierspan.session import ship
+from tierspan.llm.common import begin
 
 TURN, TEXT, END = "<turn>", "<text>", "</turn>"
 LEARNED = "assistant"
@@ -112,7 +112,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conversation: its text, token ids, character offsets and loss mask."""
-    ship(turns.sparkSession)
+    begin(turns.sparkSession)
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     turn = F.struct("turn", text("role"), text("text"))
     gathered = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))

@@ -24,11 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for scratch tables: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The shared folder for scratch tables: spark.checkpoint.dir, or where it is unset, on one machine, a folder of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.sparkContext.setCheckpointDir(base)
     if "://" not in base and not base.startswith("file:"):
@@ -121,14 +123,10 @@ def flag_level(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag
     return out.withColumn(flag, level).drop("_slot", "_word", *[f"_mask{k}" for k in range(levels)])
 
 
-def membership_bitmap(members: DataFrame, keys: list[Column], bits: int = 1 << 23) -> DataFrame | None:
-    """A one-hash Bloom filter of `keys`, for `flag_members` with the same `bits`."""
-    return level_bitmap(members, keys, [F.lit(True)], bits)
-
-
-def flag_members(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag: str, bits: int = 1 << 23) -> DataFrame:
+def marked(df: DataFrame, members: DataFrame, member: list[str], keys: list[Column], flag: str = "_hit") -> DataFrame:
     """Add boolean `flag`: false means surely no member; true means a member, or a false positive that an exact step sorts out.
 
-    The bitmap is broadcast; it has at most bits / 64 rows, whatever the input.
+    `members`, a scratch table, is counted first; its bitmap grows with it up to a bound, and beyond that every row may be a member.
     """
-    return flag_level(df, keys, bitmap, flag, 1, bits).withColumn(flag, F.col(flag) > 0)
+    bits = bitmap_bits(members.count())
+    return flag_level(df, keys, level_bitmap(members, [F.col(c) for c in member], [F.lit(True)], bits), flag, 1, bits).withColumn(flag, F.col(flag) > 0)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierspan.llm.common import SPACE, flag_members, membership_bitmap
+from tierspan.llm.common import SPACE, marked, materialise
 
 BUCKETS = 1 << 14
 MIN_SCORE = -0.15
@@ -77,8 +77,8 @@ def _counts(texts: DataFrame) -> dict[int, int]:
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts labelled as good. Rows that surely aren't are left out by a bitmap before anything is shuffled."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    flagged = flag_members(docs.select("doc_id", "text"), [F.col("doc_id")], membership_bitmap(good, [F.col("doc_id")]), "_hit")
+    good = materialise(labels.where("quality = 1").select("doc_id").distinct(), "rules-trusted")
+    flagged = marked(docs.select("doc_id", "text"), good, ["doc_id"], [F.col("doc_id")])
     return flagged.where("_hit").join(good, "doc_id", "left_semi").select("text")
 
 

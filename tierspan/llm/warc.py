@@ -26,8 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierspan.llm.common import flag_members, materialise, membership_bitmap, scratch_path
-from tierspan.session import ship
+from tierspan.llm.common import begin, marked, materialise, scratch_path
 
 REVISIT_BYTES = 1000
 #: A package is closed once it holds so many bytes; ranges of one read; bytes read by one task.
@@ -45,7 +44,7 @@ def classify(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     key = F.when(F.octet_length("html") >= min_bytes, F.sha2("html", 256))
     groups = materialise(rows.select("page_id", key.alias("_key")).where("_key IS NOT NULL").groupBy("_key").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"), "warc-groups")
-    flagged = flag_members(rows.withColumn("_key", key), [F.col("_key")], membership_bitmap(groups, [F.col("_key")]), "_hit")
+    flagged = marked(rows.withColumn("_key", key), groups, ["_key"], [F.col("_key")])
     lone = flagged.where("NOT _hit OR _key IS NULL").withColumn("_first", F.lit(None).cast("long"))
     twins = flagged.where("_hit AND _key IS NOT NULL").join(groups, "_key", "left").select(*lone.columns)
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id"))
@@ -134,7 +133,7 @@ def _write(folder: str):
 
 def write_archives(classified: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ZIP packages; the manifest (path, size, records) of the packages that count."""
-    ship(classified.sparkSession)
+    begin(classified.sparkSession)
     folder = folder or scratch_path(classified.sparkSession, "warc")
     return materialise(classified.mapInArrow(_write(folder), MANIFEST), "warc-manifest")
 
@@ -239,7 +238,7 @@ def _read(with_payload: bool):
 
 def read_archives(manifest: DataFrame, *, with_payload: bool = False) -> DataFrame:
     """Every record of the packages of a manifest. Tasks get ranges, so a large package is read by many."""
-    ship(manifest.sparkSession)
+    begin(manifest.sparkSession)
     total = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     packages, tasks = max(1, min(total[0], 4096)), max(1, -(-total[1] // TASK_BYTES))
     ranges = manifest.select("path").repartition(packages).mapInArrow(_ranges, "path string, start long, lengths array<long>")
