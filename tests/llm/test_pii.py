@@ -74,3 +74,14 @@ def test_timestamps_and_other_layouts(spark):
     assert plain(0) == plain(4) and plain(0)[:2] == "31" and plain(2) == plain(6)
     day = lambda r: re.search(r"\d{4}.\d\d.\d\d", r["text"])[0].replace("/", "-")
     assert len({day(r) for r in got[:4]}) == 1 and got[0]["text"].endswith("T10:00:00Z, then")
+
+
+def test_capitals_stay_where_letters_are(spark):
+    values = ["Anna.Smith@Example.org", "anna.smith@Example.org", "ANNA.SMITH@Example.org", "DEADBEEF" * 5]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(rows).orderBy("doc_id").collect()]
+    assert len({x.lower() for x in got[:3]}) == 1 and got[1] == got[0].lower().replace("example", "Example")
+    for value, text in zip(values, got, strict=True):
+        assert len(text) == len(value) and (text != value or "@" not in value)
+        for a, b in zip(value.split("@")[0], text.split("@")[0], strict=True):
+            assert not b.isalpha() or not a.isalnum() or b.isupper() == a.isupper() or a.isdigit()

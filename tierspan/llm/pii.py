@@ -178,14 +178,20 @@ def _date(v: Column, key: str) -> Column:
     return let(date, lambda x: F.when(F.year(x).between(1900, 2099), let(moved(x), written)))
 
 
+def _cased(made: Column, value: Column) -> Column:
+    """`made` with a capital wherever `value`, as long, has one and the new character is a letter."""
+    return F.array_join(F.zip_with(F.split(made, ""), F.split(value, ""), lambda m, v: F.when(v.rlike("[A-Z]"), F.upper(m)).otherwise(m)), "")
+
+
 def _email(v: Column, key: str) -> Column:
-    local, domain = F.lower(F.substring_index(v, "@", 1)), F.substring_index(v, "@", -1)
+    name, domain = F.substring_index(v, "@", 1), F.substring_index(v, "@", -1)
+    local = F.lower(name)
     filled = let(_only(local, "0-9a-z"), lambda s: _refill(local, permute_symbols(s, ALNUM, key, "email"), "0-9a-z"))
-    return F.concat(filled, F.lit("@"), domain)
+    return F.concat(_cased(filled, name), F.lit("@"), domain)
 
 
 def _secret(v: Column, key: str) -> Column:
-    return permute_symbols(F.lower(v), HEX, key, "secret")
+    return _cased(permute_symbols(F.lower(v), HEX, key, "secret"), v)
 
 
 _MAKERS = {"email": _email, "secret": _secret, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
