@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -70,18 +71,12 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
     return out
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], loss: list[bool]) -> str:
-    """All text under the mask, unescaped. Tokens that share a character count it once."""
-    parts, done = [], 0
-    low = None
-    for s, e, on in zip(starts, ends, loss, strict=True):
-        if on:
-            low = s if low is None else low
-            done = max(done, e)
-        elif low is not None:
-            parts.append(unescape(formatted[low:done]))
-            low = None
-    return "".join(parts) + (unescape(formatted[low:done]) if low is not None else "")
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> str:
+    """All text under the mask, unescaped: one piece for each run of masked tokens. Tokens that share a character count it once."""
+    on = np.concatenate([[False], loss, [False]])
+    first, last = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:]) - 1
+    furthest = np.maximum.accumulate(np.where(loss, ends, 0)) if len(ends) else ends
+    return "".join(unescape(formatted[starts[i] : furthest[k]]) for i, k in zip(first, last, strict=True))
 
 
 @functools.cache
@@ -95,19 +90,29 @@ def tokenizer(name: str = "byte_bpe_50k"):
     return found
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column of arrays, without an object for each value."""
+    at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(kind.to_pandas_dtype()), kind))
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encode = tokenizer().encode
     for batch in batches:
-        rows = []
-        for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            formatted, spans = render([(t["role"], t["text"]) for t in turns.as_py()])
+        texts, ids, starts, ends, masks = [], [], [], [], []
+        roles, bodies = (batch.column(1).values.field(c).to_pylist() for c in ("role", "text"))
+        at = batch.column(1).offsets.to_numpy()
+        for first, last in zip(at[:-1], at[1:], strict=True):
+            formatted, spans = render(list(zip(roles[first:last], bodies[first:last], strict=True)))
             got = encode(formatted, add_special_tokens=False)
-            offsets = np.array(got.offsets, dtype=np.int32).reshape(-1, 2)
-            starts, ends = offsets[:, 0], offsets[:, 1]
-            rows.append((conv_id, formatted, np.array(got.ids, dtype=np.int32), starts, ends, mask(starts, ends, spans)))
-        ints = pa.list_(pa.int32())
-        types = [pa.int64(), pa.string(), ints, ints, ints, pa.list_(pa.bool_())]
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask"])
+            offsets = np.fromiter(itertools.chain.from_iterable(got.offsets), np.int32, 2 * len(got)).reshape(-1, 2)
+            texts.append(formatted)
+            ids.append(np.array(got.ids, dtype=np.int32))
+            starts.append(offsets[:, 0])
+            ends.append(offsets[:, 1])
+            masks.append(mask(offsets[:, 0], offsets[:, 1], spans))
+        columns = [batch.column(0).cast(pa.int64()), pa.array(texts, pa.string()), *(_lists(x, pa.int32()) for x in (ids, starts, ends)), _lists(masks, pa.bool_())]
+        yield pa.record_batch(columns, names=["conv_id", "formatted", "input_ids", "starts", "ends", "loss_mask"])
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -125,12 +130,15 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        starts, ends, masks = (batch.column(c) for c in ("starts", "ends", "loss_mask"))
+        at = starts.offsets.to_numpy()
+        start, end, on = (c.values.to_numpy(zero_copy_only=False) for c in (starts, ends, masks))
         rows = []
-        for r in batch.to_pylist():
-            turns = parse(r["formatted"])
-            loss = masked_text(r["formatted"], r["starts"], r["ends"], r["loss_mask"])
+        for conv_id, formatted, a, b in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), at[:-1], at[1:], strict=True):
+            turns = parse(formatted)
+            loss = masked_text(formatted, start[a:b], end[a:b], on[a:b])
             whole = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
-            rows.append((r["conv_id"], len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(r["formatted"])))
+            rows.append((conv_id, len(turns), whole, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
