@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
+from tests.test_operators import grid_text
 from tierspan.operators import resume, resyllabify
-from tierspan.sources import awd, synthetic
+from tierspan.sources import awd, synthetic, textgrid
 
 MAP = {"p": "p", "t": "t", "k": "k", "A": "ɑ", "a": "aː", "E+": "ɛi", "O~": "ɒ̃ː"}
 SCHEMA = "file string, tier string, tier_idx int, idx int, xmin double, xmax double, mark string"
@@ -68,3 +70,69 @@ def test_synthetic_corpus(spark):
     assert made["words"].where("end <= start").count() == 0
     spans = made["words"].groupBy("parent_id").agg(F.min("start").alias("s"), F.max("end").alias("e"))
     assert spans.join(made["phrases"], spans["parent_id"] == F.col("identifier")).where("s <> start OR e <> end").count() == 0
+
+
+def test_textgrid_values():
+    rows = list(textgrid.parse(grid_text([("A", [(0, "1e-05", "[]"), ("1e-05", 1.5, "see [12] there"), (1.5, "+2.0E0", '3 ""x"" 4 ')])])))
+    assert [r[3:] for r in rows] == [(0.0, 1e-05, "[]"), (1e-05, 1.5, "see [12] there"), (1.5, 2.0, '3 "x" 4 ')]
+    short = 'File type = "ooTextFile"\n"TextGrid"\n0\n2\n<exists>\n2\n"TextTier"\n"P"\n0\n2\n1\n0.5\n"x"\n"IntervalTier"\n"A"\n0\n2\n1\n0\n2\n"12"\n'
+    assert list(textgrid.parse(short)) == [("A", 1, 0, 0.0, 2.0, "12")]
+    for bad in (short + '"more"', short.replace('"A"\n0\n2\n1', '"A"\n0\n2\n2'), short.replace('"12"', "12"), short.replace("TextTier", "Other"), short.replace("<exists>\n2", "<exists>\n2.5"), '"ooTextFile" "TextGrid"'):
+        with pytest.raises(ValueError):
+            list(textgrid.parse(bad))
+
+
+def test_pairs_from_files(spark, tmp_path):
+    words = [(0, 0.4, "pak"), (0.4, 1, "")]
+    triple = lambda n, fon=words: [(n, words), (f"{n}_FON", fon), (f"{n}_SEG", [(0, 0.1, "p"), (0.1, 0.3, "A"), (0.3, 0.4, "k"), (0.4, 1, "[]")])]
+    moved = [(0, 0.4 + 5e-7, "pAk"), (0.4 + 5e-7, 1, "")]
+    cases = {
+        "good": ([("N1", [(0, 1, "pak")]), ("N2", [(0, 1, " ")]), ("COMMENT", [(0, 1, "x")])], triple("N1", moved)),
+        "times": ([("N1", [(0, 1, "pak")])], triple("N1", [(0, 0.41, "pAk"), (0.41, 1, "")])),
+        "sizes": ([("N1", [(0, 1, "pak")])], triple("N1", [(0, 0.4, "pAk")])),
+        "order": ([("N1", [(0, 1, "pak")])], [triple("N1")[k] for k in (0, 2, 1)]),
+        "twice": ([("N1", [(0, 1, "pak")])], triple("N1") * 2),
+        "speaker": ([("N1", [(0, 1, "pak")]), ("N2", [(0, 1, "ta")])], triple("N1")),
+    }
+    for side, which in (("ort", 0), ("awd", 1)):
+        (tmp_path / side).mkdir()
+        for name, tiers in cases.items():
+            (tmp_path / side / f"{name}.TextGrid").write_text(grid_text(tiers[which]))
+        (tmp_path / side / "damaged.TextGrid").write_text("x")
+    read = lambda side: textgrid.read_textgrids(spark, f"file://{tmp_path}/{side}").withColumn("file", F.regexp_extract("file", r"([^/]+)\.TextGrid$", 1)).cache()
+    levels, errors = awd.read_pairs(read("ort"), read("awd"), MAP)
+    got = {}
+    for r in errors.collect():
+        got.setdefault(r["file"], set()).add(r["error"])
+    assert got == {"times": {"times of words and transcription"}, "sizes": {"size of words and transcription"}, "order": {"tier triple"}, "twice": {"duplicate tier"}, "speaker": {"speaker only in ort"}, "damaged": {"damaged file"}}
+    assert {r["file"] for r in levels["words"].collect()} == {"good"} and levels["phones"].count() == 3
+    assert [r["kind"] for r in levels["issues"].collect()] == ["skipped_marker"]
+
+
+def test_streamed_import(spark, tmp_path):
+    from tierspan.streaming import imports
+
+    schema, state = "k int, v string", {}
+    state["rows"] = spark.createDataFrame([(1, "a"), (2, "b")], schema)
+
+    def commit(df):
+        state["rows"] = spark.createDataFrame(df.collect(), schema)
+
+    def put(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+
+    def run(name, policy):
+        imports.import_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}"), f"{tmp_path}/{name}-seen", lambda: state["rows"], commit, ["k"], policy).awaitTermination()
+        return sorted(map(tuple, state["rows"].collect()))
+
+    put("up", [(2, "B"), (3, "C")])
+    assert run("up", "upsert") == run("up", "upsert") == [(1, "a"), (2, "B"), (3, "C")]
+    put("more", [(3, "C"), (4, "d"), (4, "d")])
+    assert run("more", "append") == [(1, "a"), (2, "B"), (3, "C"), (4, "d"), (4, "d")]
+    put("odd", [(7, "x"), (7, "y")])
+    with pytest.raises(Exception, match="keys occur twice"):
+        run("odd", "upsert")
+    with pytest.raises(ValueError):
+        imports.import_stream(None, "", None, None, ["k"], "none")
+    rows = spark.createDataFrame([(1, "2024", "a"), (1, "2025", "b"), (1, "2025", "c")], "k int, at string, v string")
+    assert [r["v"] for r in resume.latest(rows, "k", "at").collect()] == ["c"]

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import wave
 
@@ -10,6 +11,8 @@ from tierspan.operators import audio, hierarchy, intervals, positions, writes
 from tierspan.plans.corpus import Corpus
 from tierspan.sources import textgrid
 
+#: Digest of the vectors of all 74 symbols.
+VECTORS = "0514ee22f174b2d594f43e4994731e61425303f5943739c56eb54f5b69699b57"
 SPAN = "audio_id string, speaker_id string, identifier string, start long, end long"
 
 
@@ -32,6 +35,8 @@ def test_phone_table(spark):
     rows = {r["symbol"]: r for r in phonology.phone_table(spark).collect()}
     assert len(rows) == 74 and all(len(r["vector"]) == 25 for r in rows.values())
     assert rows["p"]["features"]["voice"] == "-" and rows["p"]["features"]["labial"] == "+" and rows["ɛi"]["components"] == ["ɛ", "i"]
+    told = ";".join(f"{s} {rows[s]['type']} {','.join(map(str, rows[s]['vector']))}" for s in sorted(rows))
+    assert hashlib.sha256(told.encode()).hexdigest() == VECTORS
     assert rows["ɛi"]["vector"] == rows["ɛ"]["vector"] and rows["h"]["features"]["consonantal"] == "-"
 
 

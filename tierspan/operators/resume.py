@@ -28,5 +28,6 @@ def differing(stored: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """One row a key: the latest."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+    """One row a key: the latest; of several as late the one that is greatest as text."""
+    tie = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), tie.desc()))).where("_r = 1").drop("_r")

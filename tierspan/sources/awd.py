@@ -23,13 +23,54 @@ def pair_sources(**kinds: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.forall(F.array(*[F.col(k) for k in kinds]), lambda p: p.isNotNull()))
 
 
+#: Tiers of an orthographic annotation that are no speakers.
+NO_SPEAKERS = ("BACKGROUND", "COMMENT")
+#: Seconds by which the times of a word and its phonetic transcription may differ.
+SAME_TIME = 1e-6
+
+
+def ort_speakers(ort: DataFrame) -> DataFrame:
+    """(file, speaker) of tiers with a mark that isn't blank, other than background and comment."""
+    return ort.where(~F.col("tier").isin(*NO_SPEAKERS) & (F.trim("mark") != "")).select("file", F.col("tier").alias("speaker")).distinct()
+
+
 def speaker_tier_differences(ort: DataFrame, awd: DataFrame) -> DataFrame:
-    """(file, speaker, side) of speakers that only one annotation has. Background and comment tiers are no speakers."""
-    a = ort.where("tier NOT IN ('BACKGROUND', 'COMMENT') AND trim(tier) <> ''").select("file", F.col("tier").alias("speaker")).distinct()
-    b = awd.where("tier NOT LIKE '%\\_FON' AND tier NOT LIKE '%\\_SEG'").select("file", F.col("tier").alias("speaker")).distinct()
+    """(file, speaker, side) of speakers that only one annotation has."""
+    a, b = ort_speakers(ort), awd.where("tier NOT LIKE '%\\_FON' AND tier NOT LIKE '%\\_SEG'").select("file", F.col("tier").alias("speaker")).distinct()
     return a.subtract(b).withColumn("side", F.lit("ort")).unionByName(b.subtract(a).withColumn("side", F.lit("awd")))
 
 
+def tier_errors(ort: DataFrame, awd: DataFrame) -> DataFrame:
+    """(file, error, detail) of recordings whose word-aligned tiers break the form: triples S, S_FON, S_SEG in order, no speaker twice,
+    a transcription of the same times for each word, the same speakers as the orthographic annotation."""
+    tiers = awd.select("file", "tier_idx", "tier").distinct()
+    place = F.col("tier_idx") % 3
+    triples = tiers.groupBy("file", F.floor(F.col("tier_idx") / 3).alias("_k")).agg(*[F.max(F.when(place == k, F.col("tier"))).alias(f"_{k}") for k in range(3)])
+    # a word tier that is empty has no rows, so a triple is judged by the tiers it has
+    named = F.coalesce("_0", F.regexp_replace(F.coalesce("_1", "_2"), "_(FON|SEG)$", ""))
+    wrong = triples.where(~(F.coalesce("_0", named) == named) | ~(F.coalesce(F.col("_1"), F.concat(named, F.lit("_FON"))) == F.concat(named, F.lit("_FON"))) | ~(F.coalesce(F.col("_2"), F.concat(named, F.lit("_SEG"))) == F.concat(named, F.lit("_SEG"))))
+    out = wrong.select("file", F.lit("tier triple").alias("error"), F.concat_ws(",", "_0", "_1", "_2").alias("detail"))
+    twice = tiers.groupBy("file", "tier").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out = out.unionByName(twice.select("file", F.lit("duplicate tier").alias("error"), F.col("tier").alias("detail")))
+    base = F.regexp_replace("tier", "_FON$", "")
+    side = lambda rows, p: rows.select("file", base.alias("_s"), "idx", F.col("xmin").alias(f"{p}min"), F.col("xmax").alias(f"{p}max"))
+    words = awd.where("tier NOT LIKE '%\\_FON' AND tier NOT LIKE '%\\_SEG'")
+    both = side(words, "l").join(side(awd.where("tier LIKE '%\\_FON'"), "r"), ["file", "_s", "idx"], "full")
+    size = both.where("lmin IS NULL OR rmin IS NULL").select("file", F.lit("size of words and transcription").alias("error"), F.col("_s").alias("detail"))
+    time = both.where((F.abs(F.col("lmin") - F.col("rmin")) >= SAME_TIME) | (F.abs(F.col("lmax") - F.col("rmax")) >= SAME_TIME)).select("file", F.lit("times of words and transcription").alias("error"), F.col("_s").alias("detail"))
+    differ = speaker_tier_differences(ort, awd).select("file", F.concat(F.lit("speaker only in "), "side").alias("error"), F.col("speaker").alias("detail"))
+    return out.unionByName(size).unionByName(time).unionByName(differ).distinct()
+
+
+def read_pairs(ort: DataFrame, awd: DataFrame, mapping: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(levels of the recordings in good form, errors of the others), from intervals as files gave them."""
+    damaged = ort.unionByName(awd).where("tier = '!error'").select("file", F.lit("damaged file").alias("error"), F.col("mark").alias("detail"))
+    ort, awd = ort.where("tier <> '!error'"), awd.where("tier <> '!error'")
+    errors = damaged.unionByName(tier_errors(ort, awd))
+    bad = errors.select("file").distinct()
+    return build(ort.join(bad, "file", "left_anti"), awd.join(bad, "file", "left_anti"), mapping), errors
+
+
 def _tier(rows: DataFrame, suffix: str, level: str) -> DataFrame:
     named = rows.where(F.col("tier").endswith(suffix)) if suffix else rows.where("tier NOT LIKE '%\\_FON' AND tier NOT LIKE '%\\_SEG'")
     speaker = F.expr(f"substring(tier, 1, length(tier) - {len(suffix)})")

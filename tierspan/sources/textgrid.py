@@ -14,25 +14,42 @@ from tierspan.operators.intervals import contained
 from tierspan.session import ship
 
 INTERVALS = "file string, tier string, tier_idx int, idx int, xmin double, xmax double, mark string"
-_TOKEN = re.compile(r'"((?:[^"]|"")*)"|(?<![\w"])(-?\d+(?:\.\d+)?)(?![\w"])')
+#: Strings, and numbers that stand alone: whatever else is written (names, "=", "[3]:") only helps readers.
+_TOKEN = re.compile(r'"((?:[^"]|"")*)"|(?<!\S)([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)(?!\S)')
+_WIDTHS = {"IntervalTier": 3, "TextTier": 2}
 
 
 def parse(text: str) -> Iterator[tuple[str, int, int, float, float, str]]:
-    """(tier, tier_idx, idx, xmin, xmax, mark) of the interval tiers of a TextGrid in long or short notation."""
-    text = re.sub(r"\[\d*\]", "", text)
+    """(tier, tier_idx, idx, xmin, xmax, mark) of the interval tiers of a TextGrid in long or short notation.
+
+    ValueError where counts, tier kinds or types don't fit, or something follows the last tier.
+    """
     values = [m[1].replace('""', '"') if m[1] is not None else float(m[2]) for m in _TOKEN.finditer(text)]
-    if values[:2] != ["ooTextFile", "TextGrid"]:
+    if values[:2] != ["ooTextFile", "TextGrid"] or len(values) < 5:
         raise ValueError("not a TextGrid")
-    at, tiers = 5, int(values[4])
-    for tier_idx in range(tiers):
-        kind, name, _, _, n = values[at : at + 5]
-        at += 5
-        width = 3 if kind == "IntervalTier" else 2
-        for idx in range(int(n)):
-            row = values[at : at + width]
-            at += width
+
+    def count(value) -> int:
+        if not isinstance(value, float) or value != int(value) or value < 0:
+            raise ValueError(f"{value!r} is no count")
+        return int(value)
+
+    at = 5
+    for tier_idx in range(count(values[4])):
+        if len(values) < at + 5 or values[at] not in _WIDTHS:
+            raise ValueError(f"tier {tier_idx + 1} isn't there or of an unknown kind")
+        kind, name, n = values[at], values[at + 1], count(values[at + 4])
+        at, width = at + 5, _WIDTHS[kind]
+        if len(values) < at + n * width:
+            raise ValueError(f"tier {name!r} has fewer than {n} entries")
+        for idx in range(n):
+            *times, mark = values[at + idx * width : at + (idx + 1) * width]
+            if not isinstance(mark, str) or any(isinstance(t, str) for t in times):
+                raise ValueError(f"entry {idx + 1} of tier {name!r} isn't times and a mark")
             if width == 3:
-                yield str(name), tier_idx, idx, row[0], row[1], str(row[2])
+                yield str(name), tier_idx, idx, times[0], times[1], mark
+        at += n * width
+    if at != len(values):
+        raise ValueError("there is more than the tiers announced")
 
 
 def read_textgrids(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +77,11 @@ def missing_tiers(intervals: DataFrame, names: list[str]) -> DataFrame:
     return files.join(intervals.select("file", "tier").distinct(), ["file", "tier"], "left_anti")
 
 
-def zip_tiers(intervals: DataFrame, left: str, right: str) -> DataFrame:
-    """Two parallel tiers by index, with `aligned` false where times or lengths differ."""
+def zip_tiers(intervals: DataFrame, left: str, right: str, within: float = 0.0) -> DataFrame:
+    """Two parallel tiers by index, with `aligned` false where times differ by more than `within` or one tier is longer."""
     pick = lambda name, p: intervals.where(F.col("tier") == name).select("file", "idx", F.col("xmin").alias(f"{p}min"), F.col("xmax").alias(f"{p}max"), F.col("mark").alias(f"{p}mark"))
     both = pick(left, "l").join(pick(right, "r"), ["file", "idx"], "full")
-    return both.withColumn("aligned", F.coalesce((F.col("lmin") == F.col("rmin")) & (F.col("lmax") == F.col("rmax")), F.lit(False)))
+    return both.withColumn("aligned", F.coalesce((F.abs(F.col("lmin") - F.col("rmin")) <= within) & (F.abs(F.col("lmax") - F.col("rmax")) <= within), F.lit(False)))
 
 
 def _ids(df: DataFrame, level: str, offset: float) -> DataFrame:

@@ -13,11 +13,20 @@ POLICIES = {"append": writes.append, "add_missing": writes.add_missing, "replace
 
 
 def import_stream(source: DataFrame, checkpoint: str, current: Callable[[], DataFrame], commit: Callable[[DataFrame], None], keys: list[str], policy: str = "upsert") -> StreamingQuery:
-    """Merge what is there and stop; a rerun goes on from the checkpoint, so files are imported once."""
+    """Merge what is there and stop; a rerun goes on from the checkpoint, so files are imported once.
+
+    A batch that holds a key twice is rejected, like any other batch, and the stream stops. A batch that was committed right before
+    a failure comes again: the policies but `append` give the same rows then, `append` adds what isn't there row for row.
+    """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy {policy!r}; there are {', '.join(POLICIES)}")
 
     def merge(batch: DataFrame, _: int) -> None:
-        commit(POLICIES[policy](current(), batch.dropDuplicates(keys), keys))
+        old = current()
+        if policy == "append":
+            commit(old.unionByName(batch.select(*old.columns).exceptAll(old)))
+            return
+        writes.require_empty(writes.duplicate_keys(batch, keys), "keys occur twice in the batch")
+        commit(POLICIES[policy](old, batch, keys))
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
