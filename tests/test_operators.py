@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import wave
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tierspan.functions import columns, phonology
 from tierspan.operators import audio, hierarchy, intervals, positions, writes
-from tierspan.plans.corpus import Corpus
+from tierspan.plans.corpus import Corpus, sample_rows
 from tierspan.sources import textgrid
 
 #: Digest of the vectors of all 74 symbols.
@@ -107,6 +108,84 @@ def test_corpus_snapshots(spark, tmp_path):
     assert {r["object_type"]: r["n"] for r in corpus.counts().collect()}.get("phrases", 0) == 0
 
 
+def test_corpus_commits(spark, tmp_path, monkeypatch):
+    row = lambda k: (bytearray(b"a"), 0, 100, bytearray(k), bytearray(b"s"), 9, "x", "f")
+    schema = "audio_id binary, start long, end long, identifier binary, speaker_id binary, overlap_code int, label string, filename string"
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    corpus.commit({"phrases": spark.createDataFrame([row(b"p"), row(b"q")], schema)})
+    corpus.commit({"speakers": corpus.tables["speakers"]})
+    # unchanged tables are kept by reference
+    assert len(list(tmp_path.glob("corpus/v-*/phrases"))) == 1 and corpus.query("phrases").count() == 2
+    other = Corpus(spark, corpus.path)
+    # a writer that dies between its steps leaves the corpus as it was
+    for step in ("_fs", "_numbers"):
+        with monkeypatch.context() as m:
+            m.setattr(Corpus, step, lambda self, *_: (_ for _ in ()).throw(RuntimeError("crash")))
+            with pytest.raises(RuntimeError):
+                corpus.commit({"phrases": corpus.tables["phrases"].limit(0)})
+        assert Corpus(spark, corpus.path).query("phrases").count() == 2
+    (tmp_path / "corpus" / "claim-3").touch()  # a claim without a pointer: the next number is taken
+    corpus.commit({"phrases": writes.delete(corpus.tables["phrases"], spark.createDataFrame([(bytearray(b"p"),)], "identifier binary"), ["identifier"], missing_ok=False)})
+    assert corpus.number == 4 and corpus.query("phrases").count() == 1
+    with pytest.raises(ValueError, match="another writer"):
+        other.commit({"phrases": other.tables["phrases"]})
+    with pytest.raises(ValueError, match="no such tables"):
+        corpus.commit({"letters": other.tables["phrases"]})
+    with pytest.raises(writes.Rejected):
+        writes.delete(corpus.tables["phrases"], spark.createDataFrame([(bytearray(b"z"),)], "identifier binary"), ["identifier"], missing_ok=False)
+    corpus.truncate()
+    assert corpus.query("phrases").count() == 0
+    corpus.close()
+    for action in (corpus.refresh, lambda: corpus.query("words"), lambda: corpus.commit({})):
+        with pytest.raises(ValueError, match="closed"):
+            action()
+
+
+def test_samples_are_exact(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "identifier")
+    for n in (0, 1, 7, 2500, 4999, 5000, 9000):
+        got = [r["identifier"] for r in sample_rows(rows, n, 3).collect()]
+        assert len(got) == len(set(got)) == min(n, 5000)
+        assert set(got) == {r["identifier"] for r in sample_rows(rows.repartition(5), n, 3).collect()}
+
+
+def test_rekeyed_rows_are_followed(spark):
+    tables = {
+        "phrases": spark.createDataFrame([("p", "s"), ("q", "s")], "identifier string, speaker_id string"),
+        "words": spark.createDataFrame([("w", "p", "s"), ("v", "q", "s")], "identifier string, parent_id string, speaker_id string"),
+        "phones": spark.createDataFrame([("f", "w", "p", "s")], "identifier string, parent_id string, phrase_id string, speaker_id string"),
+        "speakers": spark.createDataFrame([("s",)], "identifier string"),
+    }
+    renamed = lambda *pairs: spark.createDataFrame(list(pairs), "old string, new string")
+    show = lambda t: {n: sorted(map(tuple, df.collect())) for n, df in t.items()}
+    assert show(writes.rekey(tables, "phrases", renamed(("p", "r")))) == {"phrases": [("q", "s"), ("r", "s")], "words": [("v", "q", "s"), ("w", "r", "s")], "phones": [("f", "w", "r", "s")]}
+    assert show(writes.rekey(tables, "phrases", renamed(("p", "q"), ("q", "p"))))["phones"] == [("f", "w", "q", "s")]
+    assert all(r[-1] == "t" for n, rows in show(writes.rekey(tables, "speakers", renamed(("s", "t")))).items() for r in rows)
+    for bad in ([("x", "y")], [("p", "q")], [("p", "r"), ("q", "r")], [("p", "r"), ("p", "u")]):
+        with pytest.raises(writes.Rejected):
+            writes.rekey(tables, "phrases", renamed(*bad))
+
+
+def test_interval_joins_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(260):
+        start = rng.randint(0, 400)
+        rows.append((rng.choice("AB"), rng.choice(["x", "y", None]), f"i{k:03}", start, start + rng.choice([0, 0, 1, 3, 20, 300])))
+    half = rows[:130]
+    df, some = spark.createDataFrame(rows, SPAN), spark.createDataFrame(half, SPAN)
+    meets = lambda r, o: r[0] == o[0] and r[2] != o[2] and r[3] < o[4] and o[3] < r[4]
+    for left, right, a, b in ((df, df, rows, rows), (df, some, rows, half), (some, df, half, rows)):
+        assert sorted(r["identifier"] for r in intervals.overlaps(left, right).collect()) == [r[2] for r in a if any(meets(r, o) for o in b)]
+        assert sorted(r["identifier"] for r in intervals.overlaps(left, right, other_speaker=True).collect()) == [r[2] for r in a if any(meets(r, o) and r[1] != o[1] for o in b)]
+    codes = {r["identifier"]: r["overlap_code"] for r in intervals.overlap_codes(some, df).collect()}
+    assert codes == {r[2]: int(any(meets(r, o) and r[1] != o[1] for o in half)) for r in rows}
+    holds = {r[2]: max(((o[3], o[2]) for o in half if o[0] == r[0] and o[3] <= r[3] and r[4] <= o[4]), default=None) for r in rows}
+    assert {r["identifier"]: r["parent_id"] for r in intervals.contained(some, df).collect()} == {k: v[1] for k, v in holds.items() if v}
+    mids = {r[2]: min(((o[3], o[2]) for o in half if o[0] == r[0] and o[3] <= (r[3] + r[4]) / 2 <= o[4]), default=None) for r in rows}
+    assert {r["identifier"]: r["span_id"] for r in intervals.midpoint(some, df).collect()} == {k: v[1] for k, v in mids.items() if v}
+
+
 def grid_text(tiers):
     parts = ['File type = "ooTextFile"\nObject class = "TextGrid"\n\nxmin = 0\nxmax = 2\ntiers? <exists>\nsize = %d\nitem []:' % len(tiers)]
     for k, (name, rows) in enumerate(tiers):

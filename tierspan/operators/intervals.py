@@ -1,22 +1,43 @@
-"""Interval joins, sweeps and islands. Every range join carries an equality, so no join is a cross product.
+"""Interval joins, sweeps and islands, without pairs of all rows of a recording.
 
-`bucketed_overlaps` adds a time bucket to the equality, for recordings that hold a large share of all rows.
+Overlaps are counted by one sort of starts and ends per recording. Containment and midpoints join points to spans on the recording
+and a cell of time whose width follows the span's length, so a point meets only spans near it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _met(rows: DataFrame, others: DataFrame, by: list[str], sign: int) -> DataFrame:
+    """(identifier, n): sign times how many of `others` with the same `by` share time with each row.
+
+    Those that start before a row's end, less those that end at or before its start. At one time, ends of empty spans count after
+    empty rows have asked, so that two empty spans never meet.
+    """
+    keys = lambda df: [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in by] + [F.col(c).isNull().alias(f"_no_{c}") for c in by]
+    empty = F.col("start") == F.col("end")
+    ask = lambda t, k, n: F.struct(F.col(t).alias("t"), k.alias("k"), F.lit(n).alias("n"))
+    asks = rows.select(*keys(rows), "identifier", F.explode(F.array(ask("end", F.lit(0), 1), ask("start", F.when(empty, 3).otherwise(5), -1))).alias("e"))
+    tells = others.select(*keys(others), F.lit(None).cast(rows.schema["identifier"].dataType).alias("identifier"), F.explode(F.array(ask("start", F.lit(1), 0), ask("end", F.when(empty, 4).otherwise(2), 0))).alias("e"))
+    w = Window.partitionBy(*[f"_{c}" for c in by], *[f"_no_{c}" for c in by]).orderBy("e.t", "e.k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = asks.unionByName(tells).withColumns({"_s": F.count(F.when(F.col("e.k") == 1, 1)).over(w), "_e": F.count(F.when(F.col("e.k").isin(2, 4), 1)).over(w)})
+    return seen.where("e.n <> 0").select("identifier", (sign * F.when(F.col("e.n") == 1, F.col("_s")).otherwise(-F.col("_e"))).alias("n"))
+
+
 def overlaps(rows: DataFrame, others: DataFrame, *, other_speaker: bool = False) -> DataFrame:
-    """Ids of `rows` that share time with another row of the same audio (strictly: touching doesn't count)."""
-    o = others.select(F.col("audio_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"), F.col("speaker_id").alias("_p"))
-    on = (rows["audio_id"] == F.col("_a")) & (rows["start"] < F.col("_e")) & (F.col("_s") < rows["end"]) & (rows["identifier"] != F.col("_i"))
+    """`rows` that share time with another row of the same audio (strictly: touching doesn't count), by running counts over each
+    recording's starts and ends. A row of `others` with the same id is the row itself; no span ends before it starts."""
+    rows_, others_ = (df.where("audio_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL") for df in (rows, others))
+    counts = _met(rows_, others_, ["audio_id"], 1)
     if other_speaker:
-        on = on & ~rows["speaker_id"].eqNullSafe(F.col("_p"))
-    return rows.join(o, on, "left_semi")
+        counts = counts.unionByName(_met(rows_, others_, ["audio_id", "speaker_id"], -1))
+    else:
+        counts = counts.unionByName(others_.where("start < end").select("identifier", F.lit(-1).cast("long").alias("n")))
+    hit = counts.groupBy("identifier").agg(F.sum("n").alias("n")).where("n > 0").select("identifier")
+    return rows.join(hit, "identifier", "left_semi").select(*rows.columns)
 
 
 def bucketed_overlaps(rows: DataFrame, others: DataFrame, width: int) -> DataFrame:
@@ -28,10 +49,14 @@ def bucketed_overlaps(rows: DataFrame, others: DataFrame, width: int) -> DataFra
     return r.join(o, on, "left_semi").drop("_b").dropDuplicates(["identifier"])
 
 
-def overlap_codes(phrases: DataFrame) -> DataFrame:
-    """(identifier, overlap_code): 1 where a phrase shares time with another speaker's, else 0."""
-    hit = overlaps(phrases, phrases, other_speaker=True).select(F.col("identifier").alias("_hit")).distinct()
-    return phrases.join(hit, phrases["identifier"] == hit["_hit"], "left").select("identifier", F.when(F.col("_hit").isNotNull(), 1).otherwise(0).cast("short").alias("overlap_code"))
+def overlap_codes(phrases: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(identifier, overlap_code): 1 where a phrase shares time with another speaker's phrase, else 0.
+
+    With `items`, words, syllables or phones inside their own phrase: whether they share time with another speaker's phrase.
+    """
+    items = phrases if items is None else items
+    hit = overlaps(items, phrases, other_speaker=True).select(F.col("identifier").alias("_hit")).distinct()
+    return items.join(hit, items["identifier"] == hit["_hit"], "left").select("identifier", F.when(F.col("_hit").isNotNull(), 1).otherwise(0).cast("short").alias("overlap_code"))
 
 
 def same_speaker_overlaps(rows: DataFrame) -> DataFrame:
@@ -40,18 +65,31 @@ def same_speaker_overlaps(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_m", F.max("end").over(w)).where("start < _m").drop("_m")
 
 
+def _near(spans: DataFrame, points: DataFrame, at: Column) -> DataFrame:
+    """Points (all columns) with the spans (_s, _e, _i) of their audio that hold the point `at`, ends included.
+
+    A span of up to 2**k lies in two cells of that width at most, and a point asks one cell for each k that spans have.
+    """
+    level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+    s = spans.where("audio_id IS NOT NULL AND start <= end").withColumn("_k", level)
+    levels = sorted(r["_k"] for r in s.select("_k").distinct().collect())
+    width = F.pow(F.lit(2.0), F.col("_k"))
+    cell = lambda x: F.floor(x / width)
+    s = s.select(F.col("audio_id").alias("_a"), "_k", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.col("end"))))).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"))
+    p = points.withColumn("_at", at).withColumn("_pk", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumn("_pc", F.floor(F.col("_at") / F.pow(F.lit(2.0), F.col("_pk"))))
+    return p.join(s, (p["audio_id"] == s["_a"]) & (p["_pk"] == s["_k"]) & (p["_pc"] == s["_c"]) & (F.col("_at") >= F.col("_s")) & (F.col("_at") <= F.col("_e")))
+
+
 def contained(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """(identifier, parent_id): the last outer row, by start and id, that holds an inner row whole (ends included)."""
-    o = outer.select(F.col("audio_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"))
-    pairs = inner.join(o, (inner["audio_id"] == o["_a"]) & (inner["start"] >= o["_s"]) & (inner["end"] <= o["_e"]))
+    pairs = _near(outer, inner, F.col("start")).where(F.col("end") <= F.col("_e"))
     return pairs.groupBy("identifier").agg(F.max_by("_i", F.struct("_s", "_i")).alias("parent_id"))
 
 
 def midpoint(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """(identifier, span_id): the first span, by start and id, that holds a row's middle (ends included)."""
-    s = spans.select(F.col("audio_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"))
-    mid = (rows["start"] + rows["end"]) / 2
-    pairs = rows.join(s, (rows["audio_id"] == s["_a"]) & (mid >= s["_s"]) & (mid <= s["_e"]))
+    pairs = _near(spans, rows, (F.col("start") + F.col("end")) / 2)
     return pairs.groupBy("identifier").agg(F.min_by("_i", F.struct("_s", "_i")).alias("span_id"))
 
 

@@ -60,6 +60,41 @@ def upsert(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return new(old, rows, keys).unionByName(rows)
 
 
+def delete(old: DataFrame, gone: DataFrame, keys: list[str], *, missing_ok: bool = True) -> DataFrame:
+    """Rows whose key isn't to go; a key that isn't there is an error unless it may be missing."""
+    if not missing_ok:
+        require_empty(new(gone.select(*keys).distinct(), old, keys), "no row to delete")
+    return new(old, gone, keys)
+
+
+def rekey(tables: dict[str, DataFrame], level: str, renamed: DataFrame) -> dict[str, DataFrame]:
+    """Tables after rows (old, new) gave rows of a level other ids: what refers to them follows. All renamed or none."""
+    refers = {"audios": "audio_id", "speakers": "speaker_id", "phrases": "phrase_id"}
+    levels = ["phrases", "words", "syllables", "phones"]
+    ids = tables[level].select(F.col("identifier").alias("id"))
+    require_empty(duplicate_keys(renamed, ["old"]), "an id is renamed twice")
+    require_empty(duplicate_keys(renamed, ["new"]), "two ids become one")
+    require_empty(new(renamed.select(F.col("old").alias("id")), ids, ["id"]), "no row to rename")
+    stay = new(ids, renamed.select(F.col("old").alias("id")), ["id"])
+    require_empty(existing(renamed.select(F.col("new").alias("id")), stay, ["id"]), "the new id is taken")
+
+    def follow(df: DataFrame, column: str) -> DataFrame:
+        to = renamed.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        return df.join(to, F.col(column) == F.col("_old"), "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
+
+    out = {level: follow(tables[level], "identifier")}
+    for name, df in tables.items():
+        changed = out.get(name, df)
+        columns = [c for c in [refers.get(level)] if c in df.columns]
+        if level in levels[:-1] and name == levels[levels.index(level) + 1] and "parent_id" in df.columns:
+            columns.append("parent_id")
+        for column in columns:
+            changed = follow(changed, column)
+        if columns or name == level:
+            out[name] = changed.select(*df.columns)
+    return out
+
+
 def delete_phrases(tables: dict[str, DataFrame], phrases: DataFrame) -> dict[str, DataFrame]:
     """The four levels without some phrases and what hangs on them."""
     gone = phrases.select(F.col("identifier").alias("_gone")).distinct()

@@ -1,24 +1,48 @@
-"""A corpus: a folder of immutable snapshots of Parquet tables, and a pointer to the current one.
+"""A corpus: a folder of immutable Parquet tables, and numbered pointer files that name the path of each table.
 
-A change writes a whole new snapshot and then replaces the pointer, so several tables change together or not at all. One writer at a
-time. Tables are sorted by audio, start and id within files, so time and audio filters skip row groups.
+A change writes the changed tables alone and then the next pointer, so several tables change together or not at all; unchanged tables
+are kept by reference, and the pointer with the highest number is current. Pointers are never overwritten or deleted, so a reader
+never finds none, and a writer that ends half-way leaves the corpus as it was. Two writers can't take the same number: the later is
+rejected. Tables are sorted by audio, start and id within files, so time and audio filters skip row groups.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierspan.plans.query import Query
 from tierspan.plans.schema import GRAPH, SCHEMAS, SEGMENT_ORDER
 
+#: Buckets of hashes that a sample is cut by.
+SAMPLE_BUCKETS = 1 << 14
+
+
+def sample_rows(rows: DataFrame, n: int, seed: int = 0, key: str = "identifier") -> DataFrame:
+    """The n rows (or all) of smallest hash: whole buckets of hashes from one count each, and the last bucket's share by rank."""
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(SAMPLE_BUCKETS)))
+    counts = {r["_h"]: r["count"] for r in hashed.groupBy("_h").count().collect()}
+    cut, left = -1, n
+    for bucket in sorted(counts):
+        if counts[bucket] > left:
+            break
+        cut, left = bucket, left - counts[bucket]
+    whole = hashed.where(F.col("_h") <= cut)
+    following = min((b for b in counts if b > cut), default=None)
+    if left and following is not None:
+        whole = whole.unionByName(hashed.where(F.col("_h") == following).orderBy(F.xxhash64(key, F.lit(seed + 1)), key).limit(left))
+    return whole.drop("_h")
+
 
 class Corpus:
     def __init__(self, spark: SparkSession, path: str, graph=GRAPH, schemas=SCHEMAS) -> None:
         self.spark, self.path, self.graph, self.schemas = spark, path.rstrip("/"), graph, schemas
         self.tables: dict[str, DataFrame] = {}
+        self.number, self._paths, self.closed = 0, {}, False
         self.refresh()
 
     def _fs(self, path: str):
@@ -26,37 +50,68 @@ class Corpus:
         at = hadoop.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def _current(self) -> str | None:
-        fs, at = self._fs(f"{self.path}/CURRENT")
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(at) else None
+    def _numbers(self, kind: str) -> list[int]:
+        fs, at = self._fs(f"{self.path}/{kind}-*")
+        return [int(s.getPath().getName().rpartition("-")[2]) for s in fs.globStatus(at) or []]
+
+    def _open(self) -> None:
+        if self.closed:
+            raise ValueError("the corpus is closed")
+
+    def close(self) -> None:
+        """No query or change after this; frames made before stay usable."""
+        self.closed = True
 
     def refresh(self) -> Corpus:
-        """Look at the current snapshot; frames made before keep the one they were made from."""
-        name = self._current()
+        """Look at the current pointer; frames made before keep the tables they were made from."""
+        self._open()
+        self.number = max(self._numbers("pointer"), default=0)
+        self._paths = json.loads(self.spark.read.text(f"{self.path}/pointer-{self.number}", wholetext=True).first()[0]) if self.number else {}
         for table, schema in self.schemas.items():
-            self.tables[table] = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{table}") if name else self.spark.createDataFrame([], schema)
+            at = self._paths.get(table)
+            self.tables[table] = self.spark.read.schema(schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], schema)
         return self
 
     def commit(self, changed: dict[str, DataFrame]) -> Corpus:
-        """Write a snapshot with the changed tables and make it current."""
-        name = f"v-{uuid.uuid4().hex}"
-        for table, schema in self.schemas.items():
-            df = changed.get(table, self.tables[table])
+        """Write the changed tables and make them current, all or none."""
+        self._open()
+        unknown = set(changed) - set(self.schemas)
+        if unknown:
+            raise ValueError(f"no such tables: {', '.join(sorted(unknown))}")
+        name, paths = f"v-{uuid.uuid4().hex}", dict(self._paths)
+        for table, df in changed.items():
+            schema = self.schemas[table]
             df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
             keys = [c for c in SEGMENT_ORDER if c in schema.names]
-            (df.sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.path}/{name}/{table}")
-        fs, tmp = self._fs(f"{self.path}/CURRENT.{name}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(name.encode()))
+            paths[table] = f"{name}/{table}"
+            (df.sortWithinPartitions(*keys) if keys else df).write.parquet(f"{self.path}/{paths[table]}")
+        self._point(paths)
+        return self.refresh()
+
+    def _point(self, paths: dict[str, str]) -> None:
+        """The next pointer: its number is claimed first, by a file that can be created once, then the pointer appears whole by a rename."""
+        if max(self._numbers("pointer"), default=0) != self.number:
+            raise ValueError("the corpus was changed by another writer; refresh and make the change again")
+        number = max([self.number, *self._numbers("claim")]) + 1
+        fs, claim = self._fs(f"{self.path}/claim-{number}")
+        try:
+            fs.create(claim, False).close()
+        except (PySparkException, OSError) as e:
+            raise ValueError(f"another writer took number {number}") from e
+        _, tmp = self._fs(f"{self.path}/_pointer-{uuid.uuid4().hex}")
+        out = fs.create(tmp, False)
+        out.write(bytearray(json.dumps(paths).encode()))
         out.close()
-        _, at = self._fs(f"{self.path}/CURRENT")
-        if fs.exists(at):
-            fs.delete(at, False)
+        _, at = self._fs(f"{self.path}/pointer-{number}")
         if not fs.rename(tmp, at):
-            raise OSError(f"can't replace {at}")
-        return self.refresh()
+            raise OSError(f"can't create {at}")
+
+    def truncate(self, *names: str) -> Corpus:
+        """Empty some tables, or all; their old files stay for frames that read them."""
+        return self.commit({n: self.spark.createDataFrame([], self.schemas[n]) for n in names or self.schemas})
 
     def query(self, entity: str) -> Query:
+        self._open()
         return Query(self.tables, self.graph, entity)
 
     def counts(self) -> DataFrame:
@@ -70,7 +125,7 @@ class Corpus:
     def sample(self, fraction: float, seed: int = 0) -> dict[str, DataFrame]:
         """An exact share of the phrases (one at least), drawn by hash, with all that hangs on them."""
         n = max(1, int(self.tables["phrases"].count() * fraction))
-        phrases = self.tables["phrases"].orderBy(F.xxhash64("identifier", F.lit(seed)), "identifier").limit(n)
+        phrases = sample_rows(self.tables["phrases"], n, seed)
         keep = phrases.select(F.col("identifier").alias("phrase_id"))
         out = {"phrases": phrases, "words": self.tables["words"].join(keep, F.col("parent_id") == F.col("phrase_id"), "left_semi")}
         out |= {level: self.tables[level].join(keep, "phrase_id", "left_semi") for level in ("syllables", "phones")}
