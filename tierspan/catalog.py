@@ -11,8 +11,9 @@ from pyspark.sql.window import Window
 from tierspan.functions import columns, phonology
 from tierspan.operators import audio, hierarchy, intervals, positions, resume, resyllabify, writes
 from tierspan.plans import project
+from tierspan.plans.corpus import sample_rows
 from tierspan.plans.query import Entity, Query
-from tierspan.sources import synthetic
+from tierspan.sources import awd, synthetic, textgrid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,14 +101,6 @@ def _get_n(spark, d):
     return _q(spark, d, "orders").get_n(50).select("o_orderkey", "o_totalprice")
 
 
-@_query("q05_order_by", "SELECT o_orderkey, c_name, o_totalprice, row_number() OVER (ORDER BY c_mktsegment, o_totalprice DESC, o_orderkey) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY place LIMIT 100")
-def _order_by(spark, d):
-    top = _q(spark, d, "orders").order_by("customer__c_mktsegment", "-o_totalprice").get_n(100)
-    names = project.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    joined = top.join(names, top["o_custkey"] == names["c_custkey"], "left")
-    return joined.withColumn("place", F.row_number().over(Window.orderBy("c_mktsegment", F.desc("o_totalprice"), "o_orderkey")).cast("long")).select("o_orderkey", "c_name", "o_totalprice", "place")
-
-
 @_query("q05_order_by_all", "SELECT o_orderkey, c_name, o_totalprice, row_number() OVER (ORDER BY c_mktsegment, o_totalprice DESC, o_orderkey) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def _order_by_all(spark, d):
     """Every order with its place."""
@@ -199,9 +192,15 @@ def _preorder(spark, d):
 
 @_query("h08_ancestors", f"WITH {_PHONES} SELECT f.identifier, w.identifier AS word_id, p.identifier AS phrase_id FROM phones f JOIN words w ON w.identifier = f.parent_id JOIN phrases p ON p.identifier = w.parent_id")
 def _ancestors(spark, d):
-    phones, words = project.phones(spark, d), project.words(spark, d).select(F.col("identifier").alias("word_id"), F.col("parent_id").alias("_p"))
-    phrases = project.phrases(spark, d).select(F.col("identifier").alias("phrase_id"))
-    return phones.drop("phrase_id").join(words, phones["parent_id"] == words["word_id"]).join(phrases, F.col("_p") == F.col("phrase_id")).select("identifier", "word_id", "phrase_id")
+    rows = project.phones(spark, d).drop("phrase_id")
+    return hierarchy.ancestors(rows, {"word": project.words(spark, d), "phrase": project.phrases(spark, d)}).select("identifier", "word_id", "phrase_id")
+
+
+@_query("h13_word_codes", f"WITH {_WORDS} SELECT w.identifier, CAST(EXISTS (SELECT 1 FROM phrases p WHERE p.audio_id = w.audio_id AND p.speaker_id <> w.speaker_id AND p.\"start\" - 10 < w.\"end\" AND w.\"start\" < p.\"end\" + 10) AS SMALLINT) AS overlap_code FROM words w")
+def _word_codes(spark, d):
+    """Words against phrases of others that are heard a little longer, so that turns overlap."""
+    wide = project.phrases(spark, d).withColumns({"start": F.col("start") - 10, "end": F.col("end") + 10})
+    return intervals.overlap_codes(wide, project.words(spark, d))
 
 
 @_query("h11_neighbours", f'WITH {_WORDS} SELECT identifier, lag(identifier) OVER w AS prev_id, lead(identifier) OVER w AS next_id FROM words WINDOW w AS (PARTITION BY parent_id ORDER BY "start", identifier)')
@@ -215,12 +214,6 @@ def _overlap(spark, d):
     return intervals.overlaps(s, s).select("identifier")
 
 
-@_query("h12_overlap_bucketed", ORACLE_SQL["h12_overlap"].replace("WHERE EXISTS", 'WHERE a."end" > a."start" AND EXISTS'))
-def _bucketed(spark, d):
-    s = project.spans(spark, d)
-    return intervals.bucketed_overlaps(s.where("end > start"), s, 3_600_000).select("identifier")
-
-
 @_query("h12_overlap_bucketed_all", ORACLE_SQL["h12_overlap"])
 def _bucketed_all(spark, d):
     s = project.spans(spark, d)
@@ -255,19 +248,22 @@ def _asof(spark, d):
     return intervals.as_of(s.where("speaker_id = 'click'"), s.where("speaker_id <> 'click'").select("audio_id", "identifier", F.col("end").alias("at")))
 
 
-@_query("h18_zip", "SELECT coalesce(a.turn, b.turn) AS turn, coalesce(a.conv_id, b.conv_id) AS conv_id, a.text IS NOT DISTINCT FROM b.text AS aligned FROM (SELECT * FROM conversations WHERE role <> 'system') a FULL JOIN (SELECT * FROM conversations WHERE role <> 'user') b ON a.conv_id = b.conv_id AND a.turn = b.turn")
+_SHIFTED = "CASE WHEN l_linenumber % 5 = 0 THEN 0.5 WHEN l_linenumber % 2 = 0 THEN 0.0000005 ELSE 0 END"
+
+
+@_query("h18_zip", f"WITH l AS (SELECT l_orderkey AS file, l_linenumber AS idx, l_quantity AS lmin FROM lineitem), r AS (SELECT file, idx, lmin + {_SHIFTED.replace('l_linenumber', 'idx')} AS rmin FROM l WHERE idx <> 6) SELECT file, idx, lmin, coalesce(abs(lmin - rmin) <= 0.000001, false) AS aligned FROM l FULL JOIN r USING (file, idx)")
 def _zip(spark, d):
-    t = project.table(spark, d, "conversations")
-    a = t.where("role <> 'system'").select("conv_id", "turn", F.col("text").alias("_a"))
-    b = t.where("role <> 'user'").select("conv_id", "turn", F.col("text").alias("_b"))
-    return a.join(b, ["conv_id", "turn"], "full").select("turn", "conv_id", F.col("_a").eqNullSafe(F.col("_b")).alias("aligned"))
+    lines = project.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("idx"), "l_linenumber", F.col("l_quantity").cast("double").alias("xmin"))
+    left = lines.withColumn("tier", F.lit("words"))
+    right = lines.where("idx <> 6").withColumn("tier", F.lit("fon")).withColumn("xmin", F.col("xmin") + F.expr(_SHIFTED))
+    both = left.unionByName(right).select("file", "tier", "idx", "xmin", (F.col("xmin") + 1).alias("xmax"), F.lit("").alias("mark"))
+    return textgrid.zip_tiers(both, "words", "fon", 1e-6).select("file", "idx", "lmin", "aligned")
 
 
-@_query("h19_triples", "SELECT k, bool_or(s = 'c') AS in_customer, bool_or(s = 's') AS in_supplier, bool_or(s = 'p') AS in_part FROM (SELECT c_custkey AS k, 'c' AS s FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier UNION ALL SELECT p_partkey, 'p' FROM part) GROUP BY k")
+@_query("h19_triples", "SELECT stem, c.n AS customer, s.n AS supplier, p.n AS part, c.n IS NOT NULL AND s.n IS NOT NULL AND p.n IS NOT NULL AS complete FROM (SELECT CAST(c_custkey AS VARCHAR) AS stem, c_name AS n FROM customer) c FULL JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS stem, s_name AS n FROM supplier) s USING (stem) FULL JOIN (SELECT CAST(p_partkey AS VARCHAR) AS stem, p_name AS n FROM part) p USING (stem)")
 def _triples(spark, d):
-    rows = [project.table(spark, d, t).select(F.col(k).alias("k"), F.lit(t).alias("s")) for t, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"))]
-    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return every.groupBy("k").agg(*[F.bool_or(F.col("s") == t).alias(f"in_{t}") for t in ("customer", "supplier", "part")])
+    kinds = {t: project.table(spark, d, t).select(F.col(f"{t[0]}_{k}").cast("string").alias("stem"), F.col(f"{t[0]}_name").alias("path")) for t, k in (("customer", "custkey"), ("supplier", "suppkey"), ("part", "partkey"))}
+    return awd.pair_sources(**kinds)
 
 
 @_query("h20_speaker_nav", f"WITH {_WORDS} SELECT speaker_id AS of_speaker, count(*) AS n FROM phrases GROUP BY speaker_id")
@@ -393,11 +389,6 @@ def _by_position(spark, d):
     return _positions(spark, d).groupBy("position_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("w05_first_appearance", f'WITH {_WORDS} SELECT label, min("start") AS first_start FROM words WHERE audio_id < 50 GROUP BY label')
-def _first_seen(spark, d):
-    return positions.first_appearance(project.words(spark, d).where("audio_id < 50"), "label")
-
-
 @_query("w05_first_appearance_all", f'WITH {_WORDS} SELECT label, min("start") AS first_start FROM words GROUP BY label')
 def _first_seen_all(spark, d):
     return positions.first_appearance(project.words(spark, d), "label")
@@ -426,12 +417,6 @@ _MAPPING = {"th": "θ", "sh": "ʃ", "ng": "ŋ", "a": "ɑ", "e": "ɛ", "ea": "iː
 _CASES = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(label, 'th', 'θ', 'g'), 'sh', 'ʃ', 'g'), 'ng', 'ŋ', 'g'), 'ea', '1', 'g'), 'a', 'ɑ', 'g'), 'e', 'ɛ', 'g')"
 
 
-@_query("t06_symbols", f"WITH {_WORDS} SELECT DISTINCT label, replace({_CASES}, '1', 'iː') AS ipa FROM words WHERE NOT contains(label, '1')")
-def _symbols(spark, d):
-    labels = project.words(spark, d).where(~F.contains("label", F.lit("1"))).select("label").distinct()
-    return labels.select("label", phonology.map_symbols(F.col("label"), _MAPPING)[0].alias("ipa"))
-
-
 @_query("t06_symbols_all", f"WITH {_WORDS} SELECT DISTINCT label, replace({_CASES.replace("'1'", "chr(57344)")}, chr(57344), 'iː') AS ipa FROM words")
 def _symbols_all(spark, d):
     labels = project.words(spark, d).select("label").distinct()
@@ -448,6 +433,21 @@ def _mismatch(spark, d):
     return project.table(spark, d, "documents").where(~F.col("n_chars").eqNullSafe(F.length("text"))).select("doc_id")
 
 
+@_query("t12_label_repair", f"WITH {_WORDS} SELECT identifier, label || 'x' AS label, label AS repaired FROM words WHERE identifier % 11 = 0")
+def _label_repair(spark, d):
+    """Labels that aren't their phones' labels joined, and what they should be."""
+    words = project.words(spark, d).withColumn("label", F.when(F.col("identifier") % 11 == 0, F.concat("label", F.lit("x"))).otherwise(F.col("label")))
+    return resyllabify.label_mismatches(words, project.phones(spark, d))
+
+
+@_query("j06_inherited_stress", f"WITH {_PHONES} SELECT f.identifier, CASE length(w.label) % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'primary' ELSE NULL END AS stress FROM phones f LEFT JOIN words w ON w.identifier = f.parent_id")
+def _stress(spark, d):
+    """Phones take the stress of what they belong to."""
+    words = project.words(spark, d).withColumn("stress_code", F.when(F.length("label") % 3 == 2, F.lit(None)).otherwise(F.length("label") % 3).cast("short"))
+    phones = project.phones(spark, d).withColumn("stress_code", F.lit(None).cast("short"))
+    return hierarchy.inherited(phones, words, "stress_code").select("identifier", columns.decode(F.col("stress_code"), {0: "none", 1: "primary"}).alias("stress"))
+
+
 @_query("t14_speakers", "SELECT c_name AS name, CAST(CASE WHEN c_acctbal < 0 THEN 0 ELSE 2000 - (1900 + c_nationkey) END AS SMALLINT) AS age, CAST(CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 9 END AS SMALLINT) AS gender_code, CAST(NULL AS VARCHAR) AS dialect, c_mktsegment AS region FROM customer")
 def _speaker_rows(spark, d):
     c = project.table(spark, d, "customer")
@@ -492,13 +492,36 @@ def _dup_keys(spark, d):
     return writes.duplicate_keys(project.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@_query("k07_cascade", f"WITH {_WORDS} SELECT 'phrases' AS level, count(*) AS n FROM phrases WHERE speaker_id <> 'system' UNION ALL SELECT 'words', count(*) FROM words w WHERE speaker_id <> 'system'")
+def _levels(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The four levels; there are no syllables."""
+    phones = project.phones(spark, d)
+    return {"phrases": project.phrases(spark, d), "words": project.words(spark, d), "syllables": phones.limit(0), "phones": phones}
+
+
+@_query("k07_cascade", f"WITH {_PHONES} SELECT 'phrases' AS level, count(*) AS n FROM phrases WHERE speaker_id <> 'system' UNION ALL SELECT 'words', count(*) FROM words WHERE speaker_id <> 'system' UNION ALL SELECT 'phones', count(*) FROM phones WHERE speaker_id <> 'system' UNION ALL SELECT 'syllables', 0")
 def _cascade(spark, d):
-    phrases, words = project.phrases(spark, d), project.words(spark, d)
-    gone = phrases.where("speaker_id = 'system'").select(F.col("identifier").alias("_g"))
-    out = [(n, t.join(gone, t[k] == gone["_g"], "left_anti")) for n, t, k in (("phrases", phrases, "identifier"), ("words", words, "parent_id"))]
-    a, b = [t.groupBy(F.lit(n).alias("level")).agg(F.count(F.lit(1)).alias("n")) for n, t in out]
-    return a.unionByName(b)
+    tables = _levels(spark, d)
+    left = writes.delete_phrases(tables, tables["phrases"].where("speaker_id = 'system'"))
+    out = None
+    for name, df in left.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("level"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("k06_delete", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0")
+def _delete(spark, d):
+    orders = project.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return writes.delete(orders, orders.where("o_orderkey % 3 = 0"), ["o_orderkey"], missing_ok=False)
+
+
+@_query("k08_rekey", f"WITH {_WORDS} SELECT 'phrases' AS level, CASE WHEN identifier % 5 = 0 THEN -identifier ELSE identifier END AS id, n_words AS value FROM phrases UNION ALL SELECT 'words', CASE WHEN parent_id % 5 = 0 THEN -parent_id ELSE parent_id END, identifier FROM words")
+def _rekey(spark, d):
+    tables = {"phrases": project.phrases(spark, d), "words": project.words(spark, d)}
+    some = tables["phrases"].where("identifier % 5 = 0").select(F.col("identifier").alias("old"), (-F.col("identifier")).alias("new"))
+    made = writes.rekey(tables, "phrases", some)
+    words = made["words"].select(F.lit("words").alias("level"), F.col("parent_id").alias("id"), F.col("identifier").alias("value"))
+    return made["phrases"].select(F.lit("phrases").alias("level"), F.col("identifier").alias("id"), F.col("n_words").alias("value")).unionByName(words)
 
 
 @_query("k12_append", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 2 = 0")
@@ -583,12 +606,15 @@ def _m09(spark, d):
 
 
 # imports, replacement and generated data
-@_query("k05_replace_trees", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 7 <> 0 UNION ALL SELECT o_orderkey, 1, 0.0 FROM orders WHERE o_orderkey % 7 = 0")
+@_query("k05_replace_trees", f"WITH {_PHONES} SELECT 'words' AS level, identifier, label FROM words WHERE parent_id % 7 <> 0 UNION ALL SELECT 'words', -identifier, 'staged' FROM phrases WHERE identifier % 7 = 0 UNION ALL SELECT 'phones', identifier, label FROM phones WHERE phrase_id % 7 <> 0")
 def _trees(spark, d):
-    """All rows of some orders give way to one staged row each, found by the parent, not by their own keys."""
-    old = project.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    staged = project.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(0.0).alias("l_quantity"))
-    return writes.new(old, project.table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey")), ["l_orderkey"]).unionByName(staged)
+    """Phrases with all below them give way to staged ones of one word each."""
+    tables = _levels(spark, d)
+    staged = {"phrases": tables["phrases"].where("identifier % 7 = 0").withColumn("n_words", F.lit(1).cast("long"))}
+    staged["words"] = staged["phrases"].select("audio_id", "speaker_id", "start", "end", (-F.col("identifier")).alias("identifier"), F.col("identifier").alias("parent_id"), F.lit("staged").alias("label"))
+    staged |= {level: tables[level].limit(0) for level in ("syllables", "phones")}
+    whole = writes.replace_trees(tables, staged)
+    return whole["words"].select(F.lit("words").alias("level"), "identifier", "label").unionByName(whole["phones"].select(F.lit("phones").alias("level"), "identifier", "label"))
 
 
 @_query("k11_links", f"WITH {_SPANS} SELECT speaker_id, audio_id FROM spans GROUP BY speaker_id, audio_id")
@@ -609,10 +635,13 @@ def _audit(spark, d):
     return resume.differing(stored, stored.withColumn("label", F.when(F.col("identifier") % 100 == 0, "y").otherwise(F.col("label"))))
 
 
-@_query("u02_symdiff", "SELECT k, 'left' AS side FROM (SELECT n_nationkey AS k FROM nation EXCEPT SELECT CAST(s_suppkey AS INT) FROM supplier) UNION ALL SELECT k, 'right' FROM (SELECT CAST(s_suppkey AS INT) AS k FROM supplier EXCEPT SELECT n_nationkey FROM nation)")
+@_query("u02_symdiff", "WITH a AS (SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS file, n_name AS speaker FROM nation WHERE n_nationkey % 5 <> 0 AND n_name <> 'COMMENT'), b AS (SELECT DISTINCT CAST(n_regionkey AS VARCHAR) AS file, n_name AS speaker FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000) SELECT *, 'ort' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'awd' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def _symdiff(spark, d):
-    a, b = project.table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), project.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
-    return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
+    """Nations of a region that aren't blank, against those of its rich customers."""
+    nations = project.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("file"), F.col("n_name").alias("tier"))
+    rich = project.table(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    ort = nations.withColumn("mark", F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise("x"))
+    return awd.speaker_tier_differences(ort, nations.join(rich, "n_nationkey"))
 
 
 @_query("u05_dedupe_keys", "SELECT DISTINCT o_custkey FROM orders")
@@ -639,12 +668,12 @@ def _get(spark, d):
     return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in (row, none) if r], "o_orderkey long, o_totalprice double")
 
 
-@_query("s16_sample", f"WITH {_WORDS} SELECT greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) AS n FROM phrases")
+@_query("s16_sample", f"WITH {_WORDS} SELECT greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) AS n, greatest(1, CAST(floor(count(*) * 0.25) AS BIGINT)) AS n_distinct FROM phrases")
 def _sample(spark, d):
     """An exact share, drawn by hash; the rows are ours, so their number is compared."""
     phrases = project.phrases(spark, d)
-    n = max(1, int(phrases.count() * 0.25))
-    return phrases.orderBy(F.xxhash64("identifier"), "identifier").limit(n).agg(F.count(F.lit(1)).alias("n"))
+    drawn = sample_rows(phrases, max(1, int(phrases.count() * 0.25)))
+    return drawn.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("identifier").alias("n_distinct"))
 
 
 _SAID = ", ".join(f"({k}, '{p}')" for k, p in enumerate(synthetic.PHRASES))
@@ -684,6 +713,10 @@ def _mfcc(spark, d):
     return audio.mfcc_frames(spark.createDataFrame(rows, "audio_id int, content binary"))
 
 
+for _name in ("q05_order_by", "w05_first_appearance", "t06_symbols", "h12_overlap_bucketed"):
+    _register(_name, ORACLE_SQL[f"{_name}_all"], QUERIES[f"{_name}_all"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of user turns that start with `th`, longest first."""
     words = project.words(spark, sf_dir).withColumn("duration", columns.duration())

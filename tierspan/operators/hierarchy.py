@@ -100,3 +100,19 @@ def labels_joined(rows: DataFrame, by: str, sep: str = " ") -> DataFrame:
     """Labels of each group in time order, with the group's span."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "identifier", "label")))
     return rows.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["label"]), sep).alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"))
+
+
+def ancestors(rows: DataFrame, levels: dict[str, DataFrame]) -> DataFrame:
+    """`rows` with the id of each ancestor, `<level>_id`, from the nearest level up; null above a parent that isn't there."""
+    out, above = rows, F.col("parent_id")
+    for name, df in levels.items():
+        more = [F.col("parent_id").alias(f"_above_{name}")] if "parent_id" in df.columns else [F.lit(None).alias(f"_above_{name}")]
+        out = out.join(df.select(F.col("identifier").alias(f"{name}_id"), *more), above == F.col(f"{name}_id"), "left")
+        above = F.col(f"_above_{name}")
+    return out.drop(*[f"_above_{name}" for name in levels])
+
+
+def inherited(rows: DataFrame, parents: DataFrame, column: str) -> DataFrame:
+    """`rows` with their parents' value of a column where their own is null."""
+    own = parents.select(F.col("identifier").alias("_pid"), F.col(column).alias("_theirs"))
+    return rows.join(own, F.col("parent_id") == F.col("_pid"), "left").withColumn(column, F.coalesce(F.col(column), F.col("_theirs"))).drop("_pid", "_theirs")

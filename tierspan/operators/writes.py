@@ -115,6 +115,10 @@ def replace_trees(tables: dict[str, DataFrame], staged: dict[str, DataFrame]) ->
 
 def validate_trees(staged: dict[str, DataFrame]) -> None:
     phrases = staged["phrases"]
+    for name, df in staged.items():
+        must = [c for c in ("identifier", "audio_id", "start", "end", "parent_id" if name == "words" else "phrase_id") if c in df.columns]
+        require_empty(df.where(" OR ".join(f"`{c}` IS NULL" for c in must)).select("identifier"), f"{name} without {', '.join(must)}")
+        require_empty(duplicate_keys(df, ["identifier"]), f"ids of {name} occur twice")
     require_empty(duplicate_keys(phrases, ["audio_id", "speaker_id", "start"]), "phrases occur twice")
     require_empty(same_speaker_overlaps(phrases), "phrases of one speaker overlap")
     owner = phrases.select(F.col("identifier").alias("_p"), F.col("speaker_id").alias("_s"), F.col("audio_id").alias("_a"))
