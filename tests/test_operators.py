@@ -32,6 +32,23 @@ def test_maximal_onsets():
             phonology.syllabify(bad.split())
 
 
+def test_syllables_equal_the_rule_on_random_words(spark):
+    rng = random.Random(4)
+    symbols = sorted(phonology.PHONES)
+    likely = ["s", "t", "r", "k", "n", "l", "ŋ", "h", "ʃ", "p", "ɡ", "f", "j", "ɑ", "i", "ɛi"]
+    words = [[rng.choice(likely if rng.random() < 0.85 else symbols) for _ in range(rng.randint(1, 12))] for _ in range(1500)] + [["ɑ", "XYZ"], ["s", "t"]]
+    rows = [(w, k, k + 1, f"{w}/{k:02}", x) for w, word in enumerate(words) for k, x in enumerate(word)]
+    got = {}
+    for r in phonology.syllable_groups(spark.createDataFrame(rows, "word int, start int, end int, identifier string, label string"), "word").orderBy("word", "syllable").collect():
+        got.setdefault(r["word"], []).append(None if r["syllable"] is None else (r["syllable"], r["label"], r["start"], r["end"], len(r["phone_ids"])))
+    for w, word in enumerate(words):
+        try:
+            want = [(k, " ".join(word[i] for i in part), part[0], part[-1] + 1, len(part)) for k, part in enumerate(phonology.syllabify(word))]
+        except ValueError:
+            want = [None]
+        assert got[w] == want, word
+
+
 def test_phone_table(spark):
     rows = {r["symbol"]: r for r in phonology.phone_table(spark).collect()}
     assert len(rows) == 74 and all(len(r["vector"]) == 25 for r in rows.values())

@@ -466,12 +466,33 @@ def _utterances(spark, d):
     return project.phrases(spark, d).select("identifier", F.format_string("%d_%06d_%06d", "audio_id", "start", "end").alias("filename"))
 
 
-@_query("t01_syllables")
+_SONORITY = ", ".join(f"('{x}', {phonology.sonority(x)})" for x in phonology.PHONES)
+_PAIR = "(s2 < s1 AND ((s2 <= 2 AND s1 >= 4) OR l2 || l1 IN ('kn', 'ɡn', 'fn')))"
+_SYLLABLES = f"""WITH {_PHONES},
+v(symbol, son) AS (VALUES {_SONORITY}),
+q AS (SELECT parent_id, identifier, "start", "end", lower(label) AS label, son FROM phones LEFT JOIN v ON symbol = lower(label)),
+a AS (SELECT *, lag(label, 1) OVER w AS l1, lag(label, 2) OVER w AS l2, lag(label, 3) OVER w AS l3, lag(son, 1) OVER w AS s1, lag(son, 2) OVER w AS s2, lag(son, 3) OVER w AS s3,
+             count(*) FILTER (son = 6) OVER (PARTITION BY parent_id ORDER BY "start", "end", identifier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+             count(*) FILTER (son IS NULL) OVER (PARTITION BY parent_id) = 0 AND count(*) FILTER (son = 6) OVER (PARTITION BY parent_id) > 0 AS ok
+      FROM q WINDOW w AS (PARTITION BY parent_id ORDER BY "start", "end", identifier)),
+o AS (SELECT *, CASE WHEN son = 6 AND before > 0 THEN CASE
+        WHEN s1 < 6 AND s2 < 6 AND s3 < 6 AND l1 <> 'ŋ' AND l2 <> 'ŋ' AND l3 <> 'ŋ'
+             AND CASE WHEN l3 IN ('s', 'ʃ') AND l2 <> 'h' THEN {_PAIR} ELSE s3 < s2 AND s2 < s1 AND s3 <= 2 AND s2 >= 4 END THEN 3
+        WHEN s1 < 6 AND s2 < 6 AND l1 <> 'ŋ' AND l2 <> 'ŋ' AND ((l2 IN ('s', 'ʃ') AND l1 <> 'h') OR {_PAIR}) THEN 2
+        WHEN s1 < 6 AND l1 <> 'ŋ' THEN 1 ELSE 0 END END AS onset FROM a),
+b AS (SELECT *, coalesce(onset = 0, false) OR coalesce(lead(onset, 1) OVER w = 1, false) OR coalesce(lead(onset, 2) OVER w = 2, false) OR coalesce(lead(onset, 3) OVER w = 3, false) AS starts
+      FROM o WINDOW w AS (PARTITION BY parent_id ORDER BY "start", "end", identifier)),
+c AS (SELECT *, CASE WHEN ok THEN CAST(sum(CAST(starts AS INT)) OVER (PARTITION BY parent_id ORDER BY "start", "end", identifier ROWS UNBOUNDED PRECEDING) AS INT) END AS syllable FROM b)
+SELECT parent_id, syllable, CASE WHEN syllable IS NOT NULL THEN string_agg(label, ' ' ORDER BY "start", "end", identifier) END AS label,
+       CASE WHEN syllable IS NOT NULL THEN min("start") END AS "start", CASE WHEN syllable IS NOT NULL THEN max("end") END AS "end"
+FROM c GROUP BY parent_id, syllable"""
+
+
+@_query("t01_syllables", _SYLLABLES)
 def _syllables(spark, d):
-    """Syllables of the words that consist of known symbols alone."""
+    """Syllables of all words; a word with an unknown symbol or no vowel has a null one."""
     phones = project.phones(spark, d).withColumn("label", F.lower("label"))
-    known = phones.groupBy("parent_id").agg(F.bool_and(phonology.phone_type(F.col("label")).isNotNull()).alias("_ok")).where("_ok").select("parent_id")
-    return phonology.syllable_groups(phones.join(known, "parent_id"), "parent_id").select("parent_id", "syllable", "label", "start", "end")
+    return phonology.syllable_groups(phones, "parent_id").select("parent_id", "syllable", "label", "start", "end")
 
 
 @_query("t03_phrases")
@@ -684,10 +705,16 @@ def _synthetic(spark, d):
     return synthetic.generate(spark, 20)["phrases"].select("speaker_id", "identifier", "start", "label")
 
 
-@_query("t04_outcomes")
+_CURRENT = """k AS (SELECT parent_id, identifier, coalesce(count(*) FILTER (is_vowel) OVER (PARTITION BY parent_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM phones),
+m AS (SELECT c.parent_id, count(DISTINCT cut) AS n_old, count(DISTINCT syllable) AS n_new, count(DISTINCT cut * 1000 + coalesce(syllable, -1)) AS n_both, bool_and(ok) AS ok FROM c JOIN k USING (parent_id, identifier) GROUP BY c.parent_id),
+r AS (SELECT ok AND n_old = n_both AND n_new = n_both AS ok, ok AND n_old = n_new AND n_both > n_old AS applied, ok AND n_old <> n_new AS count_mismatch FROM m)
+SELECT ok, applied, count_mismatch, count(*) AS n FROM r GROUP BY ALL"""
+
+
+@_query("t04_outcomes", _SYLLABLES[: _SYLLABLES.rindex("\nSELECT")] + ",\n" + _CURRENT)
 def _outcomes(spark, d):
     """Words cut after each vowel, compared with maximal onsets."""
-    phones = project.phones(spark, d).withColumn("label", F.lower("label")).where(phonology.phone_type(F.col("label")).isNotNull()).withColumnRenamed("parent_id", "word_id")
+    phones = project.phones(spark, d).withColumn("label", F.lower("label")).withColumnRenamed("parent_id", "word_id")
     before = F.coalesce(F.sum(F.col("is_vowel").cast("int")).over(Window.partitionBy("word_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = resyllabify.outcomes(phones.withColumn("parent_id", F.col("word_id") * 100 + before))
     return found.groupBy("ok", "applied", "count_mismatch").agg(F.count(F.lit(1)).alias("n"))
