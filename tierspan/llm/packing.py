@@ -177,13 +177,13 @@ def plan(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int
 def ranked(rows: DataFrame) -> DataFrame:
     """Add `_rank`, 0 to n - 1 within each length, without bringing a length into one task.
 
-    Each length is dealt over buckets by hash; small counts of the buckets give each its first rank.
+    Each length is dealt over buckets by a hash of the row's number, `_row`, so that repeated rows part too; small counts of the buckets give each its first rank.
     """
     total = rows.groupBy("length").count().withColumn("_buckets", F.ceil(F.col("count") / RANK_BUCKET)).drop("count")
-    dealt = rows.join(F.broadcast(total), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_buckets"))).drop("_buckets")
+    dealt = rows.join(F.broadcast(total), "length").withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets"))).drop("_buckets")
     first = dealt.groupBy("length", "_bucket").count()
     first = first.withColumn("_first", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).drop("count")
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start", "ids_crc32", "_row")) - 1
     return dealt.withColumn("_within", within).join(first, ["length", "_bucket"]).withColumn("_rank", F.col("_first") + F.col("_within")).drop("_bucket", "_within", "_first")
 
 
@@ -193,11 +193,11 @@ def pack(docs: DataFrame, max_tokens: int = MAX_TOKENS, *, keep_ids: bool = Fals
     The driver sees one count per length and makes at most a few thousand runs; those are broadcast.
     """
     spark = docs.sparkSession
-    rows = materialise(pieces(docs, max_tokens, keep_ids=keep_ids), "packing-pieces")
+    rows = materialise(pieces(docs, max_tokens, keep_ids=keep_ids).withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
     runs = spark.createDataFrame(plan(counts, max_tokens), "length long, _from long, _to long, _seq long, offset long")
     placed = ranked(rows).join(F.broadcast(runs), "length").where("_rank >= _from AND _rank < _to")
-    return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_from")).select(*rows.columns, "sequence_id", "offset")
+    return placed.withColumn("sequence_id", F.col("_seq") + F.col("_rank") - F.col("_from")).select(*rows.columns, "sequence_id", "offset").drop("_row")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
