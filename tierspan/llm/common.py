@@ -87,13 +87,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A bitmap has 8 bits for each member, at most 2**26 (8 MB as longs, broadcast). Beyond MOST members it would tell nothing and isn't made.
-MOST = 1 << 26
+#: A bitmap has 8 bits for each member, 2**23 at least and 2**26 at most (8 MB as longs, broadcast). Beyond MOST members it would tell nothing and isn't made.
+LEAST, MOST = 1 << 23, 1 << 26
 
 
 def bitmap_bits(members: int) -> int:
     """Size of a bitmap of so many members: a power of two, or 0 for no bitmap, where every row may be a member."""
-    return 0 if members > MOST else min(MOST, 1 << max(16, (8 * members).bit_length()))
+    return 0 if members > MOST else min(MOST, max(LEAST, 1 << (8 * members).bit_length()))
 
 
 def _slot(keys: list[Column], bits: int) -> Column:
