@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierspan.functions import columns, phonology
-from tierspan.operators import audio, hierarchy, intervals, positions, resume, resyllabify, writes
+from tierspan.operators import audio, hierarchy, intervals, positions, resume, resyllabify, staging, writes
 from tierspan.plans import project
 from tierspan.plans.corpus import sample_rows
 from tierspan.plans.query import Entity, Query
@@ -95,6 +95,18 @@ _lookup("p29_exclude", "orders", "o_orderkey", "NOT (coalesce(o_orderstatus = 'O
 _lookup("q01_all", "supplier", "s_suppkey", "true", lambda q: q.all())
 _lookup("q08_requery", "orders", "o_orderkey", "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount = 0.1) AND o_totalprice > 250000", lambda q: q.from_items(q.tables["lineitem"].where("l_discount = 0.1").select("l_orderkey")).filter(o_totalprice__gt=250000))
 
+_lookup("q07_computed", "orders", "o_orderkey", "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice * (1 - l_discount) > 80000)", lambda q: q.filter(lineitems__net__gt=80000))
+_lookup("q07_carried", "orders", "o_orderkey", "NOT coalesce((SELECT c_mktsegment FROM customer WHERE c_custkey = o_custkey), 'none') IN ('BUILDING', 'none')", lambda q: q.exclude(segment__in=["BUILDING", "none"]))
+_register("q09_related", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND o_orderstatus = 'F'", lambda spark, d: _q(spark, d, "nation").filter(n_regionkey=1).related("customers").related("orders").filter(o_orderstatus="F").related("customer").rows().select("c_custkey"))
+
+
+@_query("h24_link", f'WITH {_PHONES} SELECT p.identifier, w."start" AS parent_start, w.parent_id AS phrase_id, f."start" AS phrase_start FROM phones p JOIN words w ON p.parent_id = w.identifier JOIN phrases f ON w.parent_id = f.identifier')
+def _link(spark, d):
+    """Phones as syllables of their word: they take its start, and its phrase by way of the word."""
+    words = staging.link(project.words(spark, d), project.phrases(spark, d), "words")
+    phones = project.phones(spark, d).drop("phrase_id")
+    return staging.link(phones, words, "syllables").select("identifier", "parent_start", "phrase_id", "phrase_start")
+
 
 @_query("q04_get_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
 def _get_n(spark, d):

@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tierspan.operators.writes import require_empty
 from tierspan.session import ship
 
 MELS, COEFFICIENTS, WIDTH = 40, 13, 9
@@ -114,6 +116,56 @@ def mfcc_frames(audios: DataFrame) -> DataFrame:
     return audios.select("audio_id", "content").mapInPandas(run, f"audio_id {kind}, frame long, mfcc array<float>")
 
 
+def merged_ranges(ranges: DataFrame, gap: int = 2 * CONTEXT + 1) -> DataFrame:
+    """(audio_id, first, last): ranges of frames of one recording that are at most `gap` apart are one."""
+    along = Window.partitionBy("audio_id").orderBy("first", "last")
+    reach = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = ranges.withColumn("_opens", F.coalesce((F.col("first") > reach + gap).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("_k", F.sum("_opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("audio_id", "_k").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_k")
+
+
+def range_mfcc(samples: np.ndarray, rate: int, first: int, last: int) -> np.ndarray:
+    """Rows first to last of `recording_mfcc`, from the samples that these frames and their derivatives need."""
+    win, hop = round(rate * 0.025), round(rate * 0.010)
+    end = (len(samples) - win) // hop
+    low, high, last = max(0, first - CONTEXT), min(end, last + CONTEXT), min(end, last)
+    return recording_mfcc(samples[low * hop : high * hop + win], rate)[first - low : max(first, last + 1) - low]
+
+
+#: Frames that are computed together.
+RANGE_FRAMES = 1 << 13
+
+
+def batch_mfcc(segments: DataFrame, audios: DataFrame, *, even_only: bool = True) -> DataFrame:
+    """(identifier, frame, mfcc) of segments (with their audio's duration and sample_rate), from audios (audio_id, content).
+
+    Each frame is computed once however many segments share it, and frames that no segment needs aren't. Segments without length or
+    outside their audio are rejected; a recording of another rate than its segments say is an error.
+    """
+    require_empty(invalid_spans(segments).select("identifier"), "segments without length or outside their audio")
+    first, last = frame_range(F.col("start"), F.col("end"), F.col("duration"), F.col("sample_rate"))
+    needed = merged_ranges(segments.select("audio_id", first.alias("first"), last.alias("last")).where("first <= last"))
+    rates = segments.groupBy("audio_id").agg(F.min("sample_rate").alias("rate"), F.max("sample_rate").alias("_most"))
+    listed = needed.groupBy("audio_id").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).join(rates, "audio_id")
+
+    def run(batches):
+        for pdf in batches:
+            for audio_id, content, ranges, rate, most in zip(pdf["audio_id"], pdf["content"], pdf["ranges"], pdf["rate"], pdf["_most"], strict=True):
+                samples, found = read_wave(content)
+                if not rate == most == found:
+                    raise ValueError(f"{audio_id} has {found} samples a second, its segments say {rate} to {most}")
+                for r in ranges:
+                    for at in range(r["first"], r["last"] + 1, RANGE_FRAMES):
+                        matrix = range_mfcc(samples, rate, at, min(r["last"], at + RANGE_FRAMES - 1))
+                        yield pd.DataFrame({"audio_id": audio_id, "frame": np.arange(at, at + len(matrix)), "mfcc": list(matrix)})
+
+    ship(audios.sparkSession)
+    kind = audios.schema["audio_id"].dataType.simpleString()
+    frames = audios.select("audio_id", "content").join(listed, "audio_id").mapInPandas(run, f"audio_id {kind}, frame long, mfcc array<float>")
+    return segment_mfcc(segments, frames, even_only=even_only)
+
+
 def segment_mfcc(segments: DataFrame, frames: DataFrame, *, even_only: bool = True) -> DataFrame:
     """Frames of each segment, joined on (audio, frame)."""
     first, last = frame_range(F.col("start"), F.col("end"), F.col("duration"), F.col("sample_rate"))

@@ -102,9 +102,18 @@ def delete_phrases(tables: dict[str, DataFrame], phrases: DataFrame) -> dict[str
     return {name: tables[name].join(gone, F.col(key) == F.col("_gone"), "left_anti") for name, key in own.items()}
 
 
+def same_identity(old: DataFrame, rows: DataFrame) -> None:
+    """Rows whose id is stored already keep their audio and speaker."""
+    was = old.select(F.col("identifier").alias("_id"), F.col("audio_id").alias("_a"), F.col("speaker_id").alias("_s"))
+    odd = rows.join(was, F.col("identifier") == F.col("_id")).where(~F.col("audio_id").eqNullSafe(F.col("_a")) | ~F.col("speaker_id").eqNullSafe(F.col("_s")))
+    require_empty(odd.select("identifier"), "audio and speaker can't change once stored")
+
+
 def replace_trees(tables: dict[str, DataFrame], staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Phrases with all below them, replaced by staged ones; checked for speakers, duplicates and overlaps first."""
     validate_trees(staged)
+    for name, rows in staged.items():
+        same_identity(tables[name], rows)
     rest = delete_phrases(tables, staged["phrases"])
     whole = {name: rest[name].unionByName(staged[name]) for name in rest}
     touched = staged["phrases"].select("audio_id", "speaker_id").distinct()

@@ -52,7 +52,7 @@ GRAPH = {
     "nation": Entity("n_nationkey", ("n_nationkey",), {"region": ("region", "n_regionkey")}, {"customers": ("customer", "c_nationkey"), "suppliers": ("supplier", "s_nationkey")}),
     "customer": Entity("c_custkey", ("c_custkey",), {"nation": ("nation", "c_nationkey")}, {"orders": ("orders", "o_custkey")}),
     "supplier": Entity("s_suppkey", ("s_suppkey",), {"nation": ("nation", "s_nationkey")}),
-    "orders": Entity("o_orderkey", ("o_orderkey",), {"customer": ("customer", "o_custkey")}, {"lineitems": ("lineitem", "l_orderkey")}),
-    "lineitem": Entity("l_orderkey", ("l_orderkey", "l_linenumber"), {"order": ("orders", "l_orderkey"), "part": ("part", "l_partkey")}),
+    "orders": Entity("o_orderkey", ("o_orderkey",), {"customer": ("customer", "o_custkey")}, {"lineitems": ("lineitem", "l_orderkey")}, carried={"segment": ("customer__c_mktsegment", "none")}),
+    "lineitem": Entity("l_orderkey", ("l_orderkey", "l_linenumber"), {"order": ("orders", "l_orderkey"), "part": ("part", "l_partkey")}, derived={"net": "l_extendedprice * (1 - l_discount)"}),
     "part": Entity("p_partkey", ("p_partkey",)),
 }

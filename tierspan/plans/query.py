@@ -1,7 +1,7 @@
 """A composable query builder over related tables: filter, exclude, order_by and friends compile to semi-joins and expressions.
 
 Paths join names with `__`. A scalar relation is a many-to-one hop; a plural relation means "any such row exists", to any depth; a
-last part that names a lookup applies it. A length lookup on a plural relation counts rows. Keyword conditions hold independently of each
+last part that names a lookup applies it. Computed attributes are used like stored ones. A length lookup on a plural relation counts rows. Keyword conditions hold independently of each
 other, so two paths over one relation may be met by different rows. Everything is resolved when the query is built, so an
 unknown name fails at once.
 """
@@ -37,6 +37,10 @@ class Entity:
     plurals: dict[str, tuple[str, str]] = field(default_factory=dict)
     #: relations in which a row belongs to its parent only if it starts in [start, end) of it
     timed: frozenset[str] = frozenset()
+    #: computed attributes: name -> SQL over the table's own columns
+    derived: dict[str, str] = field(default_factory=dict)
+    #: attributes that a row has from a scalar relation: name -> (path, value where there is none)
+    carried: dict[str, tuple[str, Any]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -71,6 +75,25 @@ class Query:
         base = self.tables[self.entity]
         return replace(self, root=base.join(keys.select(F.col(name).alias("_key")).distinct(), base[self.graph[self.entity].key] == F.col("_key"), "left_semi"), steps=(), ordering=())
 
+    def related(self, name: str) -> Query:
+        """A query over a related entity: all its rows that a row of this query leads to, each once."""
+        node, target = self.graph[self.entity], None
+        if name in node.scalars:
+            target, own = node.scalars[name]
+            their = self.graph[target].key
+        elif name in node.plurals:
+            target, their = node.plurals[name]
+            own = node.key
+        else:
+            raise AttributeError(f"{self.entity} has no relation {name!r}")
+        timed = name in node.timed
+        ours = self.rows().select(F.col(own).alias("_own"), *([F.col("start").alias("_s"), F.col("end").alias("_e")] if timed else [])).distinct()
+        other = self.tables[target]
+        on = other[their] == F.col("_own")
+        if timed:
+            on = on & (other["start"] >= F.col("_s")) & (other["start"] < F.col("_e"))
+        return replace(self, entity=target, root=other.join(ours, on, "left_semi"), steps=(), ordering=())
+
     def rows(self) -> DataFrame:
         """The matching rows, unordered."""
         df = self.tables[self.entity] if self.root is None else self.root
@@ -131,23 +154,30 @@ class Query:
         for path, value in conditions.items():
             self._keep(self.tables[self.entity], self.entity, path.split("__"), value)
 
-    def _column(self, entity: str, name: str, path: list[str]) -> T.DataType:
-        schema = self.tables[entity].schema
-        if name not in schema.names:
+    def _column(self, entity: str, name: str, path: list[str]) -> tuple[Column, T.DataType]:
+        """A stored or computed attribute and its type."""
+        table, derived = self.tables[entity], self.graph[entity].derived
+        if name in table.columns:
+            return F.col(name), table.schema[name].dataType
+        if name not in derived:
             raise AttributeError(f"{entity} has no attribute {name!r} (in {'__'.join(path)})")
-        return schema[name].dataType
+        made = F.expr(derived[name])
+        return made, table.select(made).schema[0].dataType
 
-    def _test(self, entity: str, parts: list[str], value: Any) -> Column | None:
-        """The condition if it concerns the entity's own columns alone."""
-        if parts[0] in self.graph[entity].scalars or parts[0] in self.graph[entity].plurals:
-            return None
-        kind = self._column(entity, parts[0], parts)
+    def _compare(self, entity: str, column: Column, kind: T.DataType, parts: list[str], value: Any) -> Column:
         if len(parts) == 1:
-            return equals(F.col(parts[0]), value, kind)
+            return equals(column, value, kind)
         if len(parts) == 2 and parts[1] in LOOKUPS:
-            return LOOKUPS[parts[1]](F.col(parts[0]), value, kind)
+            return LOOKUPS[parts[1]](column, value, kind)
         raise AttributeError(f"{entity}.{parts[0]} is no relation (in {'__'.join(parts)})")
 
+    def _test(self, entity: str, parts: list[str], value: Any) -> Column | None:
+        """The condition if it concerns the entity's own columns alone."""
+        node = self.graph[entity]
+        if parts[0] in node.scalars or parts[0] in node.plurals or parts[0] in node.carried:
+            return None
+        return self._compare(entity, *self._column(entity, parts[0], parts), parts, value)
+
     def _matching(self, entity: str, parts: list[str], value: Any) -> tuple[str, DataFrame, str, bool]:
         """Rows of the related entity that meet the rest of a path: (own column, rows, their column, timed)."""
         node, name, rest = self.graph[entity], parts[0], parts[1:]
@@ -183,6 +213,9 @@ class Query:
         test = self._test(entity, parts, value)
         if test is not None:
             return df.where(test)
+        if parts[0] in self.graph[entity].carried:
+            found = self._attach(df, entity, parts[:1], "_carried")
+            return found.where(self._compare(entity, F.col("_carried"), found.schema["_carried"].dataType, parts, value)).drop("_carried")
         if self._list_lookup(entity, parts) == 0:
             return self._counted(df, entity, parts, value)
         if len(parts) == 1 and parts[0] in self.graph[entity].plurals:
@@ -234,9 +267,11 @@ class Query:
         return df.where(~F.coalesce(together, F.lit(False))).select(*columns)
 
     def _attach(self, df: DataFrame, entity: str, path: list[str], alias: str) -> DataFrame:
+        if len(path) == 1 and path[0] in self.graph[entity].carried:
+            far, default = self.graph[entity].carried[path[0]]
+            return self._attach(df, entity, far.split("__"), alias).withColumn(alias, F.coalesce(alias, F.lit(default)))
         if len(path) == 1:
-            self._column(entity, path[0], path)
-            return df.withColumn(alias, F.col(path[0]))
+            return df.withColumn(alias, self._column(entity, path[0], path)[0])
         if path[0] not in self.graph[entity].scalars:
             raise AttributeError(f"can't order {entity} by {'__'.join(path)}")
         target, fk = self.graph[entity].scalars[path[0]]

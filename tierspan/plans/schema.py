@@ -32,13 +32,23 @@ STRESSES = {0: "unstressed", 1: "primary", 2: "secondary"}
 POSITIONS = {1: "onset", 2: "nucleus", 3: "coda"}
 
 SEGMENT_ORDER = ("audio_id", "start", "identifier")
+
+
+def _decoded(code: str, names: dict, default: str | None = None) -> str:
+    """SQL for the meaning of a stored code."""
+    cases = " ".join(f"WHEN {key} THEN {str(name).lower() if isinstance(name, bool) else repr(name)}" for key, name in names.items() if name is not None)
+    return f"CASE {code} {cases} ELSE {'NULL' if default is None else repr(default)} END"
+
+
+#: Attributes of every segment. `overlap` is what is stored: null where that wasn't decided.
+_TIMES = {"duration": "`end` - start", "start_seconds": "start / 1000", "end_seconds": "`end` / 1000", "middle": "(start + `end`) / 2", "overlap": _decoded("overlap_code", OVERLAPS)}
 LEVELS = ("phrases", "words", "syllables", "phones")
 _UP = {"audio": ("audios", "audio_id"), "speaker": ("speakers", "speaker_id")}
 GRAPH = {
     "audios": Entity("identifier", ("identifier",), {}, {name: (name, "audio_id") for name in LEVELS}),
     "speakers": Entity("identifier", ("identifier",), {}, {name: (name, "speaker_id") for name in LEVELS}),
-    "phrases": Entity("identifier", SEGMENT_ORDER, _UP, {"words": ("words", "parent_id"), "syllables": ("syllables", "phrase_id"), "phones": ("phones", "phrase_id")}, frozenset({"words"})),
-    "words": Entity("identifier", SEGMENT_ORDER, _UP | {"phrase": ("phrases", "parent_id"), "parent": ("phrases", "parent_id")}, {"syllables": ("syllables", "parent_id")}, frozenset({"syllables"})),
-    "syllables": Entity("identifier", SEGMENT_ORDER, _UP | {"word": ("words", "parent_id"), "parent": ("words", "parent_id"), "phrase": ("phrases", "phrase_id")}, {"phones": ("phones", "parent_id")}, frozenset({"phones"})),
-    "phones": Entity("identifier", SEGMENT_ORDER, _UP | {"syllable": ("syllables", "parent_id"), "parent": ("syllables", "parent_id"), "phrase": ("phrases", "phrase_id")}),
+    "phrases": Entity("identifier", SEGMENT_ORDER, _UP, {"words": ("words", "parent_id"), "syllables": ("syllables", "phrase_id"), "phones": ("phones", "phrase_id")}, frozenset({"words"}), _TIMES),
+    "words": Entity("identifier", SEGMENT_ORDER, _UP | {"phrase": ("phrases", "parent_id"), "parent": ("phrases", "parent_id")}, {"syllables": ("syllables", "parent_id")}, frozenset({"syllables"}), _TIMES),
+    "syllables": Entity("identifier", SEGMENT_ORDER, _UP | {"word": ("words", "parent_id"), "parent": ("words", "parent_id"), "phrase": ("phrases", "phrase_id")}, {"phones": ("phones", "parent_id")}, frozenset({"phones"}), _TIMES | {"stress": _decoded("stress_code", STRESSES, "unknown")}),
+    "phones": Entity("identifier", SEGMENT_ORDER, _UP | {"syllable": ("syllables", "parent_id"), "parent": ("syllables", "parent_id"), "phrase": ("phrases", "phrase_id")}, derived=_TIMES | {"position": _decoded("position_code", POSITIONS)}, carried={"stress": ("syllable__stress", "unknown")}),
 }
