@@ -109,6 +109,41 @@ def test_pairs_from_files(spark, tmp_path):
     assert [r["kind"] for r in levels["issues"].collect()] == ["skipped_marker"]
 
 
+def test_files_become_a_corpus(spark, tmp_path):
+    from tierspan.plans.corpus import Corpus
+    from tierspan.sources import recordings
+
+    words = [(0, 0.4, "pak"), (0.4, 1, ""), (1, 1.4, "pak")]
+    segments = [(0, 0.1, "p"), (0.1, 0.3, "A"), (0.3, 0.4, "k"), (0.4, 1, "[]"), (1, 1.1, "p"), (1.1, 1.3, "A"), (1.3, 1.4, "k")]
+    fon = [(0, 0.4, "pAk"), (0.4, 1, ""), (1, 1.4, "pAk")]
+    triple = [("N1", words), ("N1_FON", fon), ("N1_SEG", segments)]
+
+    def read(side, name, tiers):
+        (tmp_path / side).mkdir(exist_ok=True)
+        (tmp_path / side / f"{name}.TextGrid").write_text(grid_text(tiers))
+
+    def run():
+        rows = [textgrid.read_textgrids(spark, f"file://{tmp_path}/{side}").withColumn("file", F.regexp_extract("file", r"([^/]+)\.TextGrid$", 1)) for side in ("ort", "awd")]
+        return {r["kind"]: r["n"] for r in recordings.import_pairs(corpus, *rows, MAP, speakers, "test").collect()}
+
+    speakers = spark.createDataFrame([("N1", 30, 1), ("N7", 40, 2)], "name string, age int, gender_code int")
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    # a recording that is stored already isn't read again
+    corpus.commit({"audios": spark.createDataFrame([(b"old", "old")], "identifier binary, filename string").select(*[F.col(f.name) if f.name in ("identifier", "filename") else F.lit(None).cast(f.dataType).alias(f.name) for f in corpus.schemas["audios"].fields])})
+    read("ort", "old", [("N1", [(0, 2, "pak pak")])])
+    read("awd", "old", triple)
+    # the last word lies outside the only phrase
+    read("ort", "a", [("N1", [(0, 1, "pak")])])
+    read("awd", "a", triple)
+    read("ort", "bad", [("N2", [(0, 1, "pak")])])
+    read("awd", "bad", triple)
+    assert run() == {"skipped_marker": 1, "word_outside_phrase": 1, "speaker only in ort": 1, "speaker only in awd": 1}
+    count = lambda: {r["object_type"]: r["n"] for r in corpus.counts().collect()}
+    assert count() == {"audios": 2, "speakers": 1, "phrases": 1, "words": 1, "syllables": 1, "phones": 3, "speaker_audio": 1}
+    phone = corpus.query("phones").filter(position="nucleus", phrase__label="pak", speaker__name="N1", syllable__word__ipa__len_gt=0).get()
+    assert phone["phrase_start"] == 0 and phone["parent_start"] == 0 and phone["start"] == 100
+
+
 def test_streamed_import(spark, tmp_path):
     from tierspan.streaming import imports
 

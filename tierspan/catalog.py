@@ -95,7 +95,7 @@ _lookup("p29_exclude", "orders", "o_orderkey", "NOT (coalesce(o_orderstatus = 'O
 _lookup("q01_all", "supplier", "s_suppkey", "true", lambda q: q.all())
 _lookup("q08_requery", "orders", "o_orderkey", "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount = 0.1) AND o_totalprice > 250000", lambda q: q.from_items(q.tables["lineitem"].where("l_discount = 0.1").select("l_orderkey")).filter(o_totalprice__gt=250000))
 
-_lookup("q07_computed", "orders", "o_orderkey", "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_extendedprice * (1 - l_discount) > 80000)", lambda q: q.filter(lineitems__net__gt=80000))
+_lookup("q07_computed", "lineitem", "l_orderkey, l_linenumber", "l_extendedprice * (1 - l_discount) > 80000", lambda q: q.filter(net__gt=80000))
 _lookup("q07_carried", "orders", "o_orderkey", "NOT coalesce((SELECT c_mktsegment FROM customer WHERE c_custkey = o_custkey), 'none') IN ('BUILDING', 'none')", lambda q: q.exclude(segment__in=["BUILDING", "none"]))
 _register("q09_related", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND o_orderstatus = 'F'", lambda spark, d: _q(spark, d, "nation").filter(n_regionkey=1).related("customers").related("orders").filter(o_orderstatus="F").related("customer").rows().select("c_custkey"))
 
