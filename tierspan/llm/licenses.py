@@ -71,17 +71,22 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _lower(text: str) -> Column:
+    """The text with A-Z as a-z; lower() does no more than that to ASCII and is much faster than translate()."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.length(whole) == F.octet_length(whole), F.lower(whole)).otherwise(F.translate(whole, _UPPER, _UPPER.lower()))
+
+
 def _words(text: str = "text") -> Column:
-    """The words joined by single spaces, with a space at either end; one space for no words."""
-    plain = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), NO_WORD, " "))
-    return F.when(plain == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), plain, F.lit(" ")))
+    """The words joined by single spaces, with a space at either end; two spaces for no words. Nothing in it is computed twice."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(_lower(text), NO_WORD, " ")), F.lit(" "))
 
 
 def word_idf(docs: DataFrame) -> dict[str, float]:
     """Inverse document frequency of each licence word over all documents: as many rows as the templates have words."""
     words = vocabulary()
     known = F.array(*map(F.lit, words))
-    seen = docs.select(F.explode(F.array_intersect(F.split(F.trim(_words()), " "), known)).alias("word"))
+    seen = docs.select(F.explode(F.array_intersect(F.split(_lower("text"), NO_WORD), known)).alias("word"))
     n = docs.select(F.count(F.lit(1))).first()[0]
     found = {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
     return {w: math.log((n + 1) / (found.get(w, 0) + 1)) for w in words}
@@ -100,6 +105,18 @@ def _index(idf: dict[str, float]) -> tuple[dict[str, list[int]], list[int]]:
     return postings, sizes
 
 
+def _anchors(idf: dict[str, float]) -> list[str]:
+    """The rarest word of each key phrase."""
+    return sorted({max(key.split(), key=lambda w: (idf[w], w)) for _, _, key in WORDINGS})
+
+
+def _any(flat: Column, phrases: list[str]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | flat.contains(f" {phrase} ")
+    return found
+
+
 def _starts(words: Column, phrase: str) -> Column:
     parts = phrase.split()
     last = F.size(words) - len(parts)
@@ -119,12 +136,10 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     postings, sizes = _index(idf)
     rows = docs.select("doc_id", _words().alias("_flat"))
     flat = F.col("_flat")
-    n_words = F.when(flat == " ", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) - 1).cast("long")
+    n_words = F.when(flat == "  ", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) - 1).cast("long")
 
     # base phrases: a plain search settles most documents; word places only where one is found
-    may = F.lit(False)
-    for phrase in BASE:
-        may = may | flat.contains(f" {phrase} ")
+    may = _any(flat, list(BASE))
     found = lambda words: F.struct(*[_starts(words, phrase).alias(label) for phrase, label in BASE.items()])
     nothing = F.struct(*[F.array().cast("array<int>").alias(label) for label in BASE.values()])
     base = F.when(may, _let(F.split(F.trim(flat), " "), found)).otherwise(nothing)
@@ -135,7 +150,8 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     def votes(words: Column) -> Column:
         """A vote (template, relative position) for each occurrence of a rare licence word."""
         lists = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(v).cast("long") for v in postings[w]]))])
-        by_place = F.transform(words, lambda w, i: F.transform(F.try_element_at(lists, w), lambda p: p - i.cast("long")))
+        # a map is searched one key after the other, so a set tells first whether a word is in it
+        by_place = F.transform(words, lambda w, i: F.when(w.isin(rare), F.transform(F.try_element_at(lists, w), lambda p: p - i.cast("long"))))
         return F.flatten(F.filter(by_place, lambda x: x.isNotNull()))
 
     def best(sorted_votes: Column) -> Column:
@@ -144,9 +160,8 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
         step = lambda a, v: F.struct(v.alias("v"), run(a, v).alias("n"), _raise(a["best"], v, run(a, v)).alias("best"))
         return F.aggregate(sorted_votes, F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("n"), zero.alias("best")), step, lambda a: a["best"])
 
-    keyed = F.lit(False)
-    for _, _, key in WORDINGS:
-        keyed = keyed | flat.contains(f" {key} ")
+    # a file without the rarest word of any key phrase has no key phrase; few others are searched for the phrases
+    keyed = F.when(_any(flat, _anchors(idf)), _any(flat, [key for _, _, key in WORDINGS])).otherwise(False)
     counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero)
     rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), counted.alias("_best"))
     places = F.flatten(F.array(*[F.col("_base")[label] for label in BASE.values()]))
@@ -154,7 +169,7 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     labelled = lambda conditions: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in conditions]), lambda x: x.isNotNull()))), ",")
     base_hits = [(label, F.size(F.col("_base")[label]) > 0) for label in BASE.values()]
     share = [F.col("_best")[k] / F.lit(float(n)) for k, n in enumerate(sizes)]
-    hits = [(label, (s >= MIN_SHARE) & F.col("_flat").contains(f" {key} ")) for s, (label, _, key) in zip(share, WORDINGS, strict=True)]
+    hits = [(label, F.when(s >= MIN_SHARE, F.col("_flat").contains(f" {key} ")).otherwise(False)) for s, (label, _, key) in zip(share, WORDINGS, strict=True)]
     score = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(c, F.lit(1.0)) for _, c in base_hits], *[F.when(c, F.least(F.lit(1.0), s)) for s, (_, c) in zip(share, hits, strict=True)])
     return out.select(
         "doc_id",
