@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierspan.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, warc
+from tierspan.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, vector_codes, warc
 from tierspan.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"), all_digests=True)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -66,8 +70,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_zip_warc": op9_zip_warc,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+
+def _vector_codes_sql() -> str:
+    """Four rounds over tables of parts and entries. Integer division is written out, as it must round down."""
+    assigned = """
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, label, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+            FROM (SELECT p.vec_id, p.label, p.part, e.entry, list_sum(list_transform(list_zip(p.x, e.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+                  FROM parts p JOIN e{k} e USING (part))
+            GROUP BY ALL)"""
+    refined = """
+        s{k} AS (
+            SELECT part, entry, i, sum(x[i])::BIGINT AS s, count(*) AS n
+            FROM (SELECT a.part, a.entry, p.x, unnest(range(1, len(p.x) + 1)) AS i FROM a{k} a JOIN parts p USING (vec_id, part)) GROUP BY ALL),
+        m{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{k} GROUP BY ALL),
+        e{next} AS MATERIALIZED (SELECT part, entry, coalesce(m.y, e.y) AS y FROM e{k} e LEFT JOIN m{k} m USING (part, entry))"""
+    rounds = ",".join(assigned.format(k=k) + "," + refined.format(k=k, next=k + 1) for k in range(4)) + "," + assigned.format(k=4)
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, label, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM (SELECT *, unnest(range(4)) AS part FROM kept)),
+        seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 256),
+        e0 AS MATERIALIZED (SELECT part, entry, x AS y FROM parts JOIN seeds USING (vec_id)),{rounds},
+        books AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS h FROM e4),
+        coded AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, books"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": r"""
         WITH RECURSIVE w AS (
@@ -109,4 +142,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_vector_codes": _vector_codes_sql(),
 }
