@@ -42,8 +42,8 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, their bytes, offsets of the rows in them) over a string column; null is empty."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, their bytes, offsets of the rows in them) over a string column, some `size` bytes at a time; null is empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     if pa.types.is_large_string(texts.type):
         kind = np.int64
@@ -54,7 +54,7 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
 

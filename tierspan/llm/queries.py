@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierspan.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, vector_codes, warc
+from tierspan.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, spelling, vector_codes, warc
 from tierspan.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_zip_warc": op9_zip_warc,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 
@@ -101,6 +106,35 @@ def _vector_codes_sql() -> str:
         coded AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
         SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, books"""
 
+def _spelling_sql() -> str:
+    """Checksums by half bytes from a table of 16; words one letter apart share what is left when a letter is taken away."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    return f"""
+        WITH RECURSIVE r AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS w
+            FROM documents),
+        c AS (SELECT d, w, count(*) AS n, hex(encode(d || ':' || w)) AS x FROM r GROUP BY d, w),
+        h AS (
+            SELECT w, n, xor(list_reduce(list_transform(range(1, len(x) + 1), lambda i: CAST(strpos('0123456789ABCDEF', x[CAST(i + 2 * (i % 2) - 1 AS INT)]) - 1 AS BIGINT)),
+                   lambda a, b: xor(a >> 4, ({table})[(xor(a, b) & 15) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM c),
+        v AS (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % len(w)] || w[h % len(w) + 2:] ELSE w END AS w, n FROM h),
+        words AS MATERIALIZED (SELECT w AS word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE len(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+        cut AS MATERIALIZED (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+        one AS (
+            SELECT DISTINCT a.word AS a, b.word AS b, b.n AS nb FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+        near AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-nb, encode(b))) AS best, max(nb) AS nb FROM one GROUP BY a),
+        f AS MATERIALIZED (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN nb >= 2 * n THEN best END AS form, CASE WHEN nb >= 2 * n THEN nb END AS form_n FROM words LEFT JOIN near USING (word)),
+        ends(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT e.word, f.word, f.form FROM ends e JOIN f ON e.form = f.word)
+        SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM f JOIN ends e ON e.word = f.word AND e.form IS NULL"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": r"""
         WITH RECURSIVE w AS (
@@ -143,4 +177,5 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op11_vector_codes": _vector_codes_sql(),
+    "op12_spelling_variants": _spelling_sql(),
 }
