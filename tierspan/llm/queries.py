@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierspan.llm import chat, exact_dedup, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, spelling, vector_codes, warc
+from tierspan.llm import chat, exact_dedup, language_id, licenses, mixing, ngram_join, packing, pii, quality_fm, rules, spelling, vector_codes, warc
 from tierspan.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_join": op2_ngram_join,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_vector_codes": op11_vector_codes,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_id": op13_language_id,
 }
 
 
