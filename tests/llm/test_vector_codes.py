@@ -1,0 +1,94 @@
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from tierspan.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, sums array<long>"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, v, x, "mine", [1]) for i, v, x in rows], SCHEMA)
+
+
+def brute(rows, parts=4, entries=256, rounds=4):
+    """Plain Python integers all the way."""
+    kept = [(i, [math.floor(1024 * float(np.float32(x))) for x in v], label) for i, v, label in rows if v is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [(i, [max(-vector_codes.LIMIT, min(vector_codes.LIMIT, x)) for x in v], label) for i, v, label in kept]
+    first = min(((i is None, i or 0, len(v)) for i, v, _ in kept if len(v) % parts == 0), default=None)
+    kept = [x for x in kept if first and len(x[1]) == first[2]]
+    if not kept:
+        return []
+    width = first[2] // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    seeds = {}
+    for i, v, _ in kept:
+        if i is not None:
+            seeds[i] = min(seeds.get(i, v), v)
+    books = [[cut(seeds[i], p) for i in sorted(seeds)[:entries]] for p in range(parts)]
+
+    def near(v, book):
+        return min((sum((a - b) ** 2 for a, b in zip(v, y)), k) for k, y in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            of = {}
+            for _, v, _ in kept:
+                of.setdefault(near(cut(v, p), books[p])[1], []).append(cut(v, p))
+            for k, vs in of.items():
+                books[p][k] = [sum(c) // len(vs) for c in zip(*vs)]
+    digest = hashlib.sha256(",".join(str(c) for book in books for y in book for c in y).encode()).hexdigest()
+    coded = [(i, label, [near(cut(v, p), books[p]) for p in range(parts)]) for i, v, label in kept]
+    errors = {}
+    for _, label, found in coded:
+        errors[label] = errors.get(label, 0) + sum(d for d, _ in found)
+    return sorted(((i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), errors[label], digest) for i, label, found in coded), key=repr)
+
+
+def check(spark, rows, **kind):
+    got = vector_codes.compress(frame(spark, rows), **kind)
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, **kind)
+
+
+def vectors(n, width, seed=0):
+    draw = np.random.default_rng(seed)
+    return [(i, draw.normal(0, 0.3, width).astype(np.float32).tolist(), int(draw.integers(3)) if draw.random() < 0.8 else None) for i in range(n)]
+
+
+def test_equals_plain_integers(spark):
+    check(spark, vectors(300, 16), entries=32)
+    check(spark, vectors(270, 8))
+
+
+def test_odd_rows(spark):
+    rows = vectors(40, 8)
+    rows += [(100, None, 1), (101, [], 1), (102, [0.1, None] * 4, 1), (103, [float("nan")] + [0.1] * 7, 1), (104, [float("inf")] + [0.1] * 7, 1), (105, [0.1] * 12, 1), (106, [0.1] * 6, 1)]
+    rows += [(-9, [0.5] * 6, 1), (None, [0.2] * 8, None), (7, rows[7][1], 2), (7, [9.0] * 8, 2), (8, rows[8][1], rows[8][2]), (107, [3e38, -3e38] * 4, 0)]
+    check(spark, rows, entries=16)
+
+
+def test_ties_go_to_the_lower_index_and_unused_entries_stay(spark):
+    check(spark, [(i, [float(i % 2)] * 4, None) for i in range(12)], entries=8)
+    check(spark, [(5, [-0.0001] * 4, 1)])
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, 1)], [(1, [0.1] * 6, 1)], [(None, [0.1] * 8, 1)]])
+def test_nothing_to_code(spark, rows):
+    got = vector_codes.compress(frame(spark, rows))
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"] and got.count() == 0
+
+
+def test_decoded_vectors_are_as_far_as_the_errors_say(spark):
+    rows = vectors(200, 16, seed=3)
+    df = frame(spark, rows)
+    books = vector_codes.fit(df, entries=32)
+    coded = vector_codes.encode(df, books)
+    error = {r.vec_id: r.error for r in coded.collect()}
+    for r in vector_codes.decode(coded, books).collect():
+        whole = np.floor(np.array(rows[r.vec_id][1]) * 1024)
+        assert error[r.vec_id] == int(((whole - np.array(r.embedding) * 1024) ** 2).sum())
+    with pytest.raises(ValueError):
+        vector_codes.compress(df, entries=300)
