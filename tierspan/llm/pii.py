@@ -4,9 +4,10 @@ Found and checked: payment cards (13 to 19 digits, Luhn), phone numbers (7 to 15
 digits in the layout 3-3-4 or in one piece), social security numbers (area, group and serial in
 range), IPv4 addresses (four bytes), calendar dates of 1900 to 2099, year or day first (a time may follow after a T), the local part of e-mail addresses, and
 hexadecimal secrets of 32 to 64 digits. A value is permuted within its own domain by an alternating Feistel network whose round
-function is a keyed SHA-256, so the same value becomes the same pseudonym in every document, different values stay different,
-and the format stays: separators, lengths and prefixes remain, cards still satisfy Luhn, dates are dates. A date in another
-notation, or a number with other separators, is the same value. What fails its check is left alone.
+function is HMAC-SHA-256, a digest of its own for every 16 symbols, so the same value becomes the same pseudonym in every document,
+different values stay different, and the format stays: separators, lengths and prefixes remain, cards still satisfy Luhn, dates are
+dates. A date in another notation, or a number with other separators, is the same value. What fails its check is left alone.
+The key is the caller's: there is no default.
 
 Defined results: a null text stays null with nothing found; an empty text is empty; repeated rows are answered each; an empty
 table gives no row. Only built-in expressions run, one pass over whole texts, without a shuffle.
@@ -14,13 +15,16 @@ table gives no row. Only built-in expressions run, one pass over whole texts, wi
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierspan.llm.rules import let
 
-KEY = "set a secret of your own"
 ROUNDS = 8
+#: Symbols that one digest moves: four of its 64 hexadecimal digits each.
+DIGEST_SYMBOLS = 16
 DIGITS, HEX, ALNUM = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz"
 _L, _R = r"(?<![0-9A-Za-z_.+-])", r"(?![0-9A-Za-z_])"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})"
@@ -44,7 +48,14 @@ _ANY = "|".join(PATTERNS.values())
 
 
 def _pad(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
+    """HMAC-SHA-256 in hexadecimal. All parts but the last are numbers or fixed names, so no two messages are joined alike."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(x ^ y for x in block)) for y in (0x36, 0x5C))
+    message = F.concat_ws("\x1f", *parts).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def permute_symbols(symbols: Column, alphabet: str, key: str, tweak: str) -> Column:
@@ -52,8 +63,7 @@ def permute_symbols(symbols: Column, alphabet: str, key: str, tweak: str) -> Col
     base, half = len(alphabet), F.floor(F.length(symbols) / 2).cast("int")
 
     def value(hexes: Column, i: Column) -> Column:
-        at = F.pmod(i * 4, F.lit(64)) + 1
-        return F.conv(F.substr(hexes, at, F.lit(4)), 16, 10).cast("int")
+        return F.conv(F.substr(hexes, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
     def added(left: Column, pad: Column) -> Column:
         places = F.transform(F.split(left, ""), lambda c, i: F.substr(F.lit(alphabet), F.pmod(F.call_function("instr", F.lit(alphabet), c) - 1 + value(pad, i), F.lit(base)) + 1, F.lit(1)))
@@ -62,7 +72,8 @@ def permute_symbols(symbols: Column, alphabet: str, key: str, tweak: str) -> Col
     start = F.struct(F.substr(symbols, F.lit(1), half).alias("l"), F.substr(symbols, half + 1).alias("r"))
 
     def step(a: Column, k: Column) -> Column:
-        pad = _pad(key, F.lit(tweak), k.cast("string"), F.length(symbols).cast("string"), a["r"])
+        digests = F.sequence(F.lit(0), F.floor((F.greatest(F.length(a["l"]), F.lit(1)) - 1) / DIGEST_SYMBOLS).cast("int"))
+        pad = F.array_join(F.transform(digests, lambda n: _pad(key, F.lit(tweak), k.cast("string"), F.length(symbols).cast("string"), n.cast("string"), a["r"])), "")
         return F.struct(a["r"].alias("l"), let(pad, lambda p: added(a["l"], p)).alias("r"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda a: F.concat(a["l"], a["r"]))
@@ -197,7 +208,7 @@ def _secret(v: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "secret": _secret, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """(kind, text) for a matched value; text is null where the check fails."""
     kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(PATTERNS):
@@ -206,7 +217,7 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_found, n_replaced, kinds): the whole text with pseudonyms; other columns are left out."""
     text = F.col("text")
     found = F.when(text.rlike(r"[0-9@]"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
