@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import re
 
 from tierspan.llm import licenses
@@ -72,10 +73,99 @@ def test_published_gpl_notices(spark):
         "This file is released under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.": "gpl-2",
         "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>": "gpl-3",
         "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,": "gpl-2",
-        notice.format(":", "Lesser General Public License", ", either", f"version 3 of the License, or {later}"): "lgpl",
+        notice.format(":", "Lesser General Public License", ", either", f"version 3 of the License, or {later}"): "lgpl,lgpl-3",
         notice.format(":", "Affero General Public License", ", either", f"version 3 of the License, or {later}"): "agpl-3",
         notice.format(";", gpl, "; either", f"version 1, or {later}"): "",
     }
     rows = spark.createDataFrame([*enumerate(texts), (-1, "nothing of note")], "doc_id long, text string")
     got = [r["labels"] for r in licenses.scan(rows).where("doc_id >= 0").orderBy("doc_id").collect()]
     assert got == list(texts.values())
+
+
+def brute(text, idf):
+    """(labels of the method, score): votes one by one."""
+    words = [w for w in re.split(licenses.NO_WORD, (text or "").lower()) if w]
+    known = set(licenses.vocabulary())
+    own = [w for w in words if w in known]
+    flat = f" {' '.join(own)} "
+    labels, score = set(), 0.0
+    for label, wording, key in licenses.WORDINGS:
+        parts = wording.split()
+        rare = sorted(set(parts), key=lambda w: (-idf[w], w))[: licenses.RARE_WORDS]
+        bands = {}
+        for i, w in enumerate(own):
+            for p, x in enumerate(parts):
+                if x == w and w in rare:
+                    first = (i - p + 512) // licenses.BAND
+                    for band in (first, first - 1):
+                        bands.setdefault(band, set()).add(w)
+        share = max(map(len, bands.values()), default=0) / len(rare)
+        if share >= licenses.MIN_SHARE and f" {key} " in flat:
+            labels.add(label)
+            score = max(score, share)
+    return labels, score
+
+
+def wrapped(words, draw):
+    """A notice as files have it: in comments, markup, lists, or with a word of somebody's in it."""
+    lines = [" ".join(words[i : i + 9]) for i in range(0, len(words), 9)]
+    yield "\n".join(f" * {x}" for x in lines)
+    yield "\n".join(f"REM {x}" for x in lines)
+    yield "\n".join(f"dnl {x}" for x in lines)
+    yield "<p>" + "<br>\n<br />".join(lines) + "</p>"
+    yield "<ul>" + "".join(f'<li class="x">{x}</li>\n' for x in lines) + "</ul>"
+    at = draw.randrange(len(words))
+    yield " ".join([*words[:at], "Xyzzy", *words[at:]])
+    yield '("' + '\\n"\n    "'.join(lines) + '")'
+
+
+def test_labels_and_scores_equal_brute_force_and_wrapped_notices_are_found(spark):
+    draw = random.Random(1)
+    texts, wanted = [], []
+    for label, wording, _ in licenses.WORDINGS:
+        for text in wrapped(wording.split(), draw):
+            texts.append(f"Some code of ours. {text} More of it")
+            wanted.append(label)
+    words = licenses.vocabulary()
+    for _ in range(150):
+        chosen = [x for label, x, _ in draw.sample(licenses.WORDINGS, 2)]
+        mixed = [w for w in " ".join(chosen).split() if draw.random() < 0.85]
+        for _ in range(draw.randint(0, 6)):
+            mixed.insert(draw.randrange(len(mixed)), draw.choice(words + ["other"]))
+        texts.append(" ".join(mixed))
+        texts.append(" ".join(draw.choices(words, k=draw.randint(5, 80))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = licenses.word_idf(rows)
+    found = 0
+    for r in licenses.scan(rows, idf).collect():
+        labels, score = brute(texts[r.doc_id], idf)
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base, texts[r.doc_id]
+        assert abs(r.score - (1.0 if base else score)) < 1e-12
+        found += r.doc_id < len(wanted) and wanted[r.doc_id] in r.labels.split(",")
+    assert found >= 0.98 * len(wanted), found / len(wanted)
+
+
+def test_versions_and_variants_are_told_apart(spark):
+    texts = {
+        "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1",
+        "// SPDX-License-Identifier: BSD-2-Clause": "bsd-2",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "cc-by-sa",
+        "Licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-1",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0": "epl-1",
+        "You can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License": "lgpl-2",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version": "lgpl,lgpl-2.1",
+    }
+    rows = spark.createDataFrame([*enumerate(texts), (-1, "nothing of note")], "doc_id long, text string")
+    got = [r["labels"] for r in licenses.scan(rows).where("doc_id >= 0").orderBy("doc_id").collect()]
+    assert got == list(texts.values())
+
+
+def test_long_files_ties_and_clashing_columns(spark):
+    text = "the software the license " * 40_000 + MIT + " the license" * 40_000 + " " + MIT
+    rows = spark.createDataFrame([(1, text, 5, "x"), (1, text, 6, "x"), (None, MIT, 7, "x")], "doc_id long, text string, _licence int, labels string")
+    got = licenses.scan(rows).collect()
+    assert [(r["doc_id"], r["labels"], r["score"]) for r in got] == [(1, "mit", 1.0), (1, "mit", 1.0), (None, "mit", 1.0)]

@@ -1,14 +1,18 @@
 r"""Licence scan with a positional index of rare licence words.
 
 Base labels come from three fixed phrases. The method adds labels: a template's words with the highest inverse document frequency are its
-postings, each of their occurrences in a file votes for the template at a relative position (its own position minus the
-template's), and a template whose best position gathers enough of its words is reported if its mandatory key phrase stands in
-the file. Frequencies only rank a template's words: every template has postings over every table. Files without any key phrase
-need no votes. All of it runs inside the scan, as built-in expressions: nothing is shuffled but one count
-per licence word.
+postings, and each of their occurrences in a file votes for the template at a relative position, its own place less the template's.
+Places count licence words alone, words that stand in any template: comment marks and markup inside a notice don't move the rest of it.
+Votes within a band of positions count together, one for each of the template's words. A template whose best band gathers
+enough of its rare words is reported if its mandatory key phrase stands among the file's licence words. Frequencies only rank a template's
+words: every template has postings over every table. Files without the rarest word of any key phrase need no votes. All of it
+runs inside the scan, as built-in expressions: nothing is shuffled but one count per licence word.
+
+A label stands for a licence and its version where the wording tells it (lgpl-2.1), else for the family (lgpl, bsd); a notice that tells
+the version has both. Its score is the share of the best template's rare words that agree.
 
 Defined results: a null text is empty (no word, no label, score 0); A-Z become a-z before words are taken; repeated rows are answered each; an empty table gives
-no row; other columns are ignored.
+no row; of bands with as many votes either counts, as only their number does; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,26 +28,38 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Licence wordings: label -> (wording, mandatory key phrase). Those of gpl-3 and gpl-2 are a plain statement, others come from the public licence texts.
+#: Licence wordings, label -> (wording, mandatory key phrase), from the public licence texts and the notices they ask for.
 TEMPLATES = {
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "obtaining a copy of this software and associated documentation files"),
     "apache-2": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache license version 2 0"),
     "gpl-3": ("this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     "gpl-2": ("this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
     "lgpl": ("under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     "agpl-3": ("under the terms of the gnu affero general public license as published by the free software foundation version 3", "gnu affero general public license"),
     "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
-    "cc-by-nc": ("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    "cc-by-nc": ("licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
     "cc-by": ("licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international"),
     "cc0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
-    "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license"),
+    "epl-2": ("this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse public license v 2 0"),
+    "bsd-3": ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    "mpl-1.1": ("the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license", "mozilla public license version 1 1"),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    "bsl-1": ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
+    "postgresql": ("permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "without fee and without a written agreement is hereby granted"),
+    "wtfpl": ("do what the fuck you want to public license", "do what the fuck you want to public license"),
+    "artistic-2": ("the artistic license 2 0 copyright c 2000 2006 the perl foundation", "artistic license 2 0"),
+    "epl-1": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", "eclipse public license v1 0"),
+    "cddl": ("the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    "eupl-1.2": ("licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl", "licensed under the eupl version 1 2"),
+    "ofl-1.1": ("this font software is licensed under the sil open font license version 1 1", "sil open font license version 1 1"),
 }
 _GPL = "gnu general public license"
 _PUBLISHED = f"{_GPL} as published by the free software foundation"
-#: Further wordings of a label, from the licences' own notices, those of programs under one version only, and the head of the licence text.
+_LESSER = "gnu {} general public license as published by the free software foundation"
+#: Further wordings of a label: the licences' conditions, other notices, those of programs under one version only, and heads of licence texts.
 MORE_WORDINGS = [
     (f"gpl-{v}", text, key)
     for v, head in ((3, "29 june 2007 copyright c 2007"), (2, "june 1991 copyright c 1989 1991"))
@@ -55,11 +71,41 @@ MORE_WORDINGS = [
         (f"{_GPL} version {v} {head} free software foundation inc", f"{_GPL} version {v} {head.split(' copyright')[0]}"),
     )
 ]
+MORE_WORDINGS += [
+    (label, f"you can redistribute it and or modify it under the terms of the {name} {version}", f"{name} {version}")
+    for label, name, numbers in (("lgpl-2", _LESSER.format("library"), "2"), ("lgpl-2.1", _LESSER.format("lesser"), "2 1"), ("lgpl-3", _LESSER.format("lesser"), "3"))
+    for version in (f"either version {numbers} of the license", f"version {numbers} of the license", f"either version {numbers} or at your option")
+]
+MORE_WORDINGS += [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "without warranties or conditions of any kind"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions in binary form must reproduce the above copyright notice"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use copy modify and distribute this software for any purpose with or without fee"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "the origin of this software must not be misrepresented"),
+    ("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    ("epl-2", "the terms of the eclipse public license 2 0 which is available at", "eclipse public license 2 0"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0", "eclipse public license v2 0"),
+]
+#: Variants of one family of licences: what follows "attribution", and the versions with their names.
+_CC_KINDS, _CC_VERSIONS = {"by": "", "by-sa": "sharealike ", "by-nd": "noderivatives ", "by-nc": "noncommercial ", "by-nc-sa": "noncommercial sharealike ", "by-nc-nd": "noncommercial noderivatives "}, {"4 0": "4 0 international", "3 0": "3 0 unported"}
+MORE_WORDINGS += [(f"cc-{kind}", f"licensed under a creative commons attribution {words}{full} license", f"creative commons attribution {words}{version}") for kind, words in _CC_KINDS.items() for version, full in _CC_VERSIONS.items()]
+#: Identifiers of the Software Package Data Exchange, as words.
+SPDX = {
+    "mit": "mit", "apache-2": "apache 2 0", "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl-2": "lgpl 2 0", "lgpl-2.1": "lgpl 2 1", "lgpl-3": "lgpl 3 0", "agpl-3": "agpl 3 0", "bsd-2": "bsd 2 clause", "bsd-3": "bsd 3 clause",
+    "mpl-2": "mpl 2 0", "mpl-1.1": "mpl 1 1", "isc": "isc", "unlicense": "unlicense", "cc0": "cc0 1 0", "epl-1": "epl 1 0", "epl-2": "epl 2 0", "zlib": "zlib", "bsl-1": "bsl 1 0", "postgresql": "postgresql", "wtfpl": "wtfpl",
+    "artistic-2": "artistic 2 0", "cddl": "cddl 1 0", "eupl-1.2": "eupl 1 2", "ofl-1.1": "ofl 1 1",
+} | {f"cc-{kind}": f"cc {kind.replace('-', ' ')} 4 0" for kind in _CC_KINDS}
+MORE_WORDINGS += [(label, f"spdx license identifier {words}", f"spdx license identifier {words}") for label, words in SPDX.items()]
 #: (label, wording, key phrase) of every wording.
 WORDINGS = [*((label, *pair) for label, pair in sorted(TEMPLATES.items())), *MORE_WORDINGS]
 #: Distinct words of a template that have postings, its rarest; share of them that must agree.
 RARE_WORDS, MIN_SHARE = 16, 0.6
-_SHIFT = 1 << 40  # votes are packed as template * _SHIFT + position
+#: Votes agree within a band of twice so many relative positions; bands begin at each multiple of it, so that a drift of so many is always allowed.
+BAND = 4
+#: A vote is packed as template, band and the word's first place in the template: no template has 2**9 words, no text 2**31.
+_PLACES, _BANDS = 1 << 9, 1 << 31
 
 
 def vocabulary() -> list[str]:
@@ -93,15 +139,16 @@ def word_idf(docs: DataFrame) -> dict[str, float]:
 
 
 def _index(idf: dict[str, float]) -> tuple[dict[str, list[int]], list[int]]:
-    """Postings (template * _SHIFT + position) of rare words, and how many rare words each template, one of WORDINGS, has."""
+    """Postings ((template * _PLACES + place) * _PLACES + first place of the word) of rare words, and how many rare words each template, one of WORDINGS, has."""
     postings: dict[str, list[int]] = {}
     sizes = []
     for k, (_, text, _) in enumerate(WORDINGS):
-        rare = set(sorted(set(text.split()), key=lambda w: (-idf[w], w))[:RARE_WORDS])
+        words = text.split()
+        rare = set(sorted(set(words), key=lambda w: (-idf[w], w))[:RARE_WORDS])
         sizes.append(len(rare))
-        for i, w in enumerate(text.split()):
+        for i, w in enumerate(words):
             if w in rare:
-                postings.setdefault(w, []).append(k * _SHIFT + i)
+                postings.setdefault(w, []).append((k * _PLACES + i) * _PLACES + words.index(w))
     return postings, sizes
 
 
@@ -144,32 +191,42 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     nothing = F.struct(*[F.array().cast("array<int>").alias(label) for label in BASE.values()])
     base = F.when(may, _let(F.split(F.trim(flat), " "), found)).otherwise(nothing)
 
-    rare = sorted(postings)
+    rare, known = sorted(postings), vocabulary()
     zero = F.array(*[F.lit(0) for _ in WORDINGS])
+    needed = F.array(*[F.lit(math.ceil(MIN_SHARE * n)) for n in sizes])
 
     def votes(words: Column) -> Column:
-        """A vote (template, relative position) for each occurrence of a rare licence word."""
+        """(template, band, word) for each occurrence of a rare licence word and each of the two bands it lies in."""
         lists = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(v).cast("long") for v in postings[w]]))])
+        band = lambda p, i: F.floor((i - F.floor(p / _PLACES) % _PLACES + _PLACES) / BAND)
+        packed = lambda p, b: (F.floor(p / (_PLACES * _PLACES)) * _BANDS + b) * _PLACES + p % _PLACES
+        both = lambda p, i: F.array(packed(p, band(p, i)), packed(p, band(p, i) - 1))
         # a map is searched one key after the other, so a set tells first whether a word is in it
-        by_place = F.transform(words, lambda w, i: F.when(w.isin(rare), F.transform(F.try_element_at(lists, w), lambda p: p - i.cast("long"))))
+        by_place = F.transform(words, lambda w, i: F.when(w.isin(rare), F.flatten(F.transform(F.try_element_at(lists, w), lambda p: both(p, i.cast("long"))))))
         return F.flatten(F.filter(by_place, lambda x: x.isNotNull()))
 
-    def best(sorted_votes: Column) -> Column:
-        """The most votes for one relative position of each template: equal votes stand side by side once sorted."""
-        run = lambda a, v: F.when(a["v"] == v, a["n"] + 1).otherwise(1)
-        step = lambda a, v: F.struct(v.alias("v"), run(a, v).alias("n"), _raise(a["best"], v, run(a, v)).alias("best"))
-        return F.aggregate(sorted_votes, F.struct(F.lit(None).cast("bigint").alias("v"), F.lit(0).alias("n"), zero.alias("best")), step, lambda a: a["best"])
-
-    # a file without the rarest word of any key phrase has no key phrase; few others are searched for the phrases
-    keyed = F.when(_any(flat, _anchors(idf)), _any(flat, [key for _, _, key in WORDINGS])).otherwise(False)
-    counted = F.when(keyed, _let(F.split(F.trim(flat), " "), lambda words: best(F.array_sort(votes(words))))).otherwise(zero)
-    rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), counted.alias("_best"))
+    def best(votes_: Column) -> Column:
+        """The most votes of one band for each template, where they are enough: votes of a band stand side by side once sorted."""
+        group = lambda v: F.floor(v / _PLACES)
+        run = lambda a, v: F.when(a["g"] == group(v), a["n"] + 1).otherwise(1)
+        template = lambda v: F.floor(v / (_PLACES * _BANDS)).cast("int")
+        raised = lambda a, v: F.when(run(a, v) >= F.get(needed, template(v)), _raise(a["best"], template(v), run(a, v))).otherwise(a["best"])
+        step = lambda a, v: F.struct(group(v).alias("g"), run(a, v).alias("n"), raised(a, v).alias("best"))
+        start = F.struct(F.lit(None).cast("bigint").alias("g"), F.lit(0).alias("n"), zero.alias("best"))
+        return F.aggregate(F.array_sort(F.array_distinct(votes_)), start, step, lambda a: a["best"])
+
+    # a file without the rarest word of any key phrase has none; of the others the licence words are taken, and few hold a phrase
+    licence = F.when(_any(flat, _anchors(idf)), F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.trim(flat), " "), lambda w: w.isin(known)), " "), F.lit(" "))).otherwise("  ")
+    rows = rows.select("doc_id", "_flat", n_words.alias("n_words"), base.alias("_base"), licence.alias("_licence"))
+    keyed = _any(F.col("_licence"), [key for _, _, key in WORDINGS])
+    counted = F.when(keyed, _let(F.split(F.trim("_licence"), " "), lambda words: best(votes(words)))).otherwise(zero)
+    rows = rows.select("doc_id", "n_words", "_base", "_licence", counted.alias("_best"))
     places = F.flatten(F.array(*[F.col("_base")[label] for label in BASE.values()]))
-    out = rows.select("doc_id", "n_words", places.alias("_places"), "_base", "_best", "_flat")
+    out = rows.select("doc_id", "n_words", places.alias("_places"), "_base", "_best", "_licence")
     labelled = lambda conditions: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in conditions]), lambda x: x.isNotNull()))), ",")
     base_hits = [(label, F.size(F.col("_base")[label]) > 0) for label in BASE.values()]
     share = [F.col("_best")[k] / F.lit(float(n)) for k, n in enumerate(sizes)]
-    hits = [(label, F.when(s >= MIN_SHARE, F.col("_flat").contains(f" {key} ")).otherwise(False)) for s, (label, _, key) in zip(share, WORDINGS, strict=True)]
+    hits = [(label, F.when(s >= MIN_SHARE, F.col("_licence").contains(f" {key} ")).otherwise(False)) for s, (label, _, key) in zip(share, WORDINGS, strict=True)]
     score = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(c, F.lit(1.0)) for _, c in base_hits], *[F.when(c, F.least(F.lit(1.0), s)) for s, (_, c) in zip(share, hits, strict=True)])
     return out.select(
         "doc_id",
@@ -183,10 +240,9 @@ def scan(docs: DataFrame, idf: dict[str, float] | None = None) -> DataFrame:
     )
 
 
-def _raise(best: Column, vote: Column, n: Column) -> Column:
-    """`best` with the entry of the vote's template raised to n. Votes of template k lie within half a _SHIFT of k * _SHIFT."""
-    k = F.floor((vote + _SHIFT // 2) / _SHIFT)
-    return F.transform(best, lambda b, i: F.when((i == k) & (n > b), n).otherwise(b))
+def _raise(best: Column, template: Column, n: Column) -> Column:
+    """`best` with the entry of a template raised to n."""
+    return F.transform(best, lambda b, i: F.when((i == template) & (n > b), n).otherwise(b))
 
 
 def place(text: str | None, phrase: str) -> list[int]:
