@@ -92,6 +92,8 @@ _lookup("p26_list_equality", "orders", "o_orderkey", "NOT EXISTS (SELECT 1 FROM
 _lookup("p27_independent_exists", "customer", "c_custkey", "c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')", lambda q: q.filter(orders__o_orderstatus="F", orders__o_orderpriority="1-URGENT"))
 _lookup("p28_chain", "orders", "o_orderkey", "o_orderstatus = 'O' AND o_totalprice > 300000", lambda q: q.filter(o_orderstatus="O").filter(o_totalprice__gt=300000))
 _lookup("p29_exclude", "orders", "o_orderkey", "NOT (coalesce(o_orderstatus = 'O', false) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))", lambda q: q.exclude(o_orderstatus="O", customer__c_mktsegment="BUILDING"))
+_lookup("p29_exclude_many_to_one", "lineitem", "l_orderkey, l_linenumber", "NOT coalesce(l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 5), false)", lambda q: q.exclude(part__p_size=5))
+_lookup("p29_exclude_counts_and_lists", "orders", "o_orderkey", "NOT ((SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) > 4 AND coalesce(o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1), false))", lambda q: q.exclude(lineitems__len_gt=4, customer__nation__n_regionkey=1))
 _lookup("q01_all", "supplier", "s_suppkey", "true", lambda q: q.all())
 _lookup("q08_requery", "orders", "o_orderkey", "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount = 0.1) AND o_totalprice > 250000", lambda q: q.from_items(q.tables["lineitem"].where("l_discount = 0.1").select("l_orderkey")).filter(o_totalprice__gt=250000))
 

@@ -213,24 +213,44 @@ class Query:
         test = self._test(entity, parts, value)
         if test is not None:
             return df.where(test)
+        if self._related(entity, parts):
+            return self._semi(df, *self._matching(entity, parts, value), "left_semi")
+        return self._flag(df, entity, parts, value, "_met").where("_met").drop("_met")
+
+    def _related(self, entity: str, parts: list[str]) -> bool:
+        """Whether a path asks for the existence of a related row."""
+        node = self.graph[entity]
+        lists = self._list_lookup(entity, parts) == 0 or len(parts) == 1 and parts[0] in node.plurals
+        return not lists and (parts[0] in node.scalars or parts[0] in node.plurals)
+
+    def _flag(self, df: DataFrame, entity: str, parts: list[str], value: Any, flag: str) -> DataFrame:
+        """Add boolean `flag`: whether a row meets a condition; null where that is unknown. Rows are flagged themselves, not their keys."""
+        test = self._test(entity, parts, value)
+        if test is not None:
+            return df.withColumn(flag, test)
         if parts[0] in self.graph[entity].carried:
             found = self._attach(df, entity, parts[:1], "_carried")
-            return found.where(self._compare(entity, F.col("_carried"), found.schema["_carried"].dataType, parts, value)).drop("_carried")
+            return found.withColumn(flag, self._compare(entity, F.col("_carried"), found.schema["_carried"].dataType, parts, value)).drop("_carried")
         if self._list_lookup(entity, parts) == 0:
-            return self._counted(df, entity, parts, value)
-        if len(parts) == 1 and parts[0] in self.graph[entity].plurals:
-            return self._same_list(df, entity, parts[0], value)
-        return self._semi(df, *self._matching(entity, parts, value), "left_semi")
+            return self._counted(df, entity, parts, value, flag)
+        if not self._related(entity, parts):
+            return self._same_list(df, entity, parts[0], value, flag)
+        own, rows, their, timed = self._matching(entity, parts, value)
+        if timed:
+            # a row may hold several starts: the keys of those that hold any, as only entities of one row a key have such relations
+            rows, their = self._semi(self.tables[entity], own, rows, their, True, "left_semi"), own
+        met = rows.select(F.col(their).alias("_fk")).where("_fk IS NOT NULL").distinct().withColumn(flag, F.lit(True))
+        return df.join(met, df[own] == met["_fk"], "left").drop("_fk").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
-    def _counted(self, df: DataFrame, entity: str, parts: list[str], value: Any) -> DataFrame:
+    def _counted(self, df: DataFrame, entity: str, parts: list[str], value: Any, flag: str) -> DataFrame:
         lookup = parts[-1]
         if lookup in ORDERED:
             raise TypeError(f"{lookup} can't order a list of {parts[0]}")
         if lookup == "len":
             LOOKUPS["len"](None, value, None)
         if lookup not in CARDINALITY:
-            return df.where(F.lit(False))
-        return self._with_count(df, entity, parts[0]).where(CARDINALITY[lookup](F.col("_n"), value)).drop("_n")
+            return df.withColumn(flag, F.lit(False))
+        return self._with_count(df, entity, parts[0]).withColumn(flag, CARDINALITY[lookup](F.col("_n"), value)).drop("_n")
 
     def _with_count(self, df: DataFrame, entity: str, name: str) -> DataFrame:
         node = self.graph[entity]
@@ -244,25 +264,22 @@ class Query:
         counts = related.groupBy("_fk").agg(F.count(F.lit(1)).alias("_n"))
         return df.join(counts, df[node.key] == counts["_fk"], "left").drop("_fk").withColumn("_n", F.coalesce("_n", F.lit(0)))
 
-    def _same_list(self, df: DataFrame, entity: str, name: str, value: Iterable[Any]) -> DataFrame:
-        """Rows whose related keys, in default order, are the given list."""
+    def _same_list(self, df: DataFrame, entity: str, name: str, value: Iterable[Any], flag: str) -> DataFrame:
+        """Flag rows whose related keys, in default order, are the given list."""
         node = self.graph[entity]
         target, fk = node.plurals[name]
         other = self.graph[target]
         keys = self.tables[target].groupBy(F.col(fk).alias("_fk")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*other.order, F.col(other.key).alias("_id")))), lambda x: x["_id"]).alias("_ids"))
         wanted = F.array(*map(F.lit, value)) if list(value) else F.array().cast(keys.schema["_ids"].dataType)
-        return df.join(keys, df[node.key] == keys["_fk"], "left").where(F.coalesce("_ids", F.array().cast(keys.schema["_ids"].dataType)) == wanted).drop("_fk", "_ids")
+        return df.join(keys, df[node.key] == keys["_fk"], "left").withColumn(flag, F.coalesce("_ids", F.array().cast(keys.schema["_ids"].dataType)) == wanted).drop("_fk", "_ids")
 
     def _drop(self, df: DataFrame, conditions: tuple[tuple[str, Any], ...]) -> DataFrame:
         columns, together = df.columns, F.lit(True)
-        key = self.graph[self.entity].key
         for k, (path, value) in enumerate(conditions):
             parts = path.split("__")
             test = self._test(self.entity, parts, value)
             if test is None:
-                met = self._keep(self.tables[self.entity], self.entity, parts, value).select(F.col(key).alias(f"_k{k}")).distinct().withColumn(f"_met{k}", F.lit(True))
-                df = df.join(met, df[key] == met[f"_k{k}"], "left").drop(f"_k{k}")
-                test = F.coalesce(f"_met{k}", F.lit(False))
+                df, test = self._flag(df, self.entity, parts, value, f"_met{k}"), F.col(f"_met{k}")
             together = together & test
         return df.where(~F.coalesce(together, F.lit(False))).select(*columns)
 

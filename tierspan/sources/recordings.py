@@ -49,6 +49,6 @@ def import_pairs(corpus: Corpus, ort: DataFrame, awd_rows: DataFrame, mapping: d
         used = staged["speaker_audio"].select("speaker_id").distinct()
         rows = _fit(speakers.withColumn("identifier", F.col("name")).withColumn("dataset", F.lit(dataset)), "speakers").join(used, F.col("identifier") == F.col("speaker_id"), "left_semi")
         staged["speakers"] = writes.new(rows, corpus.tables["speakers"], ["identifier"])
-    corpus.commit({name: corpus.tables[name].unionByName(rows) for name, rows in staged.items()})
+    corpus.append(staged)
     issues = levels["issues"].select("kind", "sample").unionByName(errors.select(F.col("error").alias("kind"), F.concat_ws(": ", "file", "detail").alias("sample")))
     return writes.report(issues, "kind", "sample")
