@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tierspan.operators.intervals import in_spans
+from tierspan.plans.schema import POSITIONS
+
 
 def _p(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
@@ -31,15 +34,12 @@ def children(parents: DataFrame, rows: DataFrame, *, strict_time: bool = True) -
 
 def overlapping(parents: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows that start inside a parent-level row but belong to another."""
-    p = _p(parents, "p_")
-    on = (rows["audio_id"] == p["p_audio_id"]) & (rows["start"] >= p["p_start"]) & (rows["start"] < p["p_end"]) & ~rows["parent_id"].eqNullSafe(p["p_identifier"])
-    return rows.join(p, on)
+    return in_spans(parents, rows).where(~F.col("parent_id").eqNullSafe(F.col("p_identifier")))
 
 
 def in_window(parents: DataFrame, rows: DataFrame) -> DataFrame:
     """All rows of an audio that start inside each parent's span, whoever they belong to."""
-    p = _p(parents, "p_")
-    return rows.join(p, (rows["audio_id"] == p["p_audio_id"]) & (rows["start"] >= p["p_start"]) & (rows["start"] < p["p_end"]))
+    return in_spans(parents, rows)
 
 
 def preorder(*levels: tuple[str, DataFrame]) -> DataFrame:
@@ -96,6 +96,69 @@ def frame_slice(frames: Column, start: Column, end: Column, outer_start: Column,
     return F.slice(frames, first + 1, last - first)
 
 
+def segment_embeddings(segments: DataFrame, levels: dict[str, DataFrame], embeddings: DataFrame, *, fallback: bool = True, missing: str = "error") -> DataFrame:
+    """(identifier, depth, source, frames) of segments: their own frames, or the part of the nearest ancestor's that they cover.
+
+    `levels` are the tables above, nearest first, as for `ancestors`; `embeddings` has one row (identifier, frames) an id. Who serves a
+    segment is found from ids alone; frames are then read by one join, each row of them once. Without `fallback` only own frames count.
+    Where nobody serves a segment, reading the row is an error, or its frames are null with missing="null".
+    """
+    if missing not in ("error", "null"):
+        raise ValueError("missing is 'error' or 'null'")
+    found = segments.select("identifier", "parent_id", "start", "end")
+    names = ["identifier"]
+    if fallback:
+        found = ancestors(found, levels)
+        names += [f"{name}_id" for name in levels]
+    there = embeddings.select(F.col("identifier").alias("_id"))
+    for k, name in enumerate(names):
+        found = found.join(there.withColumnRenamed("_id", f"_has{k}"), F.col(name) == F.col(f"_has{k}"), "left")
+    depth = F.coalesce(*[F.when(F.col(f"_has{k}").isNotNull(), F.lit(k)) for k in range(len(names))])
+    found = found.select("identifier", "start", "end", depth.alias("depth"), F.coalesce(*[F.col(f"_has{k}") for k in range(len(names))]).alias("source"))
+    spans = None
+    for df in levels.values() if fallback else ():
+        one = df.select(F.col("identifier").alias("_span"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        spans = one if spans is None else spans.unionByName(one)
+    served = found.join(embeddings.select(F.col("identifier").alias("_id"), "frames"), F.col("source") == F.col("_id"), "left")
+    frames = F.col("frames")
+    if spans is not None:
+        served = served.join(spans, (F.col("depth") > 0) & (F.col("source") == F.col("_span")), "left")
+        frames = F.when(F.col("depth") == 0, frames).otherwise(frame_slice(frames, F.col("start"), F.col("end"), F.col("_start"), F.col("_end")))
+    if missing == "error":
+        said = F.concat(F.lit("no embedding for "), F.coalesce(F.col("identifier").cast("string"), F.lit("?")), F.lit(" or its ancestors" if fallback else "; its ancestors may have one"))
+        frames = F.when(F.col("source").isNull(), F.raise_error(said).cast(embeddings.schema["frames"].dataType)).otherwise(frames)
+    return served.select("identifier", "depth", "source", frames.alias("frames"))
+
+
+def descendants(rows: DataFrame, level: str, tables: dict[str, DataFrame], target: str) -> DataFrame:
+    """All rows of a level further down that hang on `rows`, which are of `level`: each once."""
+    order = ["phrases", "words", "syllables", "phones"]
+    here, there = order.index(level), order.index(target)
+    if there <= here:
+        raise ValueError(f"{target} aren't below {level}")
+    keys = rows.select(F.col("identifier").alias("_up")).distinct()
+    if level == "phrases" and target in ("syllables", "phones"):
+        return tables[target].join(keys, F.col("phrase_id") == F.col("_up"), "left_semi")
+    for name in order[here + 1 : there + 1]:
+        found = tables[name].join(keys, F.col("parent_id") == F.col("_up"), "left_semi")
+        keys = found.select(F.col("identifier").alias("_up"))
+    return found
+
+
+def siblings_of(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """All rows of a level that have a parent with one of `rows` in common, those rows left out; rows without a parent have no siblings."""
+    shared = level.join(rows.select(F.col("parent_id").alias("_p")).distinct(), F.col("parent_id") == F.col("_p"), "left_semi")
+    return shared.join(rows.select(F.col("identifier").alias("_own")), F.col("identifier") == F.col("_own"), "left_anti")
+
+
+def by_position(phones: DataFrame, which: str) -> DataFrame:
+    """The phones that are `onset`, `nucleus` or `coda` of their syllable."""
+    codes = {name: code for code, name in POSITIONS.items()}
+    if which not in codes:
+        raise ValueError(f"{which!r} is none of {', '.join(codes)}")
+    return phones.where(F.col("position_code") == codes[which])
+
+
 def labels_joined(rows: DataFrame, by: str, sep: str = " ") -> DataFrame:
     """Labels of each group in time order, with the group's span."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "identifier", "label")))

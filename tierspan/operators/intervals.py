@@ -40,13 +40,61 @@ def overlaps(rows: DataFrame, others: DataFrame, *, other_speaker: bool = False)
     return rows.join(hit, "identifier", "left_semi").select(*rows.columns)
 
 
+#: Cells of a level are this many times as wide as those of the level below.
+CELL_STEP = 4
+
+
+def _level(length: Column, width: int) -> Column:
+    """The lowest level whose cells are as wide as a span of this length; level 0 has cells of `width`."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)) / F.lit(width)) / F.log2(F.lit(float(CELL_STEP))))).cast("int")
+
+
+def _cell(at: Column, level: Column, width: int) -> Column:
+    return F.floor(at / (F.pow(F.lit(float(CELL_STEP)), level) * width))
+
+
+def _levels(spans: DataFrame) -> Column:
+    """The levels that spans have, found when the query runs."""
+    return spans.agg(F.collect_set("_k")).scalar()
+
+
+def _cells(df: DataFrame, level: Column, width: int) -> Column:
+    """The cells of a level that a span lies in, its end left out: two, where the level is its own or above."""
+    return F.sequence(_cell(F.col("start"), level, width), _cell(F.greatest(F.col("end") - 1, F.col("start")), level, width))
+
+
 def bucketed_overlaps(rows: DataFrame, others: DataFrame, width: int) -> DataFrame:
-    """As `overlaps`, with (audio, time bucket) as the join key; each pair meets in the first bucket it shares."""
-    cut = lambda df: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))))
-    r = cut(rows)
-    o = cut(others).select(F.col("audio_id").alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"), F.col("_b").alias("_ob"))
-    on = (r["audio_id"] == o["_a"]) & (r["_b"] == o["_ob"]) & (r["start"] < o["_e"]) & (o["_s"] < r["end"]) & (r["identifier"] != o["_i"])
-    return r.join(o, on, "left_semi").drop("_b").dropDuplicates(["identifier"])
+    """As `overlaps`, by joins on audio and cells of time. A span lies in two cells of its own level at most, however long it is, and asks
+    one or two of each level above that the other side has."""
+    named = lambda df, p: df.where("audio_id IS NOT NULL").select(F.col("audio_id").alias(f"{p}audio"), "start", "end", F.col("identifier").alias(f"{p}id"), _level(F.col("end") - F.col("start"), width).alias("_k"))
+
+    def own(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumn("_c", F.explode(_cells(df, F.col("_k"), width))).withColumnsRenamed({"start": f"{p}start", "end": f"{p}end", "_k": f"{p}k", "_c": f"{p}c"})
+
+    def asking(df: DataFrame, p: str, levels: Column, least: int) -> DataFrame:
+        df = df.withColumn("_l", F.explode(levels)).where(F.col("_l") >= F.col("_k") + least).drop("_k")
+        return df.withColumn("_c", F.explode(_cells(df, F.col("_l"), width))).withColumnsRenamed({"start": f"{p}start", "end": f"{p}end", "_l": f"{p}k", "_c": f"{p}c"})
+
+    r, o = named(rows, "r_"), named(others, "o_")
+    meet = (F.col("r_audio") == F.col("o_audio")) & (F.col("r_k") == F.col("o_k")) & (F.col("r_c") == F.col("o_c")) & (F.col("r_start") < F.col("o_end")) & (F.col("o_start") < F.col("r_end")) & (F.col("r_id") != F.col("o_id"))
+    shorter = asking(r, "r_", _levels(o), 0).join(own(o, "o_"), meet, "left_semi").select("r_id")
+    longer = own(r, "r_").join(asking(o, "o_", _levels(r), 1), meet, "left_semi").select("r_id")
+    return rows.join(shorter.unionByName(longer).distinct(), F.col("identifier") == F.col("r_id"), "left_semi")
+
+
+def in_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
+    """Points beside each span of their audio that they start in, [start, end), with the span's columns prefixed p_.
+
+    A span lies in two cells of its level at most, and a point asks one cell of each level that spans have: the join is on audio, level
+    and cell, so a recording that holds all rows is still many keys, and a long span doesn't meet the points outside it.
+    """
+    s = spans.select(*[F.col(c).alias(f"p_{c}") for c in spans.columns], F.col("audio_id").alias("_a"), "start", "end").where("_a IS NOT NULL AND start < end")
+    s = s.withColumn("_k", _level(F.col("end") - F.col("start"), 1))
+    p = points.where("audio_id IS NOT NULL AND start IS NOT NULL").withColumn("_pk", F.explode(_levels(s)))
+    p = p.withColumn("_pc", _cell(F.col("start"), F.col("_pk"), 1))
+    s = s.withColumn("_c", F.explode(_cells(s, F.col("_k"), 1))).drop("start", "end")
+    met = (F.col("audio_id") == F.col("_a")) & (F.col("_pk") == F.col("_k")) & (F.col("_pc") == F.col("_c")) & (p["start"] >= F.col("p_start")) & (p["start"] < F.col("p_end"))
+    return p.join(s, met).drop("_a", "_k", "_pk", "_c", "_pc")
 
 
 def overlap_codes(phrases: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -72,11 +120,11 @@ def _near(spans: DataFrame, points: DataFrame, at: Column) -> DataFrame:
     """
     level = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
     s = spans.where("audio_id IS NOT NULL AND start <= end").withColumn("_k", level)
-    levels = sorted(r["_k"] for r in s.select("_k").distinct().collect())
+    levels = _levels(s)
     width = F.pow(F.lit(2.0), F.col("_k"))
     cell = lambda x: F.floor(x / width)
     s = s.select(F.col("audio_id").alias("_a"), "_k", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.col("end"))))).alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("identifier").alias("_i"))
-    p = points.withColumn("_at", at).withColumn("_pk", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = points.withColumn("_at", at).withColumn("_pk", F.explode(levels))
     p = p.withColumn("_pc", F.floor(F.col("_at") / F.pow(F.lit(2.0), F.col("_pk"))))
     return p.join(s, (p["audio_id"] == s["_a"]) & (p["_pk"] == s["_k"]) & (p["_pc"] == s["_c"]) & (F.col("_at") >= F.col("_s")) & (F.col("_at") <= F.col("_e")))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from tierspan.operators.intervals import same_speaker_overlaps
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 class Rejected(ValueError):
@@ -39,6 +39,24 @@ def insert(old: DataFrame, rows: DataFrame, keys: list[str], *, overwrite: bool
     return new(old, rows, keys).unionByName(rows)
 
 
+def insert_gracefully(old: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the table with what could be inserted, the rows that were left out): of several rows of one key none is inserted, as which to keep isn't known."""
+    twice = duplicate_keys(rows, keys).select(*keys)
+    fit = rows.join(twice, keys, "left_anti")
+    fit = new(fit, old, keys)
+    return old.unionByName(fit), rows.join(fit.select(*keys), keys, "left_anti")
+
+
+def link_speakers(links: DataFrame, added: DataFrame) -> DataFrame:
+    """Pairs of a speaker and an audio, each once, with those of `added`."""
+    return links.unionByName(added.select(*links.columns)).distinct()
+
+
+def unlink_speakers(links: DataFrame, gone: DataFrame) -> DataFrame:
+    """The pairs without those in `gone`."""
+    return links.join(gone.select("speaker_id", "audio_id").distinct(), ["speaker_id", "audio_id"], "left_anti").select(*links.columns)
+
+
 def append(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(rows)
 
@@ -110,30 +128,76 @@ def same_identity(old: DataFrame, rows: DataFrame) -> None:
 
 
 def replace_trees(tables: dict[str, DataFrame], staged: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Phrases with all below them, replaced by staged ones; checked for speakers, duplicates and overlaps first."""
-    validate_trees(staged)
-    for name, rows in staged.items():
-        same_identity(tables[name], rows)
+    """Phrases with all below them, replaced by staged ones; all checks are one job over the staged rows."""
+    require_none(tree_violations(staged, tables))
     rest = delete_phrases(tables, staged["phrases"])
-    whole = {name: rest[name].unionByName(staged[name]) for name in rest}
-    touched = staged["phrases"].select("audio_id", "speaker_id").distinct()
-    clashes = same_speaker_overlaps(whole["phrases"].join(touched, ["audio_id", "speaker_id"], "left_semi"))
-    require_empty(clashes.join(staged["phrases"].select("audio_id", "speaker_id", F.col("start").alias("_s"), F.col("end").alias("_e")), ["audio_id", "speaker_id"]).where("start < _e AND _s < end").select(*clashes.columns), "phrases of one speaker overlap")
-    return whole
+    return {name: rest[name].unionByName(staged[name]) for name in rest}
+
+
+#: What hangs on a phrase, and the column that names it.
+OWNERS = {"words": "parent_id", "syllables": "phrase_id", "phones": "phrase_id"}
+
+
+def _kinds(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(kind, sample): each check that a row fails, with the row's id."""
+    ident = F.hex("identifier") if isinstance(rows.schema["identifier"].dataType, T.BinaryType) else F.col("identifier").cast("string")
+    return rows.select(F.explode(F.filter(F.array(*[F.when(failed, F.lit(kind)) for kind, failed in checks.items()]), lambda k: k.isNotNull())).alias("kind"), ident.alias("sample"))
+
+
+def _identities(rows: DataFrame, old: DataFrame | None) -> tuple[DataFrame, Column]:
+    """`rows` beside what is stored under their ids, and whether their audio or speaker differs from it."""
+    if old is None:
+        return rows, F.lit(False)
+    was = old.select(F.col("identifier").alias("_id"), F.col("audio_id").alias("_was_a"), F.col("speaker_id").alias("_was_s"))
+    return rows.join(was, F.col("identifier") == F.col("_id"), "left"), F.col("_id").isNotNull() & ~(F.col("audio_id").eqNullSafe(F.col("_was_a")) & F.col("speaker_id").eqNullSafe(F.col("_was_s")))
+
+
+def tree_violations(staged: dict[str, DataFrame], stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(kind, sample) of all that is wrong with phrases and what hangs on them, from one pass over each staged table.
+
+    Ids and times are there, ids and phrases occur once, phrases of one speaker don't overlap, and what hangs on a phrase has its audio
+    and speaker. With `stored`, staged phrases don't overlap those that stay either, and ids that are stored keep their audio and speaker.
+    """
+    lacking = [name for name in ("phrases", *OWNERS) if name not in staged]
+    if lacking or "parent_id" in staged["phrases"].columns:
+        raise Rejected(f"trees need {', '.join(lacking)}" if lacking else "the items of a batch of trees must be phrases, which have no parents")
+    twice = F.count(F.when(F.col("_staged"), 1)).over(Window.partitionBy("identifier")) > 1
+    absent = lambda columns: F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True)
+
+    base = ["identifier", "audio_id", "speaker_id", "start", "end"]
+    phrases, changed = _identities(staged["phrases"].select(*base), stored and stored["phrases"])
+    phrases = phrases.withColumn("_changed", changed).select(*base, "_changed", F.lit(True).alias("_staged"))
+    if stored:
+        ours = staged["phrases"].select("audio_id", "speaker_id").distinct()
+        stay = stored["phrases"].join(staged["phrases"].select("identifier"), "identifier", "left_anti").join(ours, ["audio_id", "speaker_id"], "left_semi")
+        phrases = phrases.unionByName(stay.select(*base, F.lit(False).alias("_changed"), F.lit(False).alias("_staged")))
+    said = Window.partitionBy("audio_id", "speaker_id")
+    before = said.orderBy("start", "end", "identifier").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.col("_staged")
+    clash = new & (F.col("start") < F.max("end").over(before)) | (F.col("start") < F.max(F.when(new, F.col("end"))).over(before))
+    again = F.count(F.when(new, 1)).over(Window.partitionBy("audio_id", "speaker_id", "start")) > 1
+    flagged = phrases.withColumns({"_twice": new & twice, "_clash": clash, "_again": new & again})
+    out = _kinds(flagged, {"phrases without id, audio or times": new & absent(["identifier", "audio_id", "start", "end"]), "ids of phrases occur twice": F.col("_twice"), "phrases occur twice": F.col("_again"), "phrases of one speaker overlap": F.col("_clash"), "audio and speaker can't change once stored": F.col("_changed")})
+
+    owner = staged["phrases"].select(F.col("identifier").alias("_p"), F.col("audio_id").alias("_a"), F.col("speaker_id").alias("_s"))
+    for name, key in OWNERS.items():
+        rows = staged[name].select(*base, F.col(key).alias("_owner")).withColumn("_staged", F.lit(True))
+        rows, changed = _identities(rows, stored and stored[name])
+        rows = rows.withColumns({"_changed": changed, "_twice": twice}).join(owner, F.col("_owner") == F.col("_p"), "left")
+        differs = F.col("_p").isNotNull() & ~(F.col("audio_id").eqNullSafe(F.col("_a")) & F.col("speaker_id").eqNullSafe(F.col("_s")))
+        out = out.unionByName(_kinds(rows, {f"{name} without id, audio, times or {key}": absent(["identifier", "audio_id", "start", "end", "_owner"]), f"ids of {name} occur twice": F.col("_twice"), f"{name} and their phrase differ in speaker or audio": differs, "audio and speaker can't change once stored": F.col("_changed")}))
+    return out
+
+
+def require_none(violations: DataFrame) -> None:
+    """One job: every kind of violation with its count and its first row."""
+    found = violations.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("first")).collect()
+    if found:
+        raise Rejected("; ".join(f"{r['kind']}: {r['n']}, first {r['first']}" for r in sorted(found, key=lambda r: r["kind"])))
 
 
 def validate_trees(staged: dict[str, DataFrame]) -> None:
-    phrases = staged["phrases"]
-    for name, df in staged.items():
-        must = [c for c in ("identifier", "audio_id", "start", "end", "parent_id" if name == "words" else "phrase_id") if c in df.columns]
-        require_empty(df.where(" OR ".join(f"`{c}` IS NULL" for c in must)).select("identifier"), f"{name} without {', '.join(must)}")
-        require_empty(duplicate_keys(df, ["identifier"]), f"ids of {name} occur twice")
-    require_empty(duplicate_keys(phrases, ["audio_id", "speaker_id", "start"]), "phrases occur twice")
-    require_empty(same_speaker_overlaps(phrases), "phrases of one speaker overlap")
-    owner = phrases.select(F.col("identifier").alias("_p"), F.col("speaker_id").alias("_s"), F.col("audio_id").alias("_a"))
-    for name, key in (("words", "parent_id"), ("syllables", "phrase_id"), ("phones", "phrase_id")):
-        odd = staged[name].join(owner, F.col(key) == F.col("_p")).where(~F.col("speaker_id").eqNullSafe(F.col("_s")) | ~F.col("audio_id").eqNullSafe(F.col("_a")))
-        require_empty(odd.select("identifier"), f"{name} and their phrase differ in speaker or audio")
+    require_none(tree_violations(staged))
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -143,8 +207,6 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def report(issues: DataFrame, kind: str, sample: str, most: int = 20) -> DataFrame:
     """(kind, n, samples): counts, and the first few samples of each kind; samples are cut down before they are gathered."""
-    from pyspark.sql.window import Window
-
     counts = issues.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
     distinct = issues.select(kind, sample).distinct()
     few = distinct.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(sample))).where(F.col("_r") <= most)

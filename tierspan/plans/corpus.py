@@ -99,6 +99,26 @@ class Corpus:
         self.number, self.closed = 0, False
         self.refresh()
 
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, *, resume: bool = False, protected: tuple[str, ...] = (), **kind) -> Corpus:
+        """A corpus to be built: refused where the folder is one of `protected`, isn't a folder, holds other files than a corpus', or, unless an
+        earlier build is to be resumed, holds anything."""
+        plain = lambda x: os.path.normpath(urlparse(x).path) if urlparse(x).scheme in ("", "file") else x.rstrip("/")
+        if plain(path) in map(plain, protected):
+            raise ValueError(f"{path} is protected")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        at = hadoop.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            if not fs.getFileStatus(at).isDirectory():
+                raise ValueError(f"{path} isn't a folder")
+            names = [s.getPath().getName() for s in fs.listStatus(at)]
+            if names and not resume:
+                raise ValueError(f"{path} isn't empty; resume it, or choose another folder")
+            if odd := [x for x in names if not x.startswith(("v-", "pointer-", "_pointer-", "claim-", "."))]:
+                raise ValueError(f"{path} holds other files: {', '.join(sorted(odd)[:5])}")
+        return cls(spark, path, **kind)
+
     def _fs(self, path: str):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         at = hadoop.Path(path)
