@@ -138,7 +138,7 @@ def replace_trees(tables: dict[str, DataFrame], staged: dict[str, DataFrame]) ->
 OWNERS = {"words": "parent_id", "syllables": "phrase_id", "phones": "phrase_id"}
 
 
-def _kinds(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+def violations_of(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(kind, sample): each check that a row fails, with the row's id."""
     ident = F.hex("identifier") if isinstance(rows.schema["identifier"].dataType, T.BinaryType) else F.col("identifier").cast("string")
     return rows.select(F.explode(F.filter(F.array(*[F.when(failed, F.lit(kind)) for kind, failed in checks.items()]), lambda k: k.isNotNull())).alias("kind"), ident.alias("sample"))
@@ -177,7 +177,7 @@ def tree_violations(staged: dict[str, DataFrame], stored: dict[str, DataFrame] |
     clash = new & (F.col("start") < F.max("end").over(before)) | (F.col("start") < F.max(F.when(new, F.col("end"))).over(before))
     again = F.count(F.when(new, 1)).over(Window.partitionBy("audio_id", "speaker_id", "start")) > 1
     flagged = phrases.withColumns({"_twice": new & twice, "_clash": clash, "_again": new & again})
-    out = _kinds(flagged, {"phrases without id, audio or times": new & absent(["identifier", "audio_id", "start", "end"]), "ids of phrases occur twice": F.col("_twice"), "phrases occur twice": F.col("_again"), "phrases of one speaker overlap": F.col("_clash"), "audio and speaker can't change once stored": F.col("_changed")})
+    out = violations_of(flagged, {"phrases without id, audio or times": new & absent(["identifier", "audio_id", "start", "end"]), "ids of phrases occur twice": F.col("_twice"), "phrases occur twice": F.col("_again"), "phrases of one speaker overlap": F.col("_clash"), "audio and speaker can't change once stored": F.col("_changed")})
 
     owner = staged["phrases"].select(F.col("identifier").alias("_p"), F.col("audio_id").alias("_a"), F.col("speaker_id").alias("_s"))
     for name, key in OWNERS.items():
@@ -185,7 +185,7 @@ def tree_violations(staged: dict[str, DataFrame], stored: dict[str, DataFrame] |
         rows, changed = _identities(rows, stored and stored[name])
         rows = rows.withColumns({"_changed": changed, "_twice": twice}).join(owner, F.col("_owner") == F.col("_p"), "left")
         differs = F.col("_p").isNotNull() & ~(F.col("audio_id").eqNullSafe(F.col("_a")) & F.col("speaker_id").eqNullSafe(F.col("_s")))
-        out = out.unionByName(_kinds(rows, {f"{name} without id, audio, times or {key}": absent(["identifier", "audio_id", "start", "end", "_owner"]), f"ids of {name} occur twice": F.col("_twice"), f"{name} and their phrase differ in speaker or audio": differs, "audio and speaker can't change once stored": F.col("_changed")}))
+        out = out.unionByName(violations_of(rows, {f"{name} without id, audio, times or {key}": absent(["identifier", "audio_id", "start", "end", "_owner"]), f"ids of {name} occur twice": F.col("_twice"), f"{name} and their phrase differ in speaker or audio": differs, "audio and speaker can't change once stored": F.col("_changed")}))
     return out
 
 
