@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import wave
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierspan.operators.writes import require_empty
 from tierspan.session import ship
+from tierspan.sources import riff
 
 MELS, COEFFICIENTS, WIDTH = 40, 13, 9
 CONTEXT = WIDTH // 2
@@ -93,13 +92,10 @@ def recording_mfcc(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 def read_wave(content: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and their rate; channels are averaged."""
-    with wave.open(io.BytesIO(content)) as f:
-        raw, width, channels, rate = f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels(), f.getframerate()
-    kinds = {1: np.uint8, 2: np.int16, 4: np.int32}
-    x = np.frombuffer(raw, kinds[width]).astype(np.float32)
-    x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(1), rate
+    """Mono samples in [-1, 1] of a file's bytes and their rate; channels are averaged."""
+    file = pa.BufferReader(content)
+    at = riff.layout(file)
+    return riff.decoded(file.read_at(at.samples * at.frame, at.data_at), at), at.rate
 
 
 def mfcc_frames(audios: DataFrame) -> DataFrame:
