@@ -27,6 +27,12 @@ def differing(stored: DataFrame, staged: DataFrame) -> DataFrame:
     return counts.groupBy(*SIGNATURE).agg(F.sum("_d").alias("_d")).where("_d <> 0").select("audio_id").distinct()
 
 
+def signatures(phrases: DataFrame) -> DataFrame:
+    """(audio_id, signature): a digest of each recording's phrases that doesn't depend on their order."""
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in SIGNATURE[1:]])
+    return phrases.groupBy("audio_id").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(row.cast("decimal(20,0)")).cast("string")).alias("signature"))
+
+
 def latest(rows: DataFrame, by: str, order: str) -> DataFrame:
     """One row a key: the latest; of several as late the one that is greatest as text."""
     tie = F.to_json(F.struct(*[F.col(c) for c in rows.columns]))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tierspan.operators import writes
 from tierspan.plans.query import Query
-from tierspan.plans.schema import GRAPH, SCHEMAS, SEGMENT_ORDER
+from tierspan.plans.schema import GRAPH, LEDGERS, SCHEMAS, SEGMENT_ORDER
 from tierspan.session import ship
 
 #: Buckets of hashes that a sample is cut by.
@@ -261,9 +261,9 @@ class Corpus:
         return Query(self.tables, self.graph, entity)
 
     def counts(self) -> DataFrame:
-        """(object_type, n) of all tables."""
+        """(object_type, n) of all tables of objects."""
         out = None
-        for name, df in self.tables.items():
+        for name, df in ((name, df) for name, df in self.tables.items() if name not in LEDGERS):
             one = df.groupBy(F.lit(name).alias("object_type")).agg(F.count(F.lit(1)).alias("n"))
             out = one if out is None else out.unionByName(one)
         return out

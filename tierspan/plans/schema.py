@@ -24,7 +24,11 @@ SCHEMAS = {
     "syllables": _struct(*_SEGMENT, *_DEEP, ("stress_code", _H)),
     "phones": _struct(*_SEGMENT, *_DEEP, ("position_code", _H)),
     "speaker_audio": _struct(("speaker_id", _B), ("audio_id", _B)),
+    # what was imported, and from where: one row a recording
+    "imports": _struct(("audio_id", _B), ("source", _S), ("size", _L), ("signature", _S)),
 }
+#: Tables that aren't objects of a corpus.
+LEDGERS = ("imports",)
 #: Stored codes and their meaning.
 GENDERS = {1: "female", 2: "male", 9: None}
 OVERLAPS = {0: False, 1: True, 9: None}

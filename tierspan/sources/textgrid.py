@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierspan.functions.columns import ms_truncated
@@ -84,12 +84,12 @@ def zip_tiers(intervals: DataFrame, left: str, right: str, within: float = 0.0)
     return both.withColumn("aligned", F.coalesce((F.abs(F.col("lmin") - F.col("rmin")) <= within) & (F.abs(F.col("lmax") - F.col("rmax")) <= within), F.lit(False)))
 
 
-def _ids(df: DataFrame, level: str, offset: float) -> DataFrame:
+def _ids(df: DataFrame, level: str, offset: float | Column) -> DataFrame:
     return df.select(F.col("file").alias("audio_id"), ms_truncated(F.col("xmin") + offset).alias("start"), ms_truncated(F.col("xmax") + offset).alias("end"), F.concat_ws("/", "file", F.lit(level), F.col("idx").cast("string")).alias("identifier"), F.col("mark").alias("label"))
 
 
-def aligned_levels(intervals: DataFrame, offset: float = 0.0) -> dict[str, DataFrame]:
-    """Phrases, words, syllables and phones of aligned recordings. Phones outside any syllable keep a null parent and get the phrase."""
+def aligned_levels(intervals: DataFrame, offset: float | Column = 0.0) -> dict[str, DataFrame]:
+    """Phrases, words, syllables and phones of aligned recordings, later by `offset` seconds, a number or a column of the intervals. Phones outside any syllable keep a null parent and get the phrase."""
     tier = lambda name: intervals.where(F.col("tier") == name)
     ipa = zip_tiers(intervals, "ORT-MAU", "KAN-MAU").select(F.concat_ws("/", "file", F.lit("w"), F.col("idx").cast("string")).alias("_i"), F.col("rmark").alias("ipa"))
     words = _ids(tier("ORT-MAU").where("mark <> ''"), "w", offset)
