@@ -13,7 +13,7 @@ from tierspan.operators import audio, hierarchy, intervals, positions, resume, r
 from tierspan.plans import project
 from tierspan.plans.corpus import sample_rows
 from tierspan.plans.query import Entity, Query
-from tierspan.sources import awd, synthetic, textgrid
+from tierspan.sources import awd, synthetic, textgrid, utterances, webmaus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,12 +118,9 @@ def _get_n(spark, d):
 @_query("q05_order_by_all", "SELECT o_orderkey, c_name, o_totalprice, row_number() OVER (ORDER BY c_mktsegment, o_totalprice DESC, o_orderkey) AS place FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def _order_by_all(spark, d):
     """Every order with its place."""
-    names = project.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    orders = _q(spark, d, "orders").rows()
-    joined = orders.join(names, orders["o_custkey"] == names["c_custkey"], "left")
-    # DuckDB puts nulls last
-    order = [F.asc_nulls_last("c_mktsegment"), F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")]
-    return joined.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).select("o_orderkey", "c_name", "o_totalprice", "place")
+    placed = _q(spark, d, "orders").order_by("customer__c_mktsegment", "-o_totalprice").numbered("place")
+    names = project.table(spark, d, "customer").select("c_custkey", "c_name")
+    return placed.join(names, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name", "o_totalprice", "place")
 
 
 @_query("q06_count", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P'")
@@ -335,10 +332,14 @@ def _tri(spark, d):
     return project.table(spark, d, "part").select("p_partkey", columns.tri_state(F.col("p_size") % 3, F.col("p_retailprice") > 950).alias("overlap"))
 
 
-_FEATURE_ROWS = ", ".join(f"('{s}', '{r['type']}', '{r['features']['voice']}', '{r['features']['high']}')" for s, r in phonology.PHONES.items())
+# fixed values: each symbol's type, voice and height
+_FEATURES = """f(symbol, type, voice, high) AS (SELECT unnest(string_split(s, ' ')), type, voice, high FROM (VALUES
+('g ɡ ɣ ɲ ŋ w j', 'consonant', '+', '+'), ('ʀ', 'consonant', '+', '-'), ('b d d͡ʒ v ð z ʒ m n r ɾ l ʋ ɹ', 'consonant', '+', '0'),
+('k ç x', 'consonant', '-', '+'), ('p t ʔ t͡ʃ f θ s ʃ h', 'consonant', '-', '0'), ('i iː y yː ɨ ʉ u uː ɪ ʏ ʊ ui', 'vowel', '+', '+'),
+('e eː ø øː o oː ə ɛ ɛː œ œ̃ œː ʌ ɔ ɔː æ æ̃ ɐ a aː ɑ ɑ̃ː ɒ ɒː ɒ̃ː ɛi œy ɑu', 'vowel', '+', '-')) t(s, type, voice, high))"""
 
 
-@_query("j13_features", f"WITH {_PHONES}, f(symbol, type, voice, high) AS (VALUES {_FEATURE_ROWS}) SELECT f.type, voice, high, count(*) AS n FROM phones p LEFT JOIN f ON f.symbol = p.label GROUP BY f.type, voice, high")
+@_query("j13_features", f"WITH {_PHONES}, {_FEATURES} SELECT f.type, voice, high, count(*) AS n FROM phones p LEFT JOIN f ON f.symbol = p.label GROUP BY f.type, voice, high")
 def _features(spark, d):
     rows = phonology.with_features(project.phones(spark, d))
     return rows.groupBy("type", F.col("features")["voice"].alias("voice"), F.col("features")["high"].alias("high")).agg(F.count(F.lit(1)).alias("n"))
@@ -480,10 +481,12 @@ def _utterances(spark, d):
     return project.phrases(spark, d).select("identifier", F.format_string("%d_%06d_%06d", "audio_id", "start", "end").alias("filename"))
 
 
-_SONORITY = ", ".join(f"('{x}', {phonology.sonority(x)})" for x in phonology.PHONES)
+# fixed values: each symbol's sonority
+_SONORITY = """v(symbol, son) AS (SELECT unnest(string_split(s, ' ')), son FROM (VALUES ('p b t d k g ɡ ʔ t͡ʃ d͡ʒ', 1), ('f v θ ð s z ʃ ʒ ç x ɣ h', 2), ('m n ɲ ŋ', 3), ('r ʀ ɾ l', 4), ('ʋ w ɹ j', 5),
+('i iː y yː ɨ ʉ u uː ɪ ʏ ʊ e eː ø øː o oː ə ɛ ɛː œ œ̃ œː ʌ ɔ ɔː æ æ̃ ɐ a aː ɑ ɑ̃ː ɒ ɒː ɒ̃ː ɛi œy ɑu ui', 6)) t(s, son))"""
 _PAIR = "(s2 < s1 AND ((s2 <= 2 AND s1 >= 4) OR l2 || l1 IN ('kn', 'ɡn', 'fn')))"
 _SYLLABLES = f"""WITH {_PHONES},
-v(symbol, son) AS (VALUES {_SONORITY}),
+{_SONORITY},
 q AS (SELECT parent_id, identifier, "start", "end", lower(label) AS label, son FROM phones LEFT JOIN v ON symbol = lower(label)),
 a AS (SELECT *, lag(label, 1) OVER w AS l1, lag(label, 2) OVER w AS l2, lag(label, 3) OVER w AS l3, lag(son, 1) OVER w AS s1, lag(son, 2) OVER w AS s2, lag(son, 3) OVER w AS s3,
              count(*) FILTER (son = 6) OVER (PARTITION BY parent_id ORDER BY "start", "end", identifier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
@@ -511,9 +514,9 @@ def _syllables(spark, d):
 
 @_query("t03_phrases")
 def _syllable_phrases(spark, d):
-    """Phrases rebuilt from the phones of each turn; turns with other symbols than the table's have null results."""
-    phones = project.phones(spark, d).withColumn("label", F.lower("label")).withColumn("word_id", F.col("parent_id"))
-    return resyllabify.syllabify_phones(phones, project.words(spark, d), "phrase_id")
+    """Phrases rebuilt from the phones of each turn, without the characters that are no symbols; a pause is where several were left out."""
+    phones = project.phones(spark, d).withColumn("label", F.lower("label")).withColumn("word_id", F.col("parent_id")).where(phonology.phone_type(F.col("label")).isin("vowel", "consonant"))
+    return resyllabify.syllabify_phones(phones, project.words(spark, d), "phrase_id", 4)
 
 
 # writes and sets, computed as result sets
@@ -714,9 +717,10 @@ def _sample(spark, d):
 _SAID = ", ".join(f"({k}, '{p}')" for k, p in enumerate(synthetic.PHRASES))
 
 
-@_query("s26_synthetic", f"SELECT s.s AS speaker_id, s.s * 1000 + p.k AS identifier, CAST(p.k * 8000 AS BIGINT) AS \"start\", p.label FROM (SELECT unnest(range(20)) AS s) s, (VALUES {_SAID}) p(k, label)")
+@_query("s26_synthetic", f"SELECT c_custkey AS speaker_id, c_custkey * 1000 + p.k AS identifier, CAST(p.k * 8000 AS BIGINT) AS \"start\", p.label FROM customer, (VALUES {_SAID}) p(k, label)")
 def _synthetic(spark, d):
-    return synthetic.generate(spark, 20)["phrases"].select("speaker_id", "identifier", "start", "label")
+    """Every customer says all phrases."""
+    return synthetic.generate(spark, project.table(spark, d, "customer").select("c_custkey"))["phrases"].select("speaker_id", "identifier", "start", "label")
 
 
 _CURRENT = """k AS (SELECT parent_id, identifier, coalesce(count(*) FILTER (is_vowel) OVER (PARTITION BY parent_id ORDER BY "start" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM phones),
@@ -734,24 +738,100 @@ def _outcomes(spark, d):
     return found.groupBy("ok", "applied", "count_mismatch").agg(F.count(F.lit(1)).alias("n"))
 
 
+_APPLIED = _CURRENT[: _CURRENT.index("r AS (")].rstrip().rstrip(",")
+
+
+@_query("t05_reposition", _SYLLABLES[: _SYLLABLES.rindex("\nSELECT")] + ",\n" + _APPLIED + """
+SELECT c.identifier, min(c."start") OVER (PARTITION BY c.parent_id, c.syllable) AS parent_start,
+       CAST(CASE WHEN son = 6 THEN 2 WHEN c."start" < min(c."start") FILTER (son = 6) OVER (PARTITION BY c.parent_id, c.syllable) THEN 1 ELSE 3 END AS SMALLINT) AS position_code
+FROM c JOIN m ON m.parent_id = c.parent_id WHERE m.ok AND n_old = n_new AND n_both > n_old""")
+def _reposition(spark, d):
+    """Words cut after each vowel, rewritten with maximal onsets: where their phones then are."""
+    phones = project.phones(spark, d).withColumn("label", F.lower("label"))
+    before = F.coalesce(F.sum(F.col("is_vowel").cast("int")).over(Window.partitionBy("parent_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    phones = phones.withColumns({"_word": F.col("parent_id"), "parent_id": F.col("parent_id") * 100 + before, "parent_start": F.lit(None).cast("long"), "position_code": F.lit(9).cast("short")})
+    syllables = phones.groupBy(F.col("parent_id").alias("identifier"), F.col("_word").alias("parent_id"), "speaker_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.lit("").alias("label"))
+    moved = resyllabify.resyllabify(project.words(spark, d), syllables, phones.drop("_word"))[2]
+    return moved.where("parent_start IS NOT NULL").select("identifier", "parent_start", "position_code")
+
+
+@_query("t17_status", """
+SELECT o_orderkey, CASE WHEN f.k IS NULL THEN 'no_textgrid' WHEN s_suppkey IS NULL OR c_custkey IS NULL THEN 'error' WHEN o_totalprice > 200000 THEN 'skipped' ELSE 'added' END AS status,
+       CASE WHEN f.k IS NULL THEN NULL WHEN s_suppkey IS NULL AND c_custkey IS NULL THEN 'no such speaker and audio' WHEN s_suppkey IS NULL THEN 'no such speaker' WHEN c_custkey IS NULL THEN 'no such audio' END AS detail,
+       s_suppkey AS speaker_id, c_custkey AS audio_id
+FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 40) f ON f.k = o_orderkey
+LEFT JOIN supplier ON s_suppkey = o_orderkey % 97 AND s_acctbal > 0 LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0""")
+def _status(spark, d):
+    """Orders as records of utterances: their items are the files, suppliers the speakers and customers the recordings."""
+    of = lambda name: project.table(spark, d, name)
+    text = lambda c: F.col(c).cast("string")
+    records = of("orders").select("o_orderkey", text("o_orderkey").alias("output_filename"), text("o_custkey").alias("audio_filename"), (F.col("o_orderkey") % 97).cast("string").alias("tier_name"))
+    files = of("lineitem").where("l_quantity > 40").select(text("l_orderkey").alias("path"))
+    speakers = of("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("identifier"), text("s_suppkey").alias("name"))
+    audios = of("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("identifier"), text("c_custkey").alias("filename"))
+    loaded = of("orders").where("o_totalprice > 200000").select(text("o_orderkey").alias("filename"))
+    return webmaus.load_status(records, files, speakers, audios, loaded).select("o_orderkey", "status", "detail", "speaker_id", "audio_id")
+
+
+@_query("t16_records", r"""
+WITH t AS (SELECT conv_id, role, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\*[a-zA-Z]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}''’-]+', ' ', 'g')) AS said FROM conversations),
+u AS (SELECT *, array_to_string(list_filter(string_split_regex(said, ' +'), lambda w: w NOT IN ('xxx', 'ggg', 'Xxx', 'mmm') AND regexp_matches(w, '[\p{L}\p{N}]')), ' ') AS text FROM t)
+SELECT CAST(conv_id AS VARCHAR) AS cgn_id, role AS tier_name, text, '/out/' || role || '/' || conv_id || '_s-' || turn * 1500 || '-e-' || (turn * 1500 + 1250) || '-ms.TextGrid' AS output_filename FROM u WHERE text <> ''""")
+def _records(spark, d):
+    """Turns as intervals of a speaker's tier."""
+    turns = project.table(spark, d, "conversations")
+    at = F.col("turn") * 1.5
+    intervals = turns.select(F.col("conv_id").cast("string").alias("file"), F.col("role").alias("tier"), F.lit(0).alias("tier_idx"), F.col("turn").cast("int").alias("idx"), at.alias("xmin"), (at + 1.25).alias("xmax"), F.col("text").alias("mark"))
+    audios = turns.select(F.col("conv_id").cast("string").alias("file")).distinct().select("file", F.concat(F.lit("/data/comp-a/nl/"), "file", F.lit(".wav")).alias("audio_filename"), F.lit("nl").alias("language"))
+    return utterances.utterances(intervals, audios, "/out").select("cgn_id", "tier_name", "text", "output_filename")
+
+
+_FRAMES = """e AS (SELECT vec_id * 1000 AS id, embedding AS v FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id * 10000000, embedding FROM embeddings WHERE vec_id % 2 = 0),
+s AS (SELECT w.identifier, CASE WHEN o.id IS NOT NULL THEN 0 WHEN a.id IS NOT NULL THEN 1 END AS depth, coalesce(o.id, a.id) AS source, coalesce(o.v, a.v) AS v,
+             CASE WHEN o.id IS NOT NULL THEN 0 ELSE CAST(floor((w."start" - p."start") * len(a.v) / (p."end" - p."start")) AS INT) END AS first,
+             CASE WHEN o.id IS NOT NULL THEN len(o.v) ELSE CAST(ceil((w."end" - p."start") * len(a.v) / (p."end" - p."start")) AS INT) END AS last
+      FROM words w LEFT JOIN phrases p ON p.identifier = w.parent_id LEFT JOIN e o ON o.id = w.identifier LEFT JOIN e a ON a.id = p.identifier)"""
+
+
+@_query("h22_frames", f"WITH {_WORDS}, {_FRAMES} SELECT identifier, depth, source, array_to_string(list_transform(v[first + 1:greatest(last, first + 1)], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)), ',') AS frames FROM s")
+def _frames(spark, d):
+    """Words with vectors of their own, or with the part of their turn's vector that they cover."""
+    vectors = project.table(spark, d, "embeddings")
+    framed = F.transform("embedding", lambda x: F.array(x)).alias("frames")
+    known = vectors.where("vec_id % 3 <> 0").select((F.col("vec_id") * 1000).alias("identifier"), framed).unionByName(vectors.where("vec_id % 2 = 0").select((F.col("vec_id") * 10000000).alias("identifier"), framed))
+    out = hierarchy.segment_embeddings(project.words(spark, d), {"phrases": project.phrases(spark, d)}, known, missing="null")
+    return out.select("identifier", "depth", "source", F.array_join(F.transform(F.flatten("frames"), lambda x: F.round(x.cast("double") * 1000000).cast("long")), ",").alias("frames"))
+
+
+def _recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as recordings (audio_id, content, duration, sample_rate): their bytes are samples of 8 bits, 8000 a second."""
+    little = lambda n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(n), 8, "0"), k, 2) for k in (7, 5, 3, 1)]))
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    n = F.octet_length(body)
+    head = bytes.fromhex("57415645666d74201000000001000100401f0000401f00000100080064617461")
+    content = F.concat(F.lit(b"RIFF"), little(n + 36), F.lit(head), little(n), body)
+    return project.table(spark, d, "pages").select(F.col("page_id").alias("audio_id"), content.alias("content"), F.floor(n / 8).alias("duration"), F.lit(8000).cast("long").alias("sample_rate"))
+
+
 @_query("m03_mfcc")
 def _mfcc(spark, d):
-    """Matrices of generated tones, one for each region."""
-    import io
-    import wave
-
-    import numpy as np
-
-    t, rows = np.arange(16000) / 16000, []
-    for r in project.table(spark, d, "region").select("r_regionkey").collect():
-        out = io.BytesIO()
-        with wave.open(out, "wb") as f:
-            f.setnchannels(1)
-            f.setsampwidth(2)
-            f.setframerate(16000)
-            f.writeframes((0.4 * np.sin(2 * np.pi * (200 + 50 * r[0]) * t) * 32767).astype("<i2").tobytes())
-        rows.append((r[0], bytearray(out.getvalue())))
-    return audio.mfcc_frames(spark.createDataFrame(rows, "audio_id int, content binary"))
+    """Matrices of all recordings."""
+    return audio.mfcc_frames(_recordings(spark, d))
+
+
+@_query("m05_batch", """
+WITH a AS (SELECT page_id, strlen(coalesce(html, '')) // 8 AS duration FROM pages),
+s AS (SELECT page_id * 2 AS identifier, 0 AS s, duration AS e, duration FROM a UNION ALL SELECT page_id * 2 + 1, duration // 4, duration // 2, duration FROM a),
+r AS (SELECT identifier, greatest(0, CAST(floor((s * 8 - 200) / 80) AS BIGINT) + 1) AS first, least(CAST(floor((duration * 8 - 200) / 80) AS BIGINT), CAST(floor((e * 8 - 1) / 80) AS BIGINT)) AS last FROM s WHERE e > s),
+f AS (SELECT identifier, unnest(range(first, last + 1)) AS frame FROM r)
+SELECT identifier, count(*) AS n, min(frame) AS first, max(frame) AS last, count(*) * 39 AS coefficients FROM f WHERE frame % 2 = 0 GROUP BY identifier""")
+def _batch(spark, d):
+    """Frames that two overlapping segments of each recording get: all of it, and its second quarter."""
+    audios = _recordings(spark, d)
+    whole = audios.select((F.col("audio_id") * 2).alias("identifier"), "audio_id", F.lit(0).cast("long").alias("start"), F.col("duration").alias("end"), "duration", "sample_rate")
+    part = whole.withColumns({"identifier": F.col("identifier") + 1, "start": F.floor(F.col("duration") / 4), "end": F.floor(F.col("duration") / 2)})
+    frames = audio.batch_mfcc(whole.unionByName(part).where("end > start"), audios)
+    return frames.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum(F.size("mfcc")).alias("coefficients"))
 
 
 for _name in ("q05_order_by", "w05_first_appearance", "t06_symbols", "h12_overlap_bucketed"):

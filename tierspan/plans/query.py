@@ -15,10 +15,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tierspan.functions.lookups import CARDINALITY, LOOKUPS, ORDERED, equals
 
 
+#: Keys that rows are dealt between where they are numbered; sizes of that many ranges are summed by one task.
+RANGES = 64
+
+
 class DoesNotExist(LookupError):
     """No row matches."""
 
@@ -117,6 +122,44 @@ class Query:
             keys.append(F.col(f"_order{k}").desc() if name.startswith("-") else F.col(f"_order{k}").asc())
         return df.orderBy(*keys, *self.graph[self.entity].order).select(*names)
 
+    def numbered(self, name: str = "place") -> DataFrame:
+        """The matching rows with their place, from 1, in the query's order, without sorting them in one task.
+
+        Rows are dealt to ranges between a few keys, drawn by hash; a row's place is how many rows lie in the ranges before, and its rank
+        in its own range.
+        """
+        df, columns, keys = self.rows(), [], []
+        for k, field_ in enumerate([*self.ordering, *self.graph[self.entity].order]):
+            df = self._attach(df, self.entity, field_.lstrip("-").split("__"), f"_order{k}")
+            columns.append(f"_order{k}")
+            keys.append(F.col(f"_order{k}").desc() if field_.startswith("-") else F.col(f"_order{k}").asc())
+        own = [c for c in df.columns if c not in columns]
+        drawn = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(RANGES).collect()
+
+        def follows(bound) -> Column:
+            """Whether a row stands at or behind a bound: nulls come first, last where the order falls."""
+            out, same = F.lit(False), F.lit(True)
+            for k, c in enumerate(columns):
+                there, kind = F.col(c), df.schema[c].dataType
+                falls = k < len(self.ordering) and self.ordering[k].startswith("-")
+                at = F.lit(bound[c]).cast(kind)
+                behind = (there < at) if falls else (there > at)
+                if bound[c] is None:
+                    behind = F.lit(False) if falls else there.isNotNull()
+                elif falls:
+                    behind = behind | there.isNull()
+                out, same = out | (same & F.coalesce(behind, F.lit(False))), same & there.eqNullSafe(at)
+            return out | same
+
+        part = F.lit(0)
+        for bound in drawn:
+            part = part + follows(bound).cast("int")
+        dealt = df.withColumn("_part", part)
+        sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
+        return ranked.join(F.broadcast(before), "_part").select(*own, (F.col("_before") + F.col("_rank")).alias(name))
+
     def count(self) -> int:
         return self.rows().count()
 

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 PHRASES = ("the sea is calm", "a bird sings at dawn", "wind moves the sand", "ships leave in the morning", "salt and rope")
 
 
-def generate(spark: SparkSession, speakers: int, phrases: tuple[str, ...] = PHRASES, phrase_ms: int = 8000) -> dict[str, DataFrame]:
-    """phrases, words and phones in whole milliseconds; ids follow from the speaker and the place, so each run is the same."""
+def generate(spark: SparkSession, speakers: int | DataFrame, phrases: tuple[str, ...] = PHRASES, phrase_ms: int = 8000) -> dict[str, DataFrame]:
+    """phrases, words and phones in whole milliseconds, of so many speakers or of those in the first column of a table (whole numbers); ids
+    follow from the speaker and the place, so each run is the same."""
+    named = spark.range(speakers).withColumnRenamed("id", "speaker_id") if isinstance(speakers, int) else speakers.select(F.col(speakers.columns[0]).cast("long").alias("speaker_id"))
     said = spark.createDataFrame(list(enumerate(phrases)), "k int, label string")
-    rows = spark.range(speakers).withColumnRenamed("id", "speaker_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(phrases) - 1)))).join(F.broadcast(said), "k")
+    rows = named.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(phrases) - 1)))).join(F.broadcast(said), "k")
     base = rows.select(F.col("speaker_id").alias("audio_id"), "speaker_id", (F.col("speaker_id") * 1000 + F.col("k")).alias("identifier"), (F.col("k").cast("long") * phrase_ms).alias("start"), ((F.col("k").cast("long") + 1) * phrase_ms).alias("end"), "label")
 
     def split(outer: DataFrame, parts, factor: int) -> DataFrame:
