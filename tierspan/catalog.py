@@ -834,6 +834,94 @@ def _batch(spark, d):
     return frames.groupBy("identifier").agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"), F.max("frame").alias("last"), F.sum(F.size("mfcc")).alias("coefficients"))
 
 
+@_query("v01_violations", f"""WITH {_WORDS},
+p AS (SELECT audio_id, speaker_id, identifier, "start", "end" FROM phrases UNION ALL SELECT audio_id, speaker_id, identifier + 1000000000, "start" + 1, "end" FROM phrases WHERE identifier % 5 = 0 AND "end" - "start" > 2
+      UNION ALL SELECT audio_id, speaker_id, identifier, "start", "end" FROM phrases WHERE identifier % 11 = 0),
+r AS (SELECT *, "start" < max("end") OVER (PARTITION BY audio_id, speaker_id ORDER BY "start", "end", identifier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clash FROM p),
+w AS (SELECT w.*, CASE WHEN w.identifier % 13 = 0 THEN 'other' ELSE w.speaker_id END AS speaker, CASE WHEN w.identifier % 17 = 0 THEN NULL ELSE w.label END AS l FROM words w)
+SELECT * FROM (
+SELECT 'phrases of one speaker overlap' AS kind, count(*) AS n FROM r WHERE clash
+UNION ALL SELECT 'ids of phrases occur twice', count(*) FROM (SELECT count(*) OVER (PARTITION BY identifier) AS c FROM p) WHERE c > 1
+UNION ALL SELECT 'phrases occur twice', count(*) FROM (SELECT count(*) OVER (PARTITION BY audio_id, speaker_id, "start") AS c FROM p) WHERE c > 1
+UNION ALL SELECT 'words and their phrase differ in speaker or audio', count(*) FROM w JOIN (SELECT DISTINCT identifier, speaker_id FROM p) p ON p.identifier = w.parent_id WHERE w.speaker IS DISTINCT FROM p.speaker_id
+UNION ALL SELECT 'words without id, audio, times or parent_id', count(*) FROM w WHERE identifier % 17 = 0) WHERE n > 0""")
+def _violations(spark, d):
+    """Turns of which some are repeated or overlapped, and words of which some have another speaker or lack their start."""
+    tables = _levels(spark, d)
+    base = ["audio_id", "speaker_id", "identifier", "start", "end"]
+    phrases = tables["phrases"].select(*base)
+    late = phrases.where("identifier % 5 = 0 AND end - start > 2").select("audio_id", "speaker_id", F.col("identifier") + 1000000000, F.col("start") + 1, "end")
+    phrases = phrases.union(late).union(phrases.where("identifier % 11 = 0"))
+    ident = F.col("identifier")
+    words = tables["words"].withColumns({"speaker_id": F.when(ident % 13 == 0, "other").otherwise(F.col("speaker_id")), "start": F.when(ident % 17 != 0, F.col("start"))})
+    none = {name: words.limit(0).withColumn("phrase_id", F.lit(None).cast("long")) for name in ("syllables", "phones")}
+    return writes.tree_violations({"phrases": phrases, "words": words} | none).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("j09_gender", "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 1 THEN 'female' WHEN 2 THEN 'male' END AS gender FROM supplier")
+def _gender(spark, d):
+    return project.table(spark, d, "supplier").select("s_suppkey", columns.gender(F.col("s_suppkey") % 4).alias("gender"))
+
+
+@_query("j12_present", "SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice > 100000 THEN 'price' END, CASE WHEN o_orderstatus = 'F' THEN 'status' END, 'key') AS present FROM orders")
+def _present(spark, d):
+    """Which attributes of an order have a value."""
+    o = project.table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderstatus") == "F", "F").alias("status"), F.col("o_orderkey").alias("key"))
+    return o.select("o_orderkey", F.array_join(columns.present(o, ["price", "status", "key"]), ",").alias("present"))
+
+
+@_query("j14_types", f"WITH {_PHONES}, {_FEATURES} SELECT CASE WHEN p.label = '(' THEN 'other' ELSE f.type END AS type, count(*) AS n FROM (SELECT CASE WHEN label = '.' THEN '(' ELSE lower(label) END AS label FROM phones) p LEFT JOIN f ON f.symbol = p.label GROUP BY ALL")
+def _types(spark, d):
+    """Letters as phones; full stops stand for what is in brackets."""
+    label = F.when(F.col("label") == ".", "(.)").otherwise(F.lower("label"))
+    return project.phones(spark, d).groupBy(phonology.phone_type(label).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("m06_invalid", f"WITH {_SPANS} SELECT identifier FROM spans WHERE \"end\" - \"start\" <= 0 OR \"start\" % 1000000 < 1000 OR \"end\" - \"start\" > 50000 OR identifier % 10 = 0")
+def _invalid(spark, d):
+    """Events as segments of recordings that are too short for some, or whose length isn't known."""
+    s = project.spans(spark, d)
+    length = F.col("end") - F.col("start")
+    # the recording begins a second after a segment that comes early, and ends after fifty seconds
+    first = F.when(F.col("start") % 1000000 < 1000, -1).otherwise(0)
+    segments = s.select("identifier", first.cast("long").alias("start"), (first + length).cast("long").alias("end"), F.when(F.col("identifier") % 10 != 0, 50000).cast("long").alias("duration"))
+    return audio.invalid_spans(segments).select("identifier")
+
+
+@_query("w03_assign", f"WITH {_PHONES}, {_SONORITY}, q AS (SELECT p.*, son FROM phones p JOIN v ON symbol = lower(label)), s AS (SELECT *, coalesce(count(*) FILTER (son = 6) OVER (PARTITION BY parent_id ORDER BY \"start\", identifier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut FROM q) SELECT identifier, CAST(CASE WHEN son = 6 THEN 2 ELSE 1 END AS SMALLINT) AS position_code FROM s WHERE parent_id % 3 = 0")
+def _assign(spark, d):
+    """Positions below every third word: what stands before the vowel that ends a syllable is its onset, and so is a tail without a vowel."""
+    phones = project.phones(spark, d).withColumn("label", F.lower("label")).where(phonology.phone_type(F.col("label")).isin("vowel", "consonant"))
+    vowel = (phonology.phone_type(F.col("label")) == "vowel").cast("int")
+    cut = F.coalesce(F.sum(vowel).over(Window.partitionBy("parent_id").orderBy("start", "identifier").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    phones = phones.withColumns({"_word": F.col("parent_id"), "parent_id": F.col("parent_id") * 100 + cut})
+    syllables = phones.select(F.col("parent_id").alias("identifier"), F.col("_word").alias("parent_id")).distinct()
+    tables = {"words": project.words(spark, d), "syllables": syllables, "phones": phones.drop("_word")}
+    return resyllabify.assign_positions(tables, tables["words"].where("identifier % 3 = 0"), "words").select("identifier", "position_code")
+
+
+@_query("h10_siblings_of", f"WITH {_WORDS} SELECT identifier FROM words w WHERE parent_id IN (SELECT parent_id FROM words WHERE label LIKE 'Th%') AND label NOT LIKE 'Th%'")
+def _siblings_of(spark, d):
+    words = project.words(spark, d)
+    return hierarchy.siblings_of(words.where("label LIKE 'Th%'"), words).select("identifier")
+
+
+@_query("h06_descendants_of", f"WITH {_PHONES} SELECT f.identifier FROM phones f JOIN words w ON w.identifier = f.parent_id WHERE length(w.label) > 8")
+def _descendants_of(spark, d):
+    """Letters as syllables of long words."""
+    words = project.words(spark, d)
+    return hierarchy.descendants(words.where(F.length("label") > 8), "words", {"syllables": project.phones(spark, d)}, "syllables").select("identifier")
+
+
+@_query("s12_links", f"WITH {_SPANS}, l AS (SELECT DISTINCT speaker_id, audio_id FROM spans) SELECT speaker_id, audio_id FROM l WHERE audio_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _bridge(spark, d):
+    """Speakers and recordings by their links, asked through the recordings' attributes."""
+    links = writes.link_speakers(project.spans(spark, d).select("speaker_id", "audio_id").limit(0), project.spans(spark, d).select("speaker_id", "audio_id"))
+    audios = project.table(spark, d, "customer").withColumnRenamed("c_custkey", "identifier")
+    graph = {"audios": Entity("identifier", ("identifier",), {}, {"speaker_audio": ("speaker_audio", "audio_id")}), "speaker_audio": Entity("speaker_id", ("speaker_id", "audio_id"), {"audio": ("audios", "audio_id")})}
+    return Query({"speaker_audio": links, "audios": audios}, graph, "speaker_audio").filter(audio__c_acctbal__gt=0).rows().select("speaker_id", "audio_id")
+
+
 for _name in ("q05_order_by", "w05_first_appearance", "t06_symbols", "h12_overlap_bucketed"):
     _register(_name, ORACLE_SQL[f"{_name}_all"], QUERIES[f"{_name}_all"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierspan.plans.schema import GENDERS
+
 
 def duration() -> Column:
     return F.col("end") - F.col("start")
@@ -43,6 +45,15 @@ def encode(name: Column, names: dict, default: int = 9) -> Column:
     return out.cast("short")
 
 
+def gender(code: Column) -> Column:
+    """The name of a stored gender code, null where it isn't known."""
+    out = F.lit(None).cast("string")
+    for key, name in GENDERS.items():
+        if name is not None:
+            out = F.when(code == key, name).otherwise(out)
+    return out
+
+
 def tri_state(code: Column, computed: Column) -> Column:
     """A stored overlap code where it is decided, else what was computed."""
     return F.when(code == 0, F.lit(False)).when(code == 1, F.lit(True)).otherwise(computed)

@@ -179,7 +179,7 @@ def tree_violations(staged: dict[str, DataFrame], stored: dict[str, DataFrame] |
     flagged = phrases.withColumns({"_twice": new & twice, "_clash": clash, "_again": new & again})
     out = violations_of(flagged, {"phrases without id, audio or times": new & absent(["identifier", "audio_id", "start", "end"]), "ids of phrases occur twice": F.col("_twice"), "phrases occur twice": F.col("_again"), "phrases of one speaker overlap": F.col("_clash"), "audio and speaker can't change once stored": F.col("_changed")})
 
-    owner = staged["phrases"].select(F.col("identifier").alias("_p"), F.col("audio_id").alias("_a"), F.col("speaker_id").alias("_s"))
+    owner = staged["phrases"].select(F.col("identifier").alias("_p"), F.col("audio_id").alias("_a"), F.col("speaker_id").alias("_s")).dropDuplicates(["_p"])
     for name, key in OWNERS.items():
         rows = staged[name].select(*base, F.col(key).alias("_owner")).withColumn("_staged", F.lit(True))
         rows, changed = _identities(rows, stored and stored[name])

@@ -49,8 +49,9 @@ _TIMES = {"duration": "`end` - start", "start_seconds": "start / 1000", "end_sec
 LEVELS = ("phrases", "words", "syllables", "phones")
 _UP = {"audio": ("audios", "audio_id"), "speaker": ("speakers", "speaker_id")}
 GRAPH = {
-    "audios": Entity("identifier", ("identifier",), {}, {name: (name, "audio_id") for name in LEVELS}),
-    "speakers": Entity("identifier", ("identifier",), {}, {name: (name, "speaker_id") for name in LEVELS}),
+    "audios": Entity("identifier", ("identifier",), {}, {name: (name, "audio_id") for name in (*LEVELS, "speaker_audio")}),
+    "speakers": Entity("identifier", ("identifier",), {}, {name: (name, "speaker_id") for name in (*LEVELS, "speaker_audio")}, derived={"gender": _decoded("gender_code", GENDERS)}),
+    "speaker_audio": Entity("speaker_id", ("speaker_id", "audio_id"), _UP),
     "phrases": Entity("identifier", SEGMENT_ORDER, _UP, {"words": ("words", "parent_id"), "syllables": ("syllables", "phrase_id"), "phones": ("phones", "phrase_id")}, frozenset({"words"}), _TIMES),
     "words": Entity("identifier", SEGMENT_ORDER, _UP | {"phrase": ("phrases", "parent_id"), "parent": ("phrases", "parent_id")}, {"syllables": ("syllables", "parent_id")}, frozenset({"syllables"}), _TIMES),
     "syllables": Entity("identifier", SEGMENT_ORDER, _UP | {"word": ("words", "parent_id"), "parent": ("words", "parent_id"), "phrase": ("phrases", "phrase_id")}, {"phones": ("phones", "parent_id")}, frozenset({"phones"}), _TIMES | {"stress": _decoded("stress_code", STRESSES, "unknown")}),
