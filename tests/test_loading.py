@@ -147,3 +147,31 @@ def test_json_sources_are_made_once_and_may_grow(spark, tmp_path):
     assert len(load()) == 3
     empty = utterances.json_source(spark, f"{path}-empty", "name string", lambda: spark.createDataFrame([], "name string"))
     assert empty.columns == ["name"] and empty.count() == 0
+
+
+def test_streams_write_the_files_of_their_audios(spark, tmp_path):
+    from tests.test_operators import SPEECH, spoken
+    from tierspan.streaming import imports
+
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    for audio in "abc":
+        corpus.append({"phrases": spoken(spark, [audio])})
+
+    def run(name, rows, policy):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        query = imports.corpus_stream(spark.readStream.schema(SPEECH).parquet(f"{tmp_path}/{name}"), f"{tmp_path}/{name}-seen", corpus, "phrases", ["audio_id", "start"], policy)
+        query.awaitTermination()
+        corpus.refresh()
+        return sorted((r["filename"], r["start"], r["label"]) for r in corpus.tables["phrases"].collect())
+
+    before = {f.path for f in corpus.files["phrases"]}
+    got = run("one", spoken(spark, ["b"], "new", 1), "upsert")
+    assert ("b", 0, "new") in got and ("b", 100, "x") in got and len(got) == 6
+    assert len(before - {f.path for f in corpus.files["phrases"]}) < len(before)
+    assert run("one", spoken(spark, ["c"], "new", 1), "upsert").count(("c", 0, "new")) == 1
+    # rows that are stored aren't appended again
+    assert len(run("two", spoken(spark, ["a", "d"]), "append")) == 8
+    with pytest.raises(Exception, match="no row to replace"):
+        run("three", spoken(spark, ["z"]), "replace")
+    with pytest.raises(ValueError, match="unknown policy"):
+        imports.corpus_stream(spark.readStream.schema(SPEECH).parquet(f"{tmp_path}/one"), f"{tmp_path}/x", corpus, "phrases", ["audio_id"], "other")

@@ -61,6 +61,18 @@ def append(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(rows)
 
 
+def append_new(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As `append`, but a row that is stored already, column for column, isn't added again: it counts once for each time it is stored.
+
+    Only stored rows whose keys the new ones have are compared.
+    """
+    asked = rows.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).distinct()
+    same = F.lit(True)
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    return old.unionByName(rows.select(*old.columns).exceptAll(old.join(asked, same, "left_semi")))
+
+
 def add_missing(old: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     require_empty(duplicate_keys(old.join(rows.select(*keys).distinct(), keys, "left_semi"), keys), "several rows match")
     return old.unionByName(new(rows, old, keys))

@@ -8,8 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tierspan.operators import writes
+from tierspan.plans.corpus import Corpus
 
-POLICIES = {"append": writes.append, "add_missing": writes.add_missing, "replace": writes.replace, "upsert": writes.upsert}
+POLICIES = {"append": writes.append_new, "add_missing": writes.add_missing, "replace": writes.replace, "upsert": writes.upsert}
+
+
+def _policy(name: str, keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    if name not in POLICIES:
+        raise ValueError(f"unknown policy {name!r}; there are {', '.join(POLICIES)}")
+
+    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+        if name != "append":
+            writes.require_empty(writes.duplicate_keys(batch, keys), "keys occur twice in the batch")
+        return POLICIES[name](old, batch, keys)
+
+    return merged
+
+
+def _start(source: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def import_stream(source: DataFrame, checkpoint: str, current: Callable[[], DataFrame], commit: Callable[[DataFrame], None], keys: list[str], policy: str = "upsert") -> StreamingQuery:
@@ -18,15 +35,15 @@ def import_stream(source: DataFrame, checkpoint: str, current: Callable[[], Data
     A batch that holds a key twice is rejected, like any other batch, and the stream stops. A batch that was committed right before
     a failure comes again: the policies but `append` give the same rows then, `append` adds what isn't there row for row.
     """
-    if policy not in POLICIES:
-        raise ValueError(f"unknown policy {policy!r}; there are {', '.join(POLICIES)}")
+    merged = _policy(policy, keys)
+    return _start(source, checkpoint, lambda batch, _: commit(merged(current(), batch)))
+
+
+def corpus_stream(source: DataFrame, checkpoint: str, corpus: Corpus, table: str, keys: list[str], policy: str = "upsert") -> StreamingQuery:
+    """As `import_stream`, into a table of a corpus: each micro-batch reads and writes only the files that may hold its audios."""
+    merged = _policy(policy, keys)
 
     def merge(batch: DataFrame, _: int) -> None:
-        old = current()
-        if policy == "append":
-            commit(old.unionByName(batch.select(*old.columns).exceptAll(old)))
-            return
-        writes.require_empty(writes.duplicate_keys(batch, keys), "keys occur twice in the batch")
-        commit(POLICIES[policy](old, batch, keys))
+        corpus.refresh().merge(table, batch, keys, lambda old, rows, _: merged(old, rows))
 
-    return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(source, checkpoint, merge)
