@@ -89,6 +89,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 #: A bitmap has 8 bits for each member, 2**23 at least and 2**26 at most (8 MB as longs, broadcast). Beyond MOST members it would tell nothing and isn't made.
 LEAST, MOST = 1 << 23, 1 << 26
+#: Longs of a bitmap that are one row of it: a broadcast of few long rows is hardly larger than its bits.
+ROW_LONGS = 128
 
 
 def bitmap_bits(members: int) -> int:
@@ -101,13 +103,20 @@ def _slot(keys: list[Column], bits: int) -> Column:
 
 
 def level_bitmap(members: DataFrame, keys: list[Column], levels: list[Column], bits: int) -> DataFrame | None:
-    """One-hash Bloom filters of `keys` as rows (_word, _mask0, _mask1, ...), at most bits / 64: mask k has the members that meet levels[k]."""
+    """One-hash Bloom filters of `keys` as rows (_bits_row, _masks0, _masks1, ...) of ROW_LONGS longs: masks k have the members that meet levels[k]."""
     if not bits:
         return None
     slot = _slot(keys, bits)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     masks = members.select(F.floor(slot / 64).alias("_word"), *[F.when(level, one).alias(f"_m{k}") for k, level in enumerate(levels)])
-    return masks.groupBy("_word").agg(*[F.bit_or(f"_m{k}").alias(f"_mask{k}") for k in range(len(levels))])
+    words = masks.groupBy("_word").agg(*[F.bit_or(f"_m{k}").alias(f"_mask{k}") for k in range(len(levels))])
+    rows = words.groupBy(F.floor(F.col("_word") / ROW_LONGS).alias("_bits_row")).agg(F.collect_list(F.struct((F.col("_word") % ROW_LONGS).cast("int").alias("i"), *[f"_mask{k}" for k in range(len(levels))])).alias("_w"))
+
+    def dense(k: int) -> Column:
+        held = F.map_from_entries(F.transform("_w", lambda w: F.struct(w["i"], w[f"_mask{k}"])))
+        return F.transform(F.sequence(F.lit(0), F.lit(ROW_LONGS - 1)), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0).cast("long")))
+
+    return rows.select("_bits_row", *[dense(k).alias(f"_masks{k}") for k in range(len(levels))])
 
 
 def flag_level(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag: str, levels: int, bits: int) -> DataFrame:
@@ -115,12 +124,12 @@ def flag_level(df: DataFrame, keys: list[Column], bitmap: DataFrame | None, flag
     if bitmap is None:
         return df.withColumn(flag, F.lit(levels))
     slot = _slot(keys, bits)
-    out = df.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64)).join(F.broadcast(bitmap), "_word", "left")
-    bit = F.pmod("_slot", F.lit(64)).cast("int")
+    out = df.withColumn("_slot", slot).withColumn("_bits_row", F.floor(F.col("_slot") / (64 * ROW_LONGS))).join(F.broadcast(bitmap), "_bits_row", "left")
+    at, bit = F.pmod(F.floor(F.col("_slot") / 64), F.lit(ROW_LONGS)).cast("int"), F.pmod("_slot", F.lit(64)).cast("int")
     level = F.lit(0)
     for k in range(levels):
-        level = F.when(F.getbit(f"_mask{k}", bit) == 1, F.lit(k + 1)).otherwise(level)
-    return out.withColumn(flag, level).drop("_slot", "_word", *[f"_mask{k}" for k in range(levels)])
+        level = F.when(F.getbit(F.get(f"_masks{k}", at), bit) == 1, F.lit(k + 1)).otherwise(level)
+    return out.withColumn(flag, level).drop("_slot", "_bits_row", *[f"_masks{k}" for k in range(levels)])
 
 
 def marked(df: DataFrame, members: DataFrame, member: list[str], keys: list[Column], flag: str = "_hit") -> DataFrame:
