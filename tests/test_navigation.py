@@ -153,3 +153,22 @@ def test_targets_are_protected(spark, tmp_path):
     for path, kind, said in (("new", {}, "isn't empty"), ("file", {}, "isn't a folder"), ("full", {"resume": True}, "other files"), ("old/../old", {"protected": (f"file://{tmp_path}/old",)}, "protected")):
         with pytest.raises(ValueError, match=said):
             Corpus.create(spark, f"{tmp_path}/{path}", **kind)
+
+
+@pytest.mark.parametrize("order", [("-v", "w"), ("w", "-v"), ("-w",), ("o__name", "-v"), ()])
+def test_places_follow_the_order_with_nulls_and_ties(spark, order, monkeypatch):
+    from tierspan.plans import query
+
+    draw = random.Random(7)
+    rows = [(k, draw.choice([None, *range(6)]), draw.choice([None, "a", "b", "é", "Z"]), draw.choice([None, 1, 2, 9])) for k in range(300)]
+    tables = {"t": spark.createDataFrame(rows, "k int, v int, w string, o_id int"), "o": spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "id int, name string")}
+    graph = {"t": query.Entity("k", ("k",), {"o": ("o", "o_id")}), "o": query.Entity("id", ("id",))}
+    asked = query.Query(tables, graph, "t").filter(k__gte=10).order_by(*order)
+    want = [r["k"] for r in asked.df().collect()]
+    for ranges in (64, 3, 1):
+        monkeypatch.setattr(query, "RANGES", ranges)
+        got = asked.numbered("at")
+        assert got.columns == ["k", "v", "w", "o_id", "at"]
+        placed = {r["at"]: r["k"] for r in got.collect()}
+        assert [placed[n] for n in range(1, 291)] == want
+    assert query.Query(tables, graph, "t").filter(k__lt=0).numbered().count() == 0

@@ -776,14 +776,14 @@ def _status(spark, d):
 @_query("t16_records", r"""
 WITH t AS (SELECT conv_id, role, turn, trim(regexp_replace(regexp_replace(coalesce(text, ''), '\*[a-zA-Z]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}''’-]+', ' ', 'g')) AS said FROM conversations),
 u AS (SELECT *, array_to_string(list_filter(string_split_regex(said, ' +'), lambda w: w NOT IN ('xxx', 'ggg', 'Xxx', 'mmm') AND regexp_matches(w, '[\p{L}\p{N}]')), ' ') AS text FROM t)
-SELECT CAST(conv_id AS VARCHAR) AS cgn_id, role AS tier_name, text, '/out/' || role || '/' || conv_id || '_s-' || turn * 1500 || '-e-' || (turn * 1500 + 1250) || '-ms.TextGrid' AS output_filename FROM u WHERE text <> ''""")
+SELECT CAST(conv_id AS VARCHAR) AS recording, role AS tier_name, text, '/out/' || role || '/' || conv_id || '_s-' || turn * 1500 || '-e-' || (turn * 1500 + 1250) || '-ms.TextGrid' AS output_filename FROM u WHERE text <> ''""")
 def _records(spark, d):
     """Turns as intervals of a speaker's tier."""
     turns = project.table(spark, d, "conversations")
     at = F.col("turn") * 1.5
     intervals = turns.select(F.col("conv_id").cast("string").alias("file"), F.col("role").alias("tier"), F.lit(0).alias("tier_idx"), F.col("turn").cast("int").alias("idx"), at.alias("xmin"), (at + 1.25).alias("xmax"), F.col("text").alias("mark"))
     audios = turns.select(F.col("conv_id").cast("string").alias("file")).distinct().select("file", F.concat(F.lit("/data/comp-a/nl/"), "file", F.lit(".wav")).alias("audio_filename"), F.lit("nl").alias("language"))
-    return utterances.utterances(intervals, audios, "/out").select("cgn_id", "tier_name", "text", "output_filename")
+    return utterances.utterances(intervals, audios, "/out").select("recording", "tier_name", "text", "output_filename")
 
 
 _FRAMES = """e AS (SELECT vec_id * 1000 AS id, embedding AS v FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id * 10000000, embedding FROM embeddings WHERE vec_id % 2 = 0),

@@ -39,7 +39,7 @@ def utterances(intervals: DataFrame, audios: DataFrame, folder: str) -> DataFram
     said = tiers.withColumn("text", clean_text(F.col("mark"))).where("text <> ''").join(audios.select("file", "audio_filename", "language"), "file").join(speakers, "file")
     target = F.concat(F.lit(folder.rstrip("/") + "/"), F.col("tier"))
     return said.select(
-        F.col("file").alias("cgn_id"), F.col("tier").alias("tier_name"), F.col("xmin").alias("start_time"), F.col("xmax").alias("end_time"), "text", F.col("mark").alias("raw_text"),
+        F.col("file").alias("recording"), F.col("tier").alias("tier_name"), F.col("xmin").alias("start_time"), F.col("xmax").alias("end_time"), "text", F.col("mark").alias("raw_text"),
         "audio_filename", component(F.col("audio_filename")).alias("component"), "language", "speaker_ids_audio", target.alias("output_directory"),
         output_name(F.col("audio_filename"), F.col("xmin"), F.col("xmax"), target).alias("output_filename"),
     )
