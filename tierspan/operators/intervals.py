@@ -86,7 +86,8 @@ def in_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
     """Points beside each span of their audio that they start in, [start, end), with the span's columns prefixed p_.
 
     A span lies in two cells of its level at most, and a point asks one cell of each level that spans have: the join is on audio, level
-    and cell, so a recording that holds all rows is still many keys, and a long span doesn't meet the points outside it.
+    and cell, so a recording that holds all rows is still many keys, and a long span doesn't meet the points outside it. A task keeps its
+    spans in a hash table; points, of which there are many more, aren't sorted.
     """
     s = spans.select(*[F.col(c).alias(f"p_{c}") for c in spans.columns], F.col("audio_id").alias("_a"), "start", "end").where("_a IS NOT NULL AND start < end")
     s = s.withColumn("_k", _level(F.col("end") - F.col("start"), 1))
@@ -94,7 +95,7 @@ def in_spans(spans: DataFrame, points: DataFrame) -> DataFrame:
     p = p.withColumn("_pc", _cell(F.col("start"), F.col("_pk"), 1))
     s = s.withColumn("_c", F.explode(_cells(s, F.col("_k"), 1))).drop("start", "end")
     met = (F.col("audio_id") == F.col("_a")) & (F.col("_pk") == F.col("_k")) & (F.col("_pc") == F.col("_c")) & (p["start"] >= F.col("p_start")) & (p["start"] < F.col("p_end"))
-    return p.join(s, met).drop("_a", "_k", "_pk", "_c", "_pc")
+    return p.join(s.hint("shuffle_hash"), met).drop("_a", "_k", "_pk", "_c", "_pc")
 
 
 def overlap_codes(phrases: DataFrame, items: DataFrame | None = None) -> DataFrame:
@@ -173,8 +174,8 @@ def tail(rows: DataFrame, by: list[str], order: list, n: int = 3) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
-def placeholders(words: DataFrame) -> DataFrame:
+def placeholders(words: DataFrame, by: tuple[str, ...] = ("phrase_id",)) -> DataFrame:
     """Spans of words: empty ones get zero width at the end of the word before, or at the phrase's start."""
-    w = Window.partitionBy("phrase_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     cursor = F.coalesce(F.last("end", ignorenulls=True).over(w), F.col("phrase_start"))
     return words.withColumn("_c", cursor).withColumn("start", F.coalesce("start", "_c")).withColumn("end", F.coalesce("end", "_c")).drop("_c")
