@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tierspan.operators import resyllabify
+from tierspan import catalog
+from tierspan.functions import phonology
+from tierspan.operators import resyllabify, writes
 from tierspan.plans import project
 
 DATA = "/root/testdata/sf0.001"
@@ -77,3 +79,27 @@ def test_words_in_pieces_equal_sql(spark, tmp_path):
     want = con.execute(sql[: sql.rindex(" SELECT")] + ' SELECT identifier, "start", "end", label FROM words').fetchall()
     got = project.words(spark, str(tmp_path)).select("identifier", "start", "end", F.col("label")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_rows_before_a_phone_are_made_once(spark, plan):
+    """A window function is made anew wherever it is written: the three rows before a vowel are three columns."""
+    phones = spark.createDataFrame([(1, 0, 10, 1, "t")], "w long, start long, end long, identifier long, label string")
+    said = plan(phonology.syllable_rows(phones, ["w"]))
+    assert 0 < said.count("lag(") <= 3 and said.count("Window [") <= 3
+
+
+def test_phones_of_texts_are_made_once_and_their_speakers_told_on_the_way(spark, monkeypatch):
+    made, empty = [], []
+    store, reject = catalog.materialise, resyllabify.require_empty
+    monkeypatch.setattr(catalog, "materialise", lambda df, label: made.append(label) or store(df, label))
+    monkeypatch.setattr(resyllabify, "require_empty", lambda df, what: empty.append(df.inputFiles()) or reject(df, what))
+    assert __spark_entry__.queries()["t05_reposition"](spark, DATA).count() > 0
+    assert made == ["phones"] and len(empty) == 1 and all("/applied-" in name for name in empty[0])
+
+
+def test_resyllabifying_words_of_several_speakers_is_rejected(spark):
+    phones = spark.createDataFrame([(k, k * 10, k * 10 + 10, label, k // 2, "a", speaker) for k, (label, speaker) in enumerate([("t", "s"), ("a", "s"), ("n", "s"), ("a", "z")])], "identifier long, start long, end long, label string, parent_id long, audio_id string, speaker_id string")
+    syllables = spark.createDataFrame([(k, 7, k * 20, k * 20 + 20, "", "s") for k in (0, 1)], "identifier long, parent_id long, start long, end long, label string, speaker_id string")
+    words = spark.createDataFrame([(7, "s")], "identifier long, speaker_id string")
+    with pytest.raises(writes.Rejected, match="a word has several speakers"):
+        resyllabify.resyllabify(words, syllables, phones)
